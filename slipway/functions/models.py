@@ -17,8 +17,10 @@ def gib(value: Column) -> Column:
 
 def is_weight_file(file_name: Column) -> Column:
     name = F.lower(file_name)
-    suffix = "|".join(s.lstrip(".") for s in C.WEIGHT_SUFFIXES)
-    return name.rlike(rf"\.({suffix})\z") & ~F.contains(name, F.lit(C.NOT_WEIGHTS_MARKER))
+    suffix = F.endswith(name, F.lit(C.WEIGHT_SUFFIXES[0]))
+    for other in C.WEIGHT_SUFFIXES[1:]:
+        suffix = suffix | F.endswith(name, F.lit(other))
+    return suffix & ~F.contains(name, F.lit(C.NOT_WEIGHTS_MARKER))
 
 
 def weight_file_bytes(file_name: Column, size_bytes: Column) -> Column:
@@ -62,33 +64,31 @@ def positive_int(value: Column) -> Column:
     return F.when(number > 0, number)
 
 
-def architecture(config_json: Column) -> Column:
-    """Struct of the five architecture numbers found in a model's config JSON."""
+def config_maps(config_json: Column) -> tuple[Column, Column]:
+    """The top-level entries of a config text and those of its ``text_config``, as maps.
+
+    Either is null when it is no JSON object.
+    """
     document = F.try_parse_json(config_json)
-    top = F.try_variant_get(document, "$", "map<string,variant>")
-    text = F.try_variant_get(document, "$.text_config", "map<string,variant>")
-
-    def find(keys: Sequence[str]) -> Column:
-        # A key present in text_config hides the top-level one, whatever it holds.
-        return F.coalesce(
-            *(
-                positive_int(
-                    F.when(F.map_contains_key(text, key), F.try_element_at(text, F.lit(key))).otherwise(
-                        F.try_element_at(top, F.lit(key))
-                    )
-                )
-                for key in keys
-            )
+    return (
+        F.try_variant_get(document, "$", "map<string,variant>"),
+        F.try_variant_get(document, "$.text_config", "map<string,variant>"),
+    )
+
+
+def config_number(top: Column, text: Column, keys: Sequence[str]) -> Column:
+    """The first of ``keys`` with a valid number.
+
+    A key present in ``text_config`` hides the top-level one, whatever it holds.
+    """
+
+    def effective(key: str) -> Column:
+        nested = F.coalesce(F.map_contains_key(text, key), F.lit(False))
+        return F.when(nested, F.try_element_at(text, F.lit(key))).otherwise(
+            F.try_element_at(top, F.lit(key))
         )
 
-    return F.struct(
-        find(C.HIDDEN_KEYS).alias("hidden_size"),
-        find(C.LAYER_KEYS).alias("num_layers"),
-        find(C.ATTENTION_HEAD_KEYS).alias("attention_heads"),
-        find(C.KV_HEAD_KEYS).alias("kv_heads"),
-        find(C.HEAD_DIM_KEYS).alias("own_head_dim"),
-        find(C.MAX_CONTEXT_KEYS).alias("max_context"),
-    )
+    return F.coalesce(*(positive_int(effective(key)) for key in keys))
 
 
 def kv_heads_or_attention(kv_heads: Column, attention_heads: Column) -> Column:
@@ -122,10 +122,13 @@ def activations_gb(hidden: Column, layers: Column, params: Column, context: Colu
     )
 
 
-def min_vram_gb(total_vram_gb: Column, num_gpus: Column) -> Column:
+def per_gpu_vram_gb(total_vram_gb: Column, num_gpus: Column) -> Column:
     """Per-GPU need with the total spread evenly plus a fixed overhead."""
-    share = total_vram_gb / F.greatest(F.lit(1), num_gpus)
-    return F.ceil(share + F.lit(C.PER_GPU_OVERHEAD_GB))
+    return total_vram_gb / F.greatest(F.lit(1), num_gpus) + F.lit(C.PER_GPU_OVERHEAD_GB)
+
+
+def min_vram_gb(total_vram_gb: Column, num_gpus: Column) -> Column:
+    return F.ceil(per_gpu_vram_gb(total_vram_gb, num_gpus))
 
 
 def estimate_notes(source: Column, known_architecture: Column, goal: Column) -> Column:

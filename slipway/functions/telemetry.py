@@ -12,9 +12,12 @@ from slipway.functions.text import strip
 DONE, LOST, MAX_SPEND = 0, 1, 2
 
 
-def decode_status(raw_status: Column) -> Column:
+def status_text(raw_status: Column) -> Column:
+    return strip(F.coalesce(raw_status, F.lit("")))
+
+
+def decode_status(text: Column) -> Column:
     """Struct (status, exit_code): ``done:<n>`` gives (done, n), an unreadable n gives 1."""
-    text = strip(F.coalesce(raw_status, F.lit("")))
     done = F.startswith(text, F.lit("done:"))
     number = strip(F.substring(text, 6, 1 << 30))
     code = F.when(number.rlike(r"\A[+-]?[0-9]+(_[0-9]+)*\z"), F.replace(number, F.lit("_"), F.lit("")))
@@ -129,17 +132,15 @@ def _listed_endpoint(document: Column) -> Column:
     return F.coalesce(by_connection, by_ip)
 
 
-def ssh_endpoint(provider: Column, payload: Column) -> Column:
-    """Struct (host, port) of a pod's SSH endpoint, null while it has none."""
-    document = F.try_parse_json(payload)
+def ssh_endpoint(provider: Column, document: Column) -> Column:
+    """Struct (host, port) of the SSH endpoint in a pod's JSON (a VARIANT), null for none."""
     return F.when(provider == C.PROVIDERS[0], _mapped_endpoint(document)).otherwise(
         _listed_endpoint(document)
     )
 
 
-def pod_state(provider: Column, payload: Column, endpoint: Column) -> Column:
-    """ready, failed or pending for one snapshot of a pod."""
-    document = F.try_parse_json(payload)
+def pod_state(provider: Column, document: Column, endpoint: Column) -> Column:
+    """ready, failed or pending for one snapshot (a VARIANT) of a pod."""
     desired = F.upper(strip(_text_at(document, "$.desiredStatus")))
     status = _text_at(document, "$.status")
     first = (

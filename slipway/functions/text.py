@@ -12,15 +12,15 @@ from slipway import constants as C
 
 def strip(text: Column) -> Column:
     """White space removed at both ends, for every character Python calls white space."""
-    return F.regexp_replace(text, rf"\A{C.BLANK}+|{C.BLANK}+\z", "")
+    return F.trim(text, F.lit(C.WHITE_SPACE))
 
 
 def strip_left(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{C.BLANK}+", "")
+    return F.ltrim(text, F.lit(C.WHITE_SPACE))
 
 
 def strip_right(text: Column) -> Column:
-    return F.regexp_replace(text, rf"{C.BLANK}+\z", "")
+    return F.rtrim(text, F.lit(C.WHITE_SPACE))
 
 
 def normalize_provider(provider: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slipway import constants as C
@@ -72,17 +74,33 @@ def param_rollup(tensor_counts: DataFrame) -> DataFrame:
 
 
 def extract_architecture(model_configs: DataFrame) -> DataFrame:
-    """The five architecture numbers of every model config."""
-    found = model_configs.select("model_id", M.architecture(F.col("config_json")).alias("a"))
+    """The five architecture numbers of every model config.
+
+    Parsing, the two maps and the numbers are separate steps, so that a text is parsed once
+    and not once per number.
+    """
+    top, text = M.config_maps(F.col("config_json"))
+    maps = model_configs.select("model_id", top.alias("top"), text.alias("text"))
+
+    def number(keys: Sequence[str]) -> Column:
+        return M.config_number(F.col("top"), F.col("text"), keys)
+
+    found = maps.select(
+        "model_id",
+        number(C.HIDDEN_KEYS).alias("hidden_size"),
+        number(C.LAYER_KEYS).alias("num_layers"),
+        number(C.ATTENTION_HEAD_KEYS).alias("heads"),
+        number(C.KV_HEAD_KEYS).alias("kv_heads"),
+        number(C.HEAD_DIM_KEYS).alias("own_head_dim"),
+        number(C.MAX_CONTEXT_KEYS).alias("max_context"),
+    )
     return found.select(
         "model_id",
-        F.col("a.hidden_size"),
-        F.col("a.num_layers"),
-        M.kv_heads_or_attention(F.col("a.kv_heads"), F.col("a.attention_heads")).alias("num_kv_heads"),
-        M.head_dim_or_split(
-            F.col("a.own_head_dim"), F.col("a.hidden_size"), F.col("a.attention_heads")
-        ).alias("head_dim"),
-        F.col("a.max_context"),
+        "hidden_size",
+        "num_layers",
+        M.kv_heads_or_attention(F.col("kv_heads"), F.col("heads")).alias("num_kv_heads"),
+        M.head_dim_or_split(F.col("own_head_dim"), F.col("hidden_size"), F.col("heads")).alias("head_dim"),
+        "max_context",
     )
 
 

@@ -20,10 +20,10 @@ def deciding_polls(polls_of_runs: DataFrame) -> DataFrame:
     Each poll is judged alone: finished first, then lost, then over the spend limit.
     """
     spent = L.accrued_spend(F.col("billing_start"), F.col("poll_ts"), F.col("hourly"))
-    judged = polls_of_runs.select(
+    judged = polls_of_runs.withColumn("_text", L.status_text(F.col("raw_status"))).select(
         "run_id",
         "poll_ts",
-        L.decode_status(F.col("raw_status")).alias("_d"),
+        L.decode_status(F.col("_text")).alias("_d"),
         L.elapsed_seconds(F.col("billing_start"), F.col("poll_ts")).alias("elapsed_seconds"),
         spent.alias("spent"),
         L.spend_tripped(spent, F.col("hourly"), F.col("max_spend")).alias("_over"),
@@ -110,18 +110,17 @@ def pod_readiness(snapshots: DataFrame) -> DataFrame:
     The first snapshot that is ready or failed decides, if it came within the provider's
     wait limit after the pod was first seen. One grouping with partial minima.
     """
-    seen = snapshots.select(
-        "pod_id",
-        "provider",
-        "observed_ts",
-        L.ssh_endpoint(F.col("provider"), F.col("payload")).alias("endpoint"),
-        "payload",
-    ).select(
-        "pod_id",
-        "provider",
-        "observed_ts",
-        L.pod_state(F.col("provider"), F.col("payload"), F.col("endpoint")).alias("state"),
-        "endpoint",
+    provider, document = F.col("provider"), F.col("_document")
+    seen = (
+        snapshots.withColumn("_document", F.try_parse_json("payload"))
+        .withColumn("endpoint", L.ssh_endpoint(provider, document))
+        .select(
+            "pod_id",
+            "provider",
+            "observed_ts",
+            L.pod_state(provider, document, F.col("endpoint")).alias("state"),
+            "endpoint",
+        )
     )
     deciding = F.col("state") != "pending"
     pods = seen.groupBy("pod_id").agg(

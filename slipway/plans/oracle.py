@@ -7,6 +7,7 @@ from slipway.plans import bindings as B
 from slipway.plans.registry import LISTED_REQUEST, SCENARIOS
 
 _G = "1073741824E0"
+_BLANK = r"[\t-\r\x1c-\x1f\x85\p{Z}]"
 
 
 def _quoted(value: str) -> str:
@@ -37,7 +38,7 @@ def _price(cloud: str) -> str:
 
 
 def _strip(value: str) -> str:
-    return f"regexp_replace({value}, '\\A{C.BLANK}+|{C.BLANK}+\\z', '', 'g')"
+    return f"regexp_replace({value}, '\\A{_BLANK}+|{_BLANK}+\\z', '', 'g')"
 
 
 def _slug(value: str) -> str:
@@ -666,7 +667,7 @@ ORACLES: dict[str, str] = {
             "(PARTITION BY run_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS entry_line FROM stamped",
         ),
         body="SELECT p.run_id, p.line_no, p.entry_line, s.stamp AS logged_at, p.line_no - p.entry_line AS part, "
-        f"CASE WHEN p.stamp IS NULL THEN p.line ELSE regexp_replace(p.line[24:], '{C.BLANK}+\\z', '') END AS message "
+        f"CASE WHEN p.stamp IS NULL THEN p.line ELSE regexp_replace(p.line[24:], '{_BLANK}+\\z', '') END AS message "
         "FROM placed p LEFT JOIN stamped s ON s.run_id = p.run_id AND s.line_no = p.entry_line",
     ),
     "classify_launch_errors": _with(
