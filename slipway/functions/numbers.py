@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_EXACT = float(2**53)
 _SPLITTER = 134217729.0  # 2**27 + 1 cuts a double into two halves whose products are exact
 
 
@@ -25,7 +26,9 @@ def round_cents(value: Column) -> Column:
         | ((over_half == 0) & (error > 0))
         | ((over_half == 0) & (error == 0) & (F.pmod(floor, F.lit(2)) == 1))
     )
-    return F.when(up, floor + 1).otherwise(floor).cast("double") / F.lit(100.0)
+    rounded = F.when(up, floor + 1).otherwise(floor).cast("double") / F.lit(100.0)
+    # Past 2**53 hundredths a double has no cents left to round.
+    return F.when(F.abs(scaled) < _EXACT, rounded).otherwise(value)
 
 
 def exact_product(*factors: Column) -> Column:

@@ -139,14 +139,13 @@ def gpu_fit_table(
     The price list is short, so the choice is a chain of comparisons in generated code
     rather than a join. Splits that nothing fits keep their row with nulls.
     """
+    entries = P.checked_catalog(catalog)
     cloud = F.lit(cloud_type) if isinstance(cloud_type, str) else cloud_type
     rows = estimates.withColumn("num_gpus", F.explode(F.array(*[F.lit(n) for n in splits])))
     needed = rows.withColumn(
         "min_vram_per_gpu_gb", M.min_vram_gb(F.col("total_vram_gb"), F.col("num_gpus"))
     )
-    chosen = needed.withColumn(
-        "_fit", P.cheapest_fit(F.col("min_vram_per_gpu_gb"), cloud, P.checked_catalog(catalog))
-    )
+    chosen = needed.withColumn("_fit", P.cheapest_fit(F.col("min_vram_per_gpu_gb"), cloud, entries))
     return chosen.select(
         *needed.columns,
         F.col("_fit.gpu_id").alias("cheapest_gpu"),

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import io
 import re
+import tarfile
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slipway.schemas import CODE_FILES
+
 # One JSON document per line (or per file with multi_line=True).
 _OFFER = (
     "struct<cloudId:string, gpuType:string, socket:string, provider:string, security:string, "
@@ -78,10 +84,7 @@ def read_volumes(spark: SparkSession, path: str, *, multi_line: bool = False) ->
 
 def _whole_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .text(path)
+        spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
         .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file_path"))
     )
 
@@ -123,7 +126,11 @@ def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_code_tree(spark: SparkSession, path: str) -> DataFrame:
-    """``<path>/<project_id>/...`` trees as code files, with the text of every file in UTF-8."""
+    """``<path>/<project_id>/...`` trees as code files, with the text of every file in UTF-8.
+
+    Spark's file listing skips names that start with a dot or an underscore; trees that
+    have such files are landed as archives and read with ``read_code_archives``.
+    """
     root = re.sub(r"\A[A-Za-z0-9+]+:", "", path).strip("/")
     files = (
         spark.read.format("binaryFile")
@@ -140,6 +147,31 @@ def read_code_tree(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_code_archives(spark: SparkSession, path: str) -> DataFrame:
+    """``<path>/.../<project_id>.tar.gz`` as code files; every archive is unpacked in a task."""
+
+    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for project, content in zip(frame["project_id"], frame["content"]):
+                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
+                    for member in archive:
+                        if member.isfile():
+                            text = archive.extractfile(member).read().decode("utf-8", "replace")
+                            name = member.name.removeprefix("./")
+                            yield pd.DataFrame(
+                                {"project_id": [project], "entry_file": [None], "rel_path": [name], "content": [text]}
+                            )
+
+    archives = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.tar.gz")
+        .load(path)
+        .select(F.regexp_extract("path", r"([^/]+)\.tar\.gz\z", 1).alias("project_id"), "content")
+    )
+    return archives.mapInPandas(unpack, CODE_FILES)
+
+
 def read_polls(spark: SparkSession, path: str, *, stream: bool = False) -> DataFrame:
     """Landed polls as JSON lines, as a batch or as a stream of new files."""
     reader = spark.readStream if stream else spark.read

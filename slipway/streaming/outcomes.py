@@ -1,25 +1,31 @@
-"""Run outcomes from a stream of polls."""
+"""Run outcomes from a stream of polls.
 
-from __future__ import annotations
+Both streams take the earliest deciding poll of a run with a built-in minimum, which is
+reduced per task before it shuffles; a run that sends a third of all polls is no hot task
+and no row passes through Python. Landed rows are only ever replaced by earlier ones, so
+the earliest landed decision of a run is its outcome.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from slipway.functions import telemetry as L
 from slipway.operators.telemetry import RUN_TERMS, deciding_polls, first_decision
 
+DECISION = (
+    "run_id string, poll_ts timestamp, verdict int, exit_code bigint, "
+    "elapsed_seconds double, spent double"
+)
+
 
 def decisions(polls: DataFrame, runs: DataFrame) -> DataFrame:
-    """Streaming: the earliest deciding poll known so far for every run, in update mode.
+    """Streaming, update mode: the earliest deciding poll known so far for every run.
 
-    A poll that comes late but is earlier replaces the decision, so the last row per run
-    equals the batch result. The state is one small row per ended run, and the minimum
-    is taken per task first, so a hot run does not land on one task.
+    A decision shows at once, and an earlier poll that comes late replaces it, however
+    late it is. The state is one small row per ended run.
     """
     met = polls.join(runs.select(*RUN_TERMS), "run_id")
     return (
@@ -30,8 +36,26 @@ def decisions(polls: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
+def settled_decisions(
+    polls: DataFrame, runs: DataFrame, *, lateness: str = "10 minutes", window: str = "5 minutes"
+) -> DataFrame:
+    """Streaming, append mode: the first deciding poll of every run and window, once settled.
+
+    A row comes out when no poll of its window can arrive any more, and its state is
+    dropped then, so the state holds open windows only. Polls later than ``lateness`` are
+    ignored. The first window of a run is final; later ones repeat that it has ended.
+    """
+    met = polls.withWatermark("poll_ts", lateness).join(runs.select(*RUN_TERMS), "run_id")
+    return (
+        deciding_polls(met)
+        .groupBy("run_id", F.window("poll_ts", window))
+        .agg(first_decision().alias("first"))
+        .select("run_id", "first.*")
+    )
+
+
 def write_decisions(updates: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
-    """Writer that lands each micro-batch in its own folder, so a repeated batch overwrites itself."""
+    """Writer for update mode: each micro-batch has its own folder, which a repeat overwrites."""
 
     def land(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
@@ -43,11 +67,24 @@ def write_decisions(updates: DataFrame, folder: str, checkpoint: str) -> DataStr
     )
 
 
+def write_settled(settled: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
+    """Writer for append mode: a parquet table that holds every row once."""
+    return (
+        settled.writeStream.outputMode("append")
+        .format("parquet")
+        .option("checkpointLocation", checkpoint)
+        .option("path", folder)
+    )
+
+
 def read_outcomes(spark: SparkSession, folder: str, runs: DataFrame) -> DataFrame:
-    """Outcome of every run from the landed updates: the earliest decision of each wins."""
-    schema = "run_id string, poll_ts timestamp, verdict int, exit_code bigint, elapsed_seconds double, spent double"
-    landed = spark.read.schema(schema).option("basePath", folder).parquet(f"{folder}/batch=*")
-    first = landed.groupBy("run_id").agg(first_decision().alias("_first"))
+    """Outcome of every run from the landed rows of either writer."""
+    first = (
+        spark.read.schema(DECISION)
+        .parquet(folder)
+        .groupBy("run_id")
+        .agg(first_decision().alias("_first"))
+    )
     return runs.join(first, "run_id", "left").select(
         *runs.columns,
         L.outcome_name(F.col("_first.verdict"), F.col("_first.exit_code")).alias("outcome"),
@@ -57,70 +94,8 @@ def read_outcomes(spark: SparkSession, folder: str, runs: DataFrame) -> DataFram
     )
 
 
-_STATE = "poll_us bigint, verdict int, exit_code bigint, elapsed_seconds double, spent double, sent boolean"
-
-
-def final_outcomes(polls: DataFrame, runs: DataFrame, *, lateness: str = "10 minutes") -> DataFrame:
-    """Streaming: each ended run once, when no earlier poll can arrive any more (append mode).
-
-    Deciding polls are first reduced to one per run and minute by a windowed minimum with
-    partial aggregation; the state then keeps the best decision of a run until the
-    watermark has passed it. Later polls of a run already sent are ignored.
-    """
-    def send_once(
-        key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        best = state.get if state.exists else None
-        if state.hasTimedOut:
-            if best is not None and not best[5]:
-                state.update((*best[:5], True))
-                yield pd.DataFrame([(key[0], *best[1:5])], columns=["run_id", "verdict", "exit_code", "elapsed_seconds", "spent"])
-            return
-        for frame in frames:
-            if best is not None and best[5]:
-                continue
-            row = frame.sort_values(["poll_us", "verdict"]).iloc[0]
-            found = (
-                int(row.poll_us),
-                int(row.verdict),
-                None if pd.isna(row.exit_code) else int(row.exit_code),
-                float(row.elapsed_seconds),
-                float(row.spent),
-                False,
-            )
-            if best is None or found[:2] < tuple(best[:2]):
-                best = found
-        if best is not None:
-            state.update(tuple(best))
-            if not best[5]:
-                state.setTimeoutTimestamp(max(best[0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-
-    met = polls.withWatermark("poll_ts", lateness).join(runs.select(*RUN_TERMS), "run_id")
-    per_minute = (
-        deciding_polls(met)
-        .groupBy("run_id", F.window("poll_ts", "1 minute").alias("_w"))
-        .agg(first_decision().alias("first"))
-        .select(
-            "run_id",
-            F.window_time("_w").alias("event_ts"),
-            F.unix_micros("first.poll_ts").alias("poll_us"),
-            "first.verdict",
-            "first.exit_code",
-            "first.elapsed_seconds",
-            "first.spent",
-        )
-    )
-    sent = per_minute.groupBy("run_id").applyInPandasWithState(
-        send_once,
-        "run_id string, verdict int, exit_code bigint, elapsed_seconds double, spent double",
-        _STATE,
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
-    return sent.select(
-        "run_id",
-        L.outcome_name(F.col("verdict"), F.col("exit_code")).alias("outcome"),
-        "exit_code",
-        "elapsed_seconds",
-        "spent",
+def spend_alerts(decided: DataFrame) -> DataFrame:
+    """Streaming: of either kind of decisions, those by the spend limit."""
+    return decided.filter(F.col("verdict") == L.MAX_SPEND).select(
+        "run_id", "poll_ts", "elapsed_seconds", "spent"
     )
