@@ -15,17 +15,17 @@ def gib(value: Column) -> Column:
     return value / F.lit(float(C.GIB))
 
 
-def is_weight_file(file_name: Column) -> Column:
-    name = F.lower(file_name)
+def is_weight_file(name: Column) -> Column:
+    """Whether a file name in lower case is that of a weight file."""
     suffix = F.endswith(name, F.lit(C.WEIGHT_SUFFIXES[0]))
     for other in C.WEIGHT_SUFFIXES[1:]:
         suffix = suffix | F.endswith(name, F.lit(other))
     return suffix & ~F.contains(name, F.lit(C.NOT_WEIGHTS_MARKER))
 
 
-def weight_file_bytes(file_name: Column, size_bytes: Column) -> Column:
+def weight_file_bytes(name: Column, size_bytes: Column) -> Column:
     """Bytes this file adds to its model: 0 unless it is a weight file of positive size."""
-    return F.when(is_weight_file(file_name) & (size_bytes > 0), size_bytes).otherwise(F.lit(0))
+    return F.when((size_bytes > 0) & is_weight_file(name), size_bytes).otherwise(F.lit(0))
 
 
 def half_bytes_per_param(dtype: Column) -> Column:

@@ -88,7 +88,10 @@ def _port(text: Column) -> Column:
 
 
 # Fixed value: the shape of a connection text, "[user@]host [-p port]".
-CONNECTION = r"\A\s*(?:[\p{L}\p{N}_.\-]+@)?([\p{L}\p{N}_.\-]+)(?:\s+-p\s*([0-9]+))?\s*\z"
+CONNECTION = (
+    rf"\A{C.BLANK}*(?:[\p{{L}}\p{{N}}_.\-]+@)?([\p{{L}}\p{{N}}_.\-]+)"
+    rf"(?:{C.BLANK}+-p{C.BLANK}*([0-9]+))?{C.BLANK}*\z"
+)
 
 
 def _mapped_endpoint(document: Column) -> Column:

@@ -65,7 +65,9 @@ def expand_variables(text: Column, variables: Mapping[str, str]) -> Column:
     return _fill(
         text,
         r"\$(?:[A-Za-z0-9_]+|\{[^}]*\})",
-        lambda mark: F.coalesce(F.try_element_at(known, F.regexp_replace(mark, r"[${}]", "")), mark),
+        lambda mark: F.coalesce(
+            F.try_element_at(known, F.regexp_replace(mark, r"\A\$\{?|\}\z", "")), mark
+        ),
     )
 
 
@@ -123,7 +125,7 @@ def classify_launch_error(message: Column) -> Column:
 
 
 # Fixed value: where an error text lists the data centers.
-DATA_CENTERS = r"Available data centers:\s*([^\n]*?)(?:\"|\.|\n?\z)"
+DATA_CENTERS = rf"Available data centers:{C.BLANK}*([^\n]*?)(?:\"|\.|\n?\z)"
 
 
 def data_centers(message: Column) -> Column:

@@ -37,19 +37,17 @@ def overlay_settings(settings: DataFrame) -> DataFrame:
     known = settings.filter(F.col("key").isin(*C.SETTING_NAMES) & F.col("value").isNotNull())
     runs = known.groupBy("run_id").agg(
         *(
-            F.max(F.when(F.col("key") == name, F.struct("layer", "value"))).alias(name)
+            F.expr(f"max(CASE WHEN key = '{name}' THEN struct(layer, value) END).value").alias(name)
             for name in C.SETTING_NAMES
         )
     )
     columns, complaints = [], []
     for name, kind, default in C.SETTINGS:
-        raw = F.col(name)["value"]
-        value = raw if kind == "string" else raw.try_cast(kind)
-        columns.append(F.coalesce(value, F.lit(default).cast(kind)).alias(name))
+        value = name if kind == "string" else f"try_cast({name} AS {kind})"
+        columns.append(F.coalesce(F.expr(value), F.lit(default).cast(kind)).alias(name))
         if kind != "string":
-            complaints.append(
-                F.when(raw.isNotNull() & value.isNull(), F.lit(f"{name} is not a {kind}"))
-            )
+            bad = f"CASE WHEN {name} IS NOT NULL AND {value} IS NULL THEN '{name} is not a {kind}' END"
+            complaints.append(F.expr(bad))
     return runs.select("run_id", *columns, F.coalesce(*complaints).alias("reject_reason"))
 
 

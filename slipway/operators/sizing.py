@@ -13,6 +13,14 @@ from slipway.functions import models as M
 _SHAPE = ("hidden_size", "num_layers", "num_kv_heads", "head_dim", "max_context")
 
 
+def _file_bytes(model_files: DataFrame) -> DataFrame:
+    """Bytes every file adds to its model; the name is put in lower case once, not per suffix."""
+    named = model_files.withColumn("_name", F.lower("file_name"))
+    return named.select(
+        "model_id", M.weight_file_bytes(F.col("_name"), F.col("size_bytes")).alias("bytes")
+    )
+
+
 def weight_file_rollup(model_files: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """Size of every model's weight files in GiB.
 
@@ -20,11 +28,7 @@ def weight_file_rollup(model_files: DataFrame, models: DataFrame | None = None)
     ``models`` but without any file listing come out as ``unavailable``. One shuffle,
     with partial sums first, so a model with very many files is no bottleneck.
     """
-    rows = model_files.select(
-        "model_id",
-        M.weight_file_bytes(F.col("file_name"), F.col("size_bytes")).alias("bytes"),
-        F.lit(1).alias("listed"),
-    )
+    rows = _file_bytes(model_files).withColumn("listed", F.lit(1))
     if models is not None:
         asked = models.select("model_id", F.lit(0).cast("bigint").alias("bytes"), F.lit(0).alias("listed"))
         rows = rows.unionByName(asked)
@@ -126,11 +130,8 @@ def resolve_specs(
             *no_shape,
         )
         .unionByName(
-            model_files.select(
-                "model_id",
-                *no_counts,
-                M.weight_file_bytes(F.col("file_name"), F.col("size_bytes")).alias("file_bytes"),
-                *no_shape,
+            _file_bytes(model_files).select(
+                "model_id", *no_counts, F.col("bytes").alias("file_bytes"), *no_shape
             )
         )
         .unionByName(

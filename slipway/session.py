@@ -14,6 +14,8 @@ def build_session(app_name: str = "slipway", *, master: str | None = None, **con
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Whole source files go to Python in batches of bounded size, not of 10,000 files.
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
         .config("spark.ui.enabled", "false")
     )
     if master:

@@ -82,9 +82,10 @@ def read_volumes(spark: SparkSession, path: str, *, multi_line: bool = False) ->
     )
 
 
-def _whole_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+def _whole_files(spark: SparkSession, path: str, pattern: str, stream: bool = False) -> DataFrame:
+    reader = spark.readStream if stream else spark.read
     return (
-        spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
+        reader.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
         .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file_path"))
     )
 
@@ -115,10 +116,13 @@ def read_settings(spark: SparkSession, path: str, *, layer: int, run_id: Column
     )
 
 
-def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
-    """``<path>/<run_id>/logs/<stream>.log`` trees as (run_id, stream, text), one row per file."""
+def read_run_logs(spark: SparkSession, path: str, *, stream: bool = False) -> DataFrame:
+    """``<path>/<run_id>/logs/<stream>.log`` trees as (run_id, stream, text), one row per file.
+
+    As a stream, every new file comes once; ``log_tail`` and ``split_lines`` work on it too.
+    """
     place = F.col("file_path")
-    return _whole_files(spark, path, "*.log").select(
+    return _whole_files(spark, path, "*.log", stream).select(
         F.regexp_extract(place, r"([^/]+)/logs/[^/]+\.log\z", 1).alias("run_id"),
         F.regexp_extract(place, r"([^/]+)\.log\z", 1).alias("stream"),
         "text",

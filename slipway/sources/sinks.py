@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 
 def as_json(df: DataFrame) -> DataFrame:
@@ -23,3 +24,13 @@ def write_table(df: DataFrame, path: str, *, mode: str = "errorifexists") -> Non
 def append_events(events: DataFrame, path: str) -> None:
     """Events added to an event table."""
     events.write.mode("append").parquet(path)
+
+
+def stream_events(events: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Writer that adds a stream of events to an event table, every event once."""
+    return (
+        events.writeStream.outputMode("append")
+        .format("parquet")
+        .option("checkpointLocation", checkpoint)
+        .option("path", path)
+    )

@@ -5,6 +5,7 @@ import pytest
 
 from slipway import session
 from slipway.operators import code, offers, settings, sizing
+from slipway.operators.logs import log_tail as tail
 from slipway.sources import landed, sinks
 
 
@@ -71,6 +72,22 @@ def test_logs_and_code(spark, tmp_path):
     assert tree == {("p1", "code/run.py"): "é = 1", ("p2", "a/run.sh"): "x"}
 
 
+def test_log_tails_of_a_stream_become_events(spark, tmp_path):
+    table = str(tmp_path / "events")
+
+    def drain():
+        tails = tail(landed.read_run_logs(spark, str(tmp_path / "results"), stream=True))
+        events = tails.select("run_id", "kind", "message")
+        sinks.stream_events(events, table, str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+
+    write(tmp_path / "results/r1/logs/stdout.log", " a\nb\n")
+    drain()
+    write(tmp_path / "results/r2/logs/stderr.log", "oops")
+    drain()
+    rows = {tuple(r) for r in spark.read.parquet(table).collect()}
+    assert rows == {("r1", "output", "a\nb"), ("r2", "error", "oops")}
+
+
 def test_code_archives_have_hidden_files(spark, tmp_path):
     write(tmp_path / "src/.env", "x")
     write(tmp_path / "src/pkg/__init__.py", "def broken(:")
