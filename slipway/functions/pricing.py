@@ -139,6 +139,13 @@ def estimated_hourly(gpu_id: Column, cloud_type: Column, catalog: Sequence[GpuTy
     return F.when(is_community(cloud_type), price(True)).otherwise(price(False))
 
 
+def billed_hourly(catalog_hourly: Column, planned_hourly: Column) -> Column:
+    """The first of the two rates that is known and not 0, else 0."""
+    return F.coalesce(
+        F.nullif(catalog_hourly, F.lit(0.0)), F.nullif(planned_hourly, F.lit(0.0)), F.lit(0.0)
+    )
+
+
 def cheapest_fit(need_gb: Column, cloud_type: Column, catalog: Sequence[GpuType]) -> Column:
     """Struct (gpu_id, hourly) of the cheapest GPU with enough memory, null if none has.
 

@@ -13,8 +13,8 @@ from slipway.functions import pricing as P
 from slipway.functions.joins import salt_of, SALTS, top_k, within_bound
 from slipway.session import checkpointed
 
-# Price steps that may be broadcast as one array per (GPU count, security); see top_offers.
-MAX_BROADCAST_LEVELS = 2000
+# Offers that may be broadcast, as arrays by (GPU count, security); some 12 MB. See top_offers.
+MAX_BROADCAST_OFFERS = 200_000
 
 
 def _fits(floor: Column, cap: Column, cloud_type: Column, catalog: Sequence[GpuType]) -> Column:
@@ -69,10 +69,24 @@ def gpu_type_ids(requests: DataFrame, catalog: Sequence[GpuType] = GPU_CATALOG)
     )
 
 
-def estimated_hourly(gpus: DataFrame, catalog: Sequence[GpuType] = GPU_CATALOG) -> DataFrame:
-    """Catalogue price for rows with gpu_id and cloud_type; null for an unknown id."""
+def estimated_hourly(
+    gpus: DataFrame,
+    catalog: Sequence[GpuType] = GPU_CATALOG,
+    *,
+    planned_hourly: Column | None = None,
+) -> DataFrame:
+    """Catalogue price for rows with gpu_id and cloud_type; null for an unknown id.
+
+    With ``planned_hourly`` also the rate a run is billed at: the catalogue price, else the
+    planned one, else 0.
+    """
     price = P.estimated_hourly(F.col("gpu_id"), F.col("cloud_type"), P.checked_catalog(catalog))
-    return gpus.withColumn("estimated_hourly", price)
+    priced = gpus.withColumn("estimated_hourly", price)
+    if planned_hourly is None:
+        return priced
+    return priced.withColumn(
+        "billed_hourly", P.billed_hourly(F.col("estimated_hourly"), planned_hourly)
+    )
 
 
 def rentable_offers(offers: DataFrame) -> DataFrame:
@@ -199,13 +213,13 @@ def top_offers(
     *,
     key: str = "run_id",
     only: Column | None = None,
-    max_levels: int = MAX_BROADCAST_LEVELS,
+    max_broadcast: int = MAX_BROADCAST_OFFERS,
 ) -> DataFrame:
     """Each request with its first ``k`` offers: labels, pod price and the offers as array.
 
     Offers are cut to the ``k`` cheapest per memory level before requests see them, and the
-    levels are written to the shared folder. Up to ``max_levels`` of them are broadcast;
-    beyond that both sides are joined by a salted shuffle. ``key`` names a unique request
+    levels are written to the shared folder and counted. They are broadcast if they hold
+    at most ``max_broadcast`` offers; beyond that both sides meet in a salted shuffle. ``key`` names a unique request
     id, and requests that fail ``only`` get no offers. The cap is that of the whole pod.
     """
     levels = checkpointed(_price_levels(offers, k))
@@ -217,7 +231,7 @@ def top_offers(
         P.per_gpu_cap(F.col("max_dollars_per_hour"), F.col("gpu_count")).alias("_cap"),
         F.col("vram_gb").alias("_floor"),
     )
-    if within_bound(levels, max_levels):
+    if within_bound(levels, max_broadcast // k):
         matched = _match_by_ladder(asked, levels, k)
     else:
         matched = _match_by_level(asked, levels, key, k)

@@ -64,6 +64,10 @@ def test_cheapest_fit_against_brute_force(spark):
 def test_estimated_hourly(spark):
     frame = spark.createDataFrame([("NVIDIA L4", "community"), ("NVIDIA L4", "x"), ("no", "x")], "gpu_id string, cloud_type string")
     assert [r.estimated_hourly for r in O.estimated_hourly(frame).collect()] == [0.40, 1.10, None]
+    billed = O.estimated_hourly(frame, planned_hourly=F.lit(7.0)).collect()
+    assert [r.billed_hourly for r in billed] == [0.40, 1.10, 7.0]
+    unplanned = O.estimated_hourly(frame, planned_hourly=F.lit(None).cast("double")).collect()
+    assert [r.billed_hourly for r in unplanned] == [0.40, 1.10, 0.0]
 
 
 def offer(cloud="n3-A100x1", kind="A100_80GB", memory=80.0, price=1.5, **changes):
@@ -156,15 +160,15 @@ def _random_market(size):
     return market, requests
 
 
-@pytest.mark.parametrize("max_levels", [2000, 0])
+@pytest.mark.parametrize("max_broadcast", [200_000, 0])
 @pytest.mark.parametrize("k", [1, 8, 100])
-def test_top_offers_against_brute_force(spark, max_levels, k):
+def test_top_offers_against_brute_force(spark, max_broadcast, k):
     market, requests = _random_market(600)
     found = O.top_offers(
         spark.createDataFrame(requests, S.RUN_REQUESTS),
         spark.createDataFrame(market, S.GPU_OFFERS).repartition(7),
         k,
-        max_levels=max_levels,
+        max_broadcast=max_broadcast,
     )
     got = {r.run_id: [tuple(o) for o in r.offers] for r in found.collect()}
     assert got == _brute(requests, market, k)
