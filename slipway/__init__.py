@@ -22,6 +22,7 @@ from slipway.operators.offers import (
     list_offers,
     match_offers,
     pin_gpus,
+    price_offers,
     select_image,
     top_offers,
 )
@@ -36,15 +37,18 @@ from slipway.operators.sizing import (
     weight_file_rollup,
 )
 from slipway.operators.telemetry import (
+    accrued_spend,
     classify_launch_errors,
     filter_events,
     pod_readiness,
     run_outcome,
     spend_guard,
+    ssh_endpoints,
 )
 from slipway.session import build_session
 
 __all__ = [
+    "accrued_spend",
     "build_session",
     "candidate_gpus",
     "check_syntax",
@@ -72,6 +76,7 @@ __all__ = [
     "plan_summary",
     "plan_volume",
     "pod_readiness",
+    "price_offers",
     "resolve_specs",
     "run_outcome",
     "select_bundle_files",
@@ -79,6 +84,7 @@ __all__ = [
     "select_image",
     "spend_guard",
     "split_lines",
+    "ssh_endpoints",
     "stdout_tail",
     "suggest_volume_gb",
     "top_offers",

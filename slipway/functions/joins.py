@@ -45,26 +45,27 @@ def top_k(
     order: Sequence[Column],
     k: int,
     *,
-    salt_by: Sequence[str],
+    salt_by: Sequence[str] | None = None,
     rank: str = "rank",
     salts: int = SALTS,
 ) -> DataFrame:
     """The first ``k`` rows of every group with their rank.
 
-    A first cut per (group, salt) leaves at most k * salts rows of a hot group for the
-    final one; both are cut to k rows per map task before they shuffle.
+    Spark cuts each group to k rows per map task before it shuffles them, so a hot group
+    arrives as k rows per task. Where a few groups hold everything, that can still be much
+    for one task: ``salt_by`` adds a first cut per (group, salt).
     """
     columns = df.columns
-    spread = W.partitionBy(*group, "_salt").orderBy(*order)
+    if salt_by is not None:
+        spread = W.partitionBy(*group, "_salt").orderBy(*order)
+        df = (
+            df.withColumn("_salt", salt_of(*(F.col(name) for name in salt_by), salts=salts))
+            .withColumn(rank, F.row_number().over(spread))
+            .filter(F.col(rank) <= k)
+            .select(*columns)
+        )
     whole = W.partitionBy(*group).orderBy(*order)
-    return (
-        df.withColumn("_salt", salt_of(*(F.col(name) for name in salt_by), salts=salts))
-        .withColumn(rank, F.row_number().over(spread))
-        .filter(F.col(rank) <= k)
-        .select(*columns)
-        .withColumn(rank, F.row_number().over(whole))
-        .filter(F.col(rank) <= k)
-    )
+    return df.withColumn(rank, F.row_number().over(whole)).filter(F.col(rank) <= k)
 
 
 def within_bound(df: DataFrame, rows: int) -> bool:

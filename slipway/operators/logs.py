@@ -68,7 +68,7 @@ def stdout_tail(lines: DataFrame, n: int = C.TAIL_LINES) -> DataFrame:
     bounds = bounds.select(
         "run_id", "first", "last", F.greatest(F.col("first"), F.col("last") - (n - 1)).alias("start")
     )
-    recent = top_k(full, ["run_id"], [F.col("line_no").desc()], n, salt_by=["line_no"])
+    recent = top_k(full, ["run_id"], [F.col("line_no").desc()], n)
     spaces = lookup_join(
         stdout.filter(~has_text & (F.col("line") != "")), bounds, ["run_id"], ["line_no"], how="inner"
     ).filter(F.col("line_no").between(F.col("start"), F.col("last")))

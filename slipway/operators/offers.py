@@ -89,18 +89,26 @@ def estimated_hourly(
     )
 
 
+def price_offers(offers: DataFrame) -> DataFrame:
+    """``offers`` with label, price per GPU and price of the whole pod; null if unpriced."""
+    priced = offers.select(
+        "*",
+        P.offer_hourly(F.col("price_on_demand"), F.col("price_community")).alias("hourly"),
+        P.offer_label(F.col("gpu_type"), F.col("provider"), F.col("cloud_id")).alias("label"),
+    )
+    whole = P.pod_hourly(F.col("hourly"), F.col("gpu_count"), F.lit(None).cast("double"))
+    return priced.withColumn("pod_hourly", F.when(F.col("hourly").isNotNull(), whole))
+
+
 def rentable_offers(offers: DataFrame) -> DataFrame:
-    """Offers that are on demand, in stock and priced, with their price and label."""
+    """Priced offers that are on demand and in stock."""
     stock = F.lower(F.coalesce(F.col("stock_status"), F.lit("")))
-    return offers.filter(
+    return price_offers(offers).filter(
         ~F.coalesce(F.col("is_spot"), F.lit(False))
         & (stock != "unavailable")
         & F.col("gpu_memory").isNotNull()
-    ).select(
-        "*",
-        P.offer_hourly(F.col("price_on_demand"), F.col("price_community")).alias("hourly"),
-        P.offer_label(F.col("gpu_type"), F.col("provider"), F.col("cloud_id")).alias("label"),
-    ).filter(F.col("hourly").isNotNull())
+        & F.col("hourly").isNotNull()
+    )
 
 
 def list_offers(
@@ -199,7 +207,7 @@ def _match_by_level(asked: DataFrame, levels: DataFrame, key: str, k: int) -> Da
         .select(key, "gpu_memory", "offer.hourly", "offer.label")
     )
     order = [F.col("gpu_memory"), F.col("hourly"), F.col("label")]
-    best = top_k(pairs, [key], order, k, salt_by=["gpu_memory"])
+    best = top_k(pairs, [key], order, k)
     found = best.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct("gpu_memory", "hourly", "label"))).alias("offers")
     )

@@ -14,28 +14,46 @@ from slipway.functions.numbers import round_cents
 RUN_TERMS = ("run_id", "billing_start", "hourly", "max_spend")
 
 
-def deciding_polls(polls_of_runs: DataFrame) -> DataFrame:
-    """The polls that would end their run, from polls that carry their run's terms.
+def judged_polls(polls_of_runs: DataFrame) -> DataFrame:
+    """Polls that carry their run's terms, with status, spend so far and verdict.
 
-    Each poll is judged alone: finished first, then lost, then over the spend limit.
+    Each poll is judged alone: finished first, then lost, then over the spend limit. The
+    verdict is null for a poll that lets its run go on.
     """
     spent = L.accrued_spend(F.col("billing_start"), F.col("poll_ts"), F.col("hourly"))
-    judged = polls_of_runs.withColumn("_text", L.status_text(F.col("raw_status"))).select(
+    decoded = polls_of_runs.withColumn("_text", L.status_text(F.col("raw_status"))).select(
         "run_id",
         "poll_ts",
         L.decode_status(F.col("_text")).alias("_d"),
         L.elapsed_seconds(F.col("billing_start"), F.col("poll_ts")).alias("elapsed_seconds"),
         spent.alias("spent"),
-        L.spend_tripped(spent, F.col("hourly"), F.col("max_spend")).alias("_over"),
+        L.spend_tripped(spent, F.col("hourly"), F.col("max_spend")).alias("over_limit"),
     )
-    return judged.select(
+    return decoded.select(
         "run_id",
         "poll_ts",
-        L.poll_verdict(F.col("_d.status"), F.col("_over")).alias("verdict"),
+        F.col("_d.status").alias("status"),
         F.col("_d.exit_code").alias("exit_code"),
         "elapsed_seconds",
         "spent",
-    ).filter(F.col("verdict").isNotNull())
+        "over_limit",
+        L.poll_verdict(F.col("_d.status"), F.col("over_limit")).alias("verdict"),
+    )
+
+
+def deciding_polls(polls_of_runs: DataFrame) -> DataFrame:
+    """The polls that would end their run."""
+    return (
+        judged_polls(polls_of_runs)
+        .filter(F.col("verdict").isNotNull())
+        .select("run_id", "poll_ts", "verdict", "exit_code", "elapsed_seconds", "spent")
+    )
+
+
+def accrued_spend(polls: DataFrame, runs: DataFrame) -> DataFrame:
+    """Every poll with its decoded status and what its run had cost by then."""
+    met = lookup_join(polls, runs.select(*RUN_TERMS), ["run_id"], ["poll_ts"], how="inner")
+    return judged_polls(met).drop("verdict")
 
 
 def first_decision() -> Column:
@@ -104,6 +122,18 @@ def classify_launch_errors(errors: DataFrame) -> DataFrame:
     ).withColumn("data_centers", X.data_centers(F.col("message")))
 
 
+def ssh_endpoints(snapshots: DataFrame) -> DataFrame:
+    """Every snapshot of a pod with host and port of its SSH endpoint, null while it has none."""
+    found = snapshots.withColumn("_document", F.try_parse_json("payload")).withColumn(
+        "_endpoint", L.ssh_endpoint(F.col("provider"), F.col("_document"))
+    )
+    return found.select(
+        *snapshots.columns,
+        F.col("_endpoint.host").alias("host"),
+        F.col("_endpoint.port").alias("port"),
+    )
+
+
 def pod_readiness(snapshots: DataFrame) -> DataFrame:
     """Whether every pod became ready, failed, timed out or is still pending.
 

@@ -268,6 +268,21 @@ TEMPLATE_VARIABLES = {"HOME_DIR": "/home/ann", "TEAM": "{run_id}"}
 TEMPLATE_CONFIG_DIR = "/etc/jobs"
 TEMPLATE_CWD = "/work/here"
 
+MODEL_NAMES = Binding(
+    "part",
+    {
+        "part_id": "p_partkey",
+        "model_id": cases(
+            "p_partkey",
+            "p_brand || '/' || p_name",
+            "' ' || upper(p_name) || ' (' || p_type || ') '",
+            "'--/' || p_name || '_v1.5/'",
+            "' / '",
+            "p_name || ' É/字' || chr(9)",
+        ),
+    },
+)
+
 _FIFTH = whole("page_id / 5")
 _FIRST_FILE = cases(
     _FIFTH,

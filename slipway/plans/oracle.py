@@ -457,7 +457,7 @@ _POLLS = ("polls", B.RUN_POLLS.sql())
 _RUNS = ("runs", B.runs_sql())
 _JUDGED = (
     "judged",
-    "SELECT r.run_id, poll_ts, status, exit_code, elapsed, spent, CASE WHEN status = 'done' THEN 0 "
+    "SELECT r.run_id, poll_ts, status, exit_code, elapsed, spent, hourly, max_spend, CASE WHEN status = 'done' THEN 0 "
     "WHEN status <> 'running' THEN 1 "
     "WHEN hourly > 0 AND max_spend > 0 AND spent >= max_spend THEN 2 END AS verdict FROM ("
     "SELECT *, elapsed / 3600E0 * hourly AS spent FROM (SELECT p.run_id, p.poll_ts, r.hourly, r.max_spend, "
@@ -496,7 +496,7 @@ _SNAPSHOTS = ("snapshots", B.POD_SNAPSHOTS.sql())
 _STATES_OF_PODS = (
     "pod_states",
     "SELECT *, CASE WHEN host IS NOT NULL AND up THEN 'ready' WHEN down THEN 'failed' ELSE 'pending' END AS state FROM ("
-    "SELECT pod_id, provider, observed_ts, "
+    "SELECT pod_id, provider, observed_ts, payload, "
     "CASE provider WHEN 'runpod' THEN upper(trim(json_extract_string(payload, '$.desiredStatus'))) = 'RUNNING' "
     "ELSE json_extract_string(payload, '$.status') = 'ACTIVE' END AS up, "
     "CASE provider WHEN 'runpod' THEN upper(trim(json_extract_string(payload, '$.desiredStatus'))) IN ('EXITED', 'TERMINATED') "
@@ -553,6 +553,13 @@ ORACLES: dict[str, str] = {
     ),
     "estimated_hourly": f"SELECT q.*, {_price('q.cloud_type')} AS estimated_hourly FROM ({B.GPU_QUOTES.sql()}) q "
     f"LEFT JOIN ({_CATALOG}) g ON g.gpu_id = q.gpu_id",
+    "price_offers": _with(
+        _OFFERS,
+        body="SELECT cloud_id, label, hourly, hourly * gpu_count AS pod_hourly FROM (SELECT *, "
+        "CASE WHEN price_on_demand > 0 THEN price_on_demand WHEN price_community > 0 THEN price_community END AS hourly, "
+        "coalesce(gpu_type, '?') || ' (' || coalesce(provider, '?') || '/' || coalesce(cloud_id, '?') || ')' AS label "
+        "FROM offers)",
+    ),
     "list_offers": _with(
         _OFFERS, _RENTABLE,
         body="SELECT cloud_id, gpu_memory, hourly, label, data_center FROM rentable "
@@ -593,6 +600,7 @@ ORACLES: dict[str, str] = {
         ("templates", B.TEMPLATES.sql()), *_expand_cte("templates", "filled", ("model_id", "results_dir")),
         body="SELECT * FROM filled",
     ),
+    "model_slugs": f"SELECT *, {_slug('model_id')} AS slug FROM ({B.MODEL_NAMES.sql()})",
     "infer_command": _with(
         _CODE, _COMMANDS, body=f"SELECT project_id, command, {_COMMAND_ERROR} AS reject_reason FROM commands"
     ),
@@ -629,6 +637,11 @@ ORACLES: dict[str, str] = {
         "results_dir || '/' || run_id AS results_dir, checked_files AS verified_file_count "
         "FROM reasoned WHERE reject_class IS NULL",
     ),
+    "accrued_spend": _with(
+        _POLLS, _RUNS, _JUDGED,
+        body="SELECT run_id, status, exit_code, elapsed AS elapsed_seconds, spent, "
+        "hourly > 0 AND max_spend > 0 AND spent >= max_spend AS over_limit FROM judged",
+    ),
     "run_outcome": _with(
         *_ENDED_PARTS,
         body="SELECT run_id, outcome, exit_code, elapsed_seconds, spent, "
@@ -679,6 +692,10 @@ ORACLES: dict[str, str] = {
         f"ELSE 'other' END AS error_class, array_to_string([trim(d) FOR d IN string_split(regexp_extract(message, '{_CENTERS}', 1), ',')], '|') "
         "AS data_centers FROM errors",
     ),
+    "ssh_endpoints": _with(
+        _SNAPSHOTS, _STATES_OF_PODS,
+        body="SELECT pod_id, provider, payload, host, CASE WHEN host IS NOT NULL THEN port END AS port FROM pod_states",
+    ),
     "pod_readiness": _with(
         _SNAPSHOTS, _STATES_OF_PODS, _POD_TIMES,
         (

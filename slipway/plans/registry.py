@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slipway.functions import text as X
 from slipway.operators import code, logs, memory, offers, planning, settings, sizing, telemetry
 from slipway.plans import bindings as B
 from slipway.session import shared_dir
@@ -122,6 +123,12 @@ def estimated_hourly(spark, sf_dir):
     return offers.estimated_hourly(B.GPU_QUOTES.frame(spark, sf_dir))
 
 
+@query
+def price_offers(spark, sf_dir):
+    priced = offers.price_offers(B.GPU_OFFERS.frame(spark, sf_dir))
+    return priced.select("cloud_id", "label", "hourly", "pod_hourly")
+
+
 @query
 def list_offers(spark, sf_dir):
     listed = offers.list_offers(B.GPU_OFFERS.frame(spark, sf_dir), **LISTED_REQUEST)
@@ -184,6 +191,11 @@ def expand_templates(spark, sf_dir):
     )
 
 
+@query
+def model_slugs(spark, sf_dir):
+    return B.MODEL_NAMES.frame(spark, sf_dir).withColumn("slug", X.model_slug(F.col("model_id")))
+
+
 @query
 def infer_command(spark, sf_dir):
     return code.infer_command(B.CODE_FILES.frame(spark, sf_dir))
@@ -278,6 +290,11 @@ def plan_summary(spark, sf_dir):
 _OUTCOME = ("run_id", "outcome", "exit_code", "elapsed_seconds", "spent")
 
 
+@query
+def accrued_spend(spark, sf_dir):
+    return telemetry.accrued_spend(B.RUN_POLLS.frame(spark, sf_dir), B.runs(spark, sf_dir)).drop("poll_ts")
+
+
 @query
 def run_outcome(spark, sf_dir):
     ended = telemetry.run_outcome(B.RUN_POLLS.frame(spark, sf_dir), B.runs(spark, sf_dir))
@@ -333,6 +350,12 @@ def classify_launch_errors(spark, sf_dir):
     return found.select("run_id", "error_class", _joined("data_centers"))
 
 
+@query
+def ssh_endpoints(spark, sf_dir):
+    found = telemetry.ssh_endpoints(B.POD_SNAPSHOTS.frame(spark, sf_dir))
+    return found.select("pod_id", "provider", "payload", "host", "port")
+
+
 @query
 def pod_readiness(spark, sf_dir):
     return telemetry.pod_readiness(B.POD_SNAPSHOTS.frame(spark, sf_dir))
