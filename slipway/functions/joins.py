@@ -29,8 +29,11 @@ def lookup_join(
 
     Rows of a hot key are spread by ``salt_by`` over ``salts`` tasks, and the short side is
     repeated once per salt. Adaptive execution still turns this into a broadcast when the
-    measured size of ``right`` is under the session's threshold.
+    measured size of ``right`` is under the session's threshold. One salt means a plain
+    join, for tables that are bucketed by the key and need no shuffle at all.
     """
+    if salts <= 1:
+        return left.join(right, list(on), how)
     salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (
         left.withColumn("_salt", salt_of(*(F.col(name) for name in salt_by), salts=salts))

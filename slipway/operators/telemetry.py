@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from slipway import constants as C
 from slipway.functions import telemetry as L
 from slipway.functions import text as X
-from slipway.functions.joins import lookup_join
+from slipway.functions.joins import SALTS, lookup_join
 from slipway.functions.numbers import round_cents
 
 RUN_TERMS = ("run_id", "billing_start", "hourly", "max_spend")
@@ -50,10 +50,14 @@ def deciding_polls(polls_of_runs: DataFrame) -> DataFrame:
     )
 
 
-def accrued_spend(polls: DataFrame, runs: DataFrame) -> DataFrame:
+def _with_terms(polls: DataFrame, runs: DataFrame, salts: int) -> DataFrame:
+    terms = runs.select(*RUN_TERMS)
+    return lookup_join(polls, terms, ["run_id"], ["poll_ts"], how="inner", salts=salts)
+
+
+def accrued_spend(polls: DataFrame, runs: DataFrame, *, salts: int = SALTS) -> DataFrame:
     """Every poll with its decoded status and what its run had cost by then."""
-    met = lookup_join(polls, runs.select(*RUN_TERMS), ["run_id"], ["poll_ts"], how="inner")
-    return judged_polls(met).drop("verdict")
+    return judged_polls(_with_terms(polls, runs, salts)).drop("verdict")
 
 
 def first_decision() -> Column:
@@ -62,17 +66,20 @@ def first_decision() -> Column:
 
 
 def run_outcome(
-    polls: DataFrame, runs: DataFrame, *, keep_on_failure: Column | bool = False
+    polls: DataFrame,
+    runs: DataFrame,
+    *,
+    keep_on_failure: Column | bool = False,
+    salts: int = SALTS,
 ) -> DataFrame:
     """How every run ended: success, failed, lost, max_spend, or still running.
 
     Polls meet their run's terms in a salted join, are judged one by one, and only the
     deciding ones are grouped, with a partial minimum first: a run with a third of all
-    polls is spread over the salts and comes to the last step as a few rows.
+    polls is spread over the salts and comes to the last step as a few rows. With tables
+    bucketed by run, ``salts=1`` leaves no shuffle.
     """
-    terms = runs.select(*RUN_TERMS)
-    met = lookup_join(polls, terms, ["run_id"], ["poll_ts"], how="inner")
-    decided = deciding_polls(met).groupBy("run_id").agg(first_decision().alias("_first"))
+    decided = deciding_polls(_with_terms(polls, runs, salts)).groupBy("run_id").agg(first_decision().alias("_first"))
     outcome = L.outcome_name(F.col("_first.verdict"), F.col("_first.exit_code"))
     keep_failed = F.lit(keep_on_failure) if isinstance(keep_on_failure, bool) else keep_on_failure
     return (
@@ -90,9 +97,9 @@ def run_outcome(
     )
 
 
-def spend_guard(polls: DataFrame, runs: DataFrame) -> DataFrame:
+def spend_guard(polls: DataFrame, runs: DataFrame, *, salts: int = SALTS) -> DataFrame:
     """Runs stopped by their spend limit, with what they had spent and the message."""
-    stopped = run_outcome(polls, runs).filter(F.col("outcome") == "max_spend")
+    stopped = run_outcome(polls, runs, salts=salts).filter(F.col("outcome") == "max_spend")
 
     def dollars(value: Column) -> Column:
         return F.format_string("%.2f", round_cents(value))

@@ -21,6 +21,14 @@ def write_table(df: DataFrame, path: str, *, mode: str = "errorifexists") -> Non
     df.write.mode(mode).parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, *, path: str | None = None) -> None:
+    """A table bucketed and sorted by ``key``, for joins and groupings without a shuffle."""
+    writer = df.write.bucketBy(buckets, key).sortBy(key).format("parquet")
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+
+
 def append_events(events: DataFrame, path: str) -> None:
     """Events added to an event table."""
     events.write.mode("append").parquet(path)

@@ -10,6 +10,7 @@ from slipway import schemas as S
 from slipway.functions import telemetry as L
 from slipway.functions import text as X
 from slipway.operators import logs, telemetry
+from slipway.sources import sinks
 
 T0 = datetime(2024, 5, 1)
 
@@ -97,6 +98,24 @@ def test_outcomes_with_a_hot_run_equal_the_loop(spark):
     assert len(set(expected.values())) > 3
 
 
+def test_bucketed_tables_need_no_shuffle(spark, runs, tmp_path):
+    polls = spark.createDataFrame(POLLS, S.RUN_POLLS)
+    sinks.write_bucketed(polls, "polls_by_run", "run_id", 4, path=str(tmp_path / "polls"))
+    sinks.write_bucketed(runs, "runs_by_run", "run_id", 4, path=str(tmp_path / "runs"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ended = telemetry.run_outcome(spark.table("polls_by_run"), spark.table("runs_by_run"), salts=1)
+        plan = ended._jdf.queryExecution().executedPlan().toString()
+        found = sorted(map(tuple, ended.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("DROP TABLE polls_by_run")
+        spark.sql("DROP TABLE runs_by_run")
+    assert "Exchange" not in plan
+    assert found == sorted(map(tuple, telemetry.run_outcome(polls, runs).collect()))
+
+
 def test_events(spark):
     frame = spark.createDataFrame(
         [("r", 2, "error", "b"), ("r", 1, "status", "a"), ("r", 3, "status", "c")], S.RUN_EVENTS
