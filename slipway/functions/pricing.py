@@ -17,7 +17,7 @@ def is_community(cloud_type: Column) -> Column:
 
 
 def price_for_cloud(cloud_type: Column, community: Column, secure: Column) -> Column:
-    """Community price for COMMUNITY in any case, secure price for anything else."""
+    """What holds for community offers if the cloud is COMMUNITY in any case, else the other."""
     return F.when(is_community(cloud_type), community).otherwise(secure)
 
 
@@ -136,7 +136,7 @@ def estimated_hourly(gpu_id: Column, cloud_type: Column, catalog: Sequence[GpuTy
         pairs = [part for gpu in catalog for part in (F.lit(gpu.gpu_id), F.lit(hourly(gpu, community)))]
         return F.try_element_at(F.create_map(*pairs), gpu_id)
 
-    return F.when(is_community(cloud_type), price(True)).otherwise(price(False))
+    return price_for_cloud(cloud_type, price(True), price(False))
 
 
 def billed_hourly(catalog_hourly: Column, planned_hourly: Column) -> Column:
@@ -169,4 +169,4 @@ def cheapest_fit(need_gb: Column, cloud_type: Column, catalog: Sequence[GpuType]
             return F.lit(None).cast("struct<gpu_id:string,hourly:double>")
         return steps
 
-    return F.when(is_community(cloud_type), ladder(True)).otherwise(ladder(False))
+    return price_for_cloud(cloud_type, ladder(True), ladder(False))

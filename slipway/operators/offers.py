@@ -23,9 +23,11 @@ def _fits(floor: Column, cap: Column, cloud_type: Column, catalog: Sequence[GpuT
     def keep(offer: Column) -> Column:
         return (offer["memory_gb"] >= floor) & P.within_cap(offer["hourly"], cap)
 
-    return F.when(
-        P.is_community(cloud_type), F.filter(P.ranked_catalog(catalog, True), keep)
-    ).otherwise(F.filter(P.ranked_catalog(catalog, False), keep))
+    return P.price_for_cloud(
+        cloud_type,
+        F.filter(P.ranked_catalog(catalog, True), keep),
+        F.filter(P.ranked_catalog(catalog, False), keep),
+    )
 
 
 def candidate_gpus(requests: DataFrame, catalog: Sequence[GpuType] = GPU_CATALOG) -> DataFrame:
@@ -142,14 +144,14 @@ def _price_levels(offers: DataFrame, k: int) -> DataFrame:
     """
     scoped = rentable_offers(offers).select(
         F.col("gpu_count").alias("_gpus"),
-        F.explode(F.array(F.lit(P.ANY_SECURITY), F.col("security"))).alias("scope"),
+        F.explode(F.array_distinct(F.array(F.lit(P.ANY_SECURITY), F.col("security")))).alias("_scope"),
         "gpu_memory",
         "hourly",
         "label",
     )
-    level = ["_gpus", "scope", "gpu_memory"]
+    level = ["_gpus", "_scope", "gpu_memory"]
     best = top_k(
-        scoped.filter(F.col("scope").isNotNull()),
+        scoped.filter(F.col("_scope").isNotNull()),
         level,
         [F.col("hourly"), F.col("label")],
         k,
@@ -162,7 +164,7 @@ def _price_levels(offers: DataFrame, k: int) -> DataFrame:
 
 def _match_by_ladder(asked: DataFrame, levels: DataFrame, k: int) -> DataFrame:
     """Every request filters a broadcast array of levels; requests do not move."""
-    ladder = levels.groupBy("_gpus", "scope").agg(
+    ladder = levels.groupBy("_gpus", "_scope").agg(
         F.sort_array(F.collect_list(F.struct("gpu_memory", "offers"))).alias("levels")
     )
     big_enough = F.filter(F.col("levels"), lambda level: level["gpu_memory"] >= F.col("_floor"))
@@ -178,7 +180,7 @@ def _match_by_ladder(asked: DataFrame, levels: DataFrame, k: int) -> DataFrame:
         ),
     )
     return (
-        asked.join(F.broadcast(ladder), ["_gpus", "scope"], "left")
+        asked.join(F.broadcast(ladder), ["_gpus", "_scope"], "left")
         .withColumn("offers", F.slice(F.flatten(affordable), 1, k))
         .drop("levels")
     )
@@ -193,7 +195,7 @@ def _match_by_level(asked: DataFrame, levels: DataFrame, key: str, k: int) -> Da
     spread = levels.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     pairs = (
         asked.withColumn("_salt", salt_of(F.col(key)))
-        .join(spread, ["_gpus", "scope", "_salt"])
+        .join(spread, ["_gpus", "_scope", "_salt"])
         .filter(F.col("gpu_memory") >= F.col("_floor"))
         .select(
             key,
@@ -227,15 +229,16 @@ def top_offers(
 
     Offers are cut to the ``k`` cheapest per memory level before requests see them, and the
     levels are written to the shared folder and counted. They are broadcast if they hold
-    at most ``max_broadcast`` offers; beyond that both sides meet in a salted shuffle. ``key`` names a unique request
-    id, and requests that fail ``only`` get no offers. The cap is that of the whole pod.
+    at most ``max_broadcast`` offers; beyond that both sides meet in a salted shuffle.
+    ``key`` names a unique request id, and requests that fail ``only`` get no offers. The
+    cap is that of the whole pod.
     """
     levels = checkpointed(_price_levels(offers, k))
     scope = P.security_scope(F.col("cloud_type"))
     asked = requests.select(
         *requests.columns,
         F.greatest(F.lit(1), F.col("gpu_count")).alias("_gpus"),
-        (scope if only is None else F.when(only, scope)).alias("scope"),
+        (scope if only is None else F.when(only, scope)).alias("_scope"),
         P.per_gpu_cap(F.col("max_dollars_per_hour"), F.col("gpu_count")).alias("_cap"),
         F.col("vram_gb").alias("_floor"),
     )

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from slipway import constants as C
 from slipway.constants import GPU_CATALOG, GpuType
 from slipway.functions import models as M
-from slipway.functions import pricing as P
 from slipway.functions import text as X
 from slipway.functions.joins import lookup_join
 from slipway.operators.code import verify_projects

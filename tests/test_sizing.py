@@ -71,6 +71,7 @@ CONFIGS = [
     ("true", '{"hidden_size": true, "n_head": false}', (1, None, None, None, None)),
     ("small", '{"hidden_size": 3, "n_head": 4}', (3, None, 4, 0, None)),
     ("huge", '{"hidden_size": 99999999999999999999, "d_model": 8}', (8, None, None, None, None)),
+    ("twice", '{"n_layer": 2, "n_layer": 5}', (None, 5, None, None, None)),
     ("list", "[1]", (None,) * 5),
     ("broken", "{", (None,) * 5),
     ("missing", None, (None,) * 5),
