@@ -28,9 +28,8 @@ def weight_file_bytes(name: Column, size_bytes: Column) -> Column:
     return F.when((size_bytes > 0) & is_weight_file(name), size_bytes).otherwise(F.lit(0))
 
 
-def half_bytes_per_param(dtype: Column) -> Column:
-    """Storage width in half bytes, so that 4-bit types stay whole numbers."""
-    tag = F.upper(dtype)
+def half_bytes_per_param(tag: Column) -> Column:
+    """Storage width of an upper-case dtype tag in half bytes, so that 4-bit types stay whole."""
     return (
         F.when(tag.isin(*C.EIGHT_BYTE_DTYPES), 16)
         .when(tag.isin(*C.FOUR_BYTE_DTYPES), 8)

@@ -14,13 +14,26 @@ _SHAPE = ("hidden_size", "num_layers", "num_kv_heads", "head_dim", "max_context"
 
 
 def _file_bytes(model_files: DataFrame) -> DataFrame:
-    """Bytes every file adds to its model; the name is put in lower case once, not per suffix."""
+    """Bytes every file adds to its model, as whole GiB and the rest.
+
+    Both parts add up exactly and far from the limits of a 64-bit sum, however many files a
+    model has. The name is put in lower case once, not per suffix.
+    """
     named = model_files.withColumn("_name", F.lower("file_name"))
-    return named.select(
-        "model_id", M.weight_file_bytes(F.col("_name"), F.col("size_bytes")).alias("bytes")
+    counted = named.select(
+        "model_id", M.weight_file_bytes(F.col("_name"), F.col("size_bytes")).alias("_bytes")
+    )
+    return counted.select(
+        "model_id",
+        F.shiftright("_bytes", 30).alias("file_gib"),
+        F.col("_bytes").bitwiseAND(F.lit(C.GIB - 1)).alias("file_rest"),
     )
 
 
+def _size_gb(file_gib: Column, file_rest: Column) -> Column:
+    return F.when((file_gib > 0) | (file_rest > 0), file_gib + M.gib(file_rest))
+
+
 def weight_file_rollup(model_files: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """Size of every model's weight files in GiB.
 
@@ -30,14 +43,17 @@ def weight_file_rollup(model_files: DataFrame, models: DataFrame | None = None)
     """
     rows = _file_bytes(model_files).withColumn("listed", F.lit(1))
     if models is not None:
-        asked = models.select("model_id", F.lit(0).cast("bigint").alias("bytes"), F.lit(0).alias("listed"))
+        none = F.lit(0).cast("bigint")
+        asked = models.select("model_id", none.alias("file_gib"), none.alias("file_rest"), F.lit(0).alias("listed"))
         rows = rows.unionByName(asked)
     totals = rows.groupBy("model_id").agg(
-        F.sum("bytes").alias("bytes"), F.max("listed").alias("listed")
+        F.sum("file_gib").alias("file_gib"),
+        F.sum("file_rest").alias("file_rest"),
+        F.max("listed").alias("listed"),
     )
     return totals.select(
         "model_id",
-        F.when(F.col("bytes") > 0, M.gib(F.col("bytes"))).alias("size_gb"),
+        _size_gb(F.col("file_gib"), F.col("file_rest")).alias("size_gb"),
         F.when(F.col("listed") == 1, F.lit("metadata")).otherwise(F.lit("unavailable")).alias("source"),
     )
 
@@ -62,18 +78,54 @@ def model_size_report(model_files: DataFrame, models: DataFrame | None = None) -
     )
 
 
+def _tensor_bytes(tensor_counts: DataFrame) -> DataFrame:
+    """Parameters and half bytes of every tensor row; the tag is put in upper case once.
+
+    A product beyond 64 bits is null and shows as a missing width in the counts.
+    """
+    tagged = tensor_counts.select(
+        "model_id",
+        F.coalesce(F.col("param_count"), F.lit(0)).alias("param_count"),
+        F.upper("dtype").alias("_tag"),
+    )
+    return tagged.select(
+        "model_id",
+        "param_count",
+        F.try_multiply(F.col("param_count"), M.half_bytes_per_param(F.col("_tag"))).alias("half_bytes"),
+    )
+
+
+# Sums that give null instead of failing the job when one model's counts pass 64 bits.
+_COUNT_SUMS = (
+    ("params", F.try_sum, "param_count"),
+    ("half_bytes", F.try_sum, "half_bytes"),
+    ("tensors", F.count, "param_count"),
+    ("widths", F.count, "half_bytes"),
+)
+
+
+def _counts() -> list[Column]:
+    return [function(column).alias(name) for name, function, column in _COUNT_SUMS]
+
+
+def _too_large() -> Column:
+    params, half_bytes, tensors, widths = (F.col(name) for name, _, _ in _COUNT_SUMS)
+    return (tensors > 0) & (params.isNull() | half_bytes.isNull() | (widths < tensors))
+
+
 def param_rollup(tensor_counts: DataFrame) -> DataFrame:
     """Parameters and weight bytes per model; models without positive counts have none.
 
     Widths are summed in half bytes as integers, so 4-bit types add up exactly and in any
-    order; the odd half byte is cut at the end.
+    order; the odd half byte is cut at the end. A model whose counts pass 64 bits keeps its
+    row with nulls.
     """
-    totals = tensor_counts.groupBy("model_id").agg(
-        F.sum("param_count").alias("param_count"),
-        F.sum(F.col("param_count") * M.half_bytes_per_param(F.col("dtype"))).alias("half_bytes"),
-    )
-    return totals.filter(F.col("param_count") > 0).select(
-        "model_id", "param_count", F.expr("half_bytes div 2").alias("weight_bytes")
+    totals = _tensor_bytes(tensor_counts).groupBy("model_id").agg(*_counts())
+    fits = ~_too_large()
+    return totals.filter(_too_large() | (F.col("params") > 0)).select(
+        "model_id",
+        F.when(fits, F.col("params")).alias("param_count"),
+        F.when(fits, F.expr("half_bytes div 2")).alias("weight_bytes"),
     )
 
 
@@ -119,50 +171,46 @@ def resolve_specs(
     aggregation. ``model_configs`` holds one row per model.
     """
     no_number = F.lit(None).cast("bigint")
-    no_counts = [no_number.alias("param_count"), no_number.alias("half_bytes")]
-    no_shape = [no_number.alias(name) for name in _SHAPE]
-    stacked = (
-        tensor_counts.select(
-            "model_id",
-            "param_count",
-            (F.col("param_count") * M.half_bytes_per_param(F.col("dtype"))).alias("half_bytes"),
-            no_number.alias("file_bytes"),
-            *no_shape,
-        )
-        .unionByName(
-            _file_bytes(model_files).select(
-                "model_id", *no_counts, F.col("bytes").alias("file_bytes"), *no_shape
-            )
-        )
-        .unionByName(
-            extract_architecture(model_configs).select(
-                "model_id",
-                *no_counts,
-                no_number.alias("file_bytes"),
-                *_SHAPE,
-            )
+
+    def row(frame: DataFrame, *own: str) -> DataFrame:
+        columns = ("param_count", "half_bytes", "file_gib", "file_rest", *_SHAPE)
+        return frame.select(
+            "model_id", *(F.col(name) if name in own else no_number.alias(name) for name in columns)
         )
+
+    stacked = (
+        row(_tensor_bytes(tensor_counts), "param_count", "half_bytes")
+        .unionByName(row(_file_bytes(model_files), "file_gib", "file_rest"))
+        .unionByName(row(extract_architecture(model_configs), *_SHAPE))
     )
     facts = stacked.groupBy("model_id").agg(
-        F.sum("param_count").alias("params"),
-        F.sum("half_bytes").alias("half_bytes"),
-        F.sum("file_bytes").alias("file_bytes"),
+        *_counts(),
+        F.sum("file_gib").alias("file_gib"),
+        F.sum("file_rest").alias("file_rest"),
         *(F.max(name).alias(name) for name in _SHAPE),
     )
-    counted = F.col("params") > 0
-    sized = F.col("file_bytes") > 0
-    return facts.select(
+    file_bytes = F.try_add(
+        F.try_multiply(F.col("file_gib"), F.lit(C.GIB).cast("bigint")), F.col("file_rest")
+    )
+    resolved = facts.select(
+        "model_id",
+        "params",
+        "half_bytes",
+        *_SHAPE,
+        _too_large().alias("too_many"),
+        (~_too_large() & F.coalesce(F.col("params") > 0, F.lit(False))).alias("counted"),
+        _size_gb(F.col("file_gib"), F.col("file_rest")).isNotNull().alias("sized"),
+        file_bytes.alias("file_bytes"),
+    )
+    counted, sized, too_many = F.col("counted"), F.col("sized"), F.col("too_many")
+    by_size = ~counted & ~too_many & F.col("file_bytes").isNotNull() & sized
+    return resolved.select(
         "model_id",
-        F.when(counted, F.col("params"))
-        .when(sized, F.expr("file_bytes div 2"))
-        .alias("param_count"),
-        F.when(counted, F.expr("half_bytes div 2"))
-        .when(sized, F.col("file_bytes"))
-        .alias("weight_bytes"),
+        F.when(counted, F.col("params")).when(by_size, F.expr("file_bytes div 2")).alias("param_count"),
+        F.when(counted, F.expr("half_bytes div 2")).when(by_size, F.col("file_bytes")).alias("weight_bytes"),
         *_SHAPE,
-        F.when(counted, F.lit("safetensors")).when(sized, F.lit("file-size")).alias("source"),
-        F.when(
-            ~F.coalesce(counted, F.lit(False)) & ~F.coalesce(sized, F.lit(False)),
-            F.lit("no safetensors metadata and no weight files found"),
-        ).alias("reject_reason"),
+        F.when(counted, F.lit("safetensors")).when(by_size, F.lit("file-size")).alias("source"),
+        F.when(too_many | (~counted & sized & ~by_size), F.lit("counts pass 64 bits"))
+        .when(~counted & ~sized, F.lit("no safetensors metadata and no weight files found"))
+        .alias("reject_reason"),
     )
