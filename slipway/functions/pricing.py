@@ -84,9 +84,12 @@ def select_image(image: Column, images: Column) -> Column:
 
 
 def clamp_disk(requested_gb: Column, disk_min_gb: Column, disk_max_gb: Column) -> Column:
-    """The request raised to the offer's minimum, then cut to its maximum; null if <= 0."""
-    raised = F.greatest(requested_gb.cast("bigint"), disk_min_gb.cast("bigint"))
-    size = F.least(raised, disk_max_gb.cast("bigint"))
+    """The request raised to the offer's minimum, then cut to its maximum; null if <= 0.
+
+    A limit that is no number, or beyond any disk, does not count.
+    """
+    raised = F.greatest(requested_gb.cast("bigint"), disk_min_gb.try_cast("bigint"))
+    size = F.least(raised, disk_max_gb.try_cast("bigint"))
     return F.when(requested_gb.isNotNull() & (size > 0), size)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import tarfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -152,19 +153,30 @@ def read_code_tree(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_code_archives(spark: SparkSession, path: str) -> DataFrame:
-    """``<path>/.../<project_id>.tar.gz`` as code files; every archive is unpacked in a task."""
+    """``<path>/.../<project_id>.tar.gz`` as code files; every archive is unpacked in a task.
+
+    An archive that cannot be read, or that has no files, is one row without a path.
+    """
+
+    def files(content: bytes) -> Iterator[tuple[str, str]]:
+        with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
+            for member in archive:
+                if member.isfile():
+                    text = archive.extractfile(member).read().decode("utf-8", "replace")
+                    yield member.name.removeprefix("./"), text
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for project, content in zip(frame["project_id"], frame["content"]):
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
-                    for member in archive:
-                        if member.isfile():
-                            text = archive.extractfile(member).read().decode("utf-8", "replace")
-                            name = member.name.removeprefix("./")
-                            yield pd.DataFrame(
-                                {"project_id": [project], "entry_file": [None], "rel_path": [name], "content": [text]}
-                            )
+                found: list[tuple[str | None, str | None]]
+                try:
+                    found = list(files(content))
+                except (tarfile.TarError, EOFError, OSError, zlib.error):
+                    found = []
+                names, texts = zip(*(found or [(None, None)]))
+                yield pd.DataFrame(
+                    {"project_id": project, "entry_file": None, "rel_path": names, "content": texts}
+                )
 
     archives = (
         spark.read.format("binaryFile")

@@ -187,6 +187,8 @@ def test_disk_is_clamped(spark):
     frame = spark.createDataFrame(
         [offer(), offer(disk_min_gb=None, disk_max_gb=0.5), offer(disk_min_gb=None, disk_max_gb=None)], S.GPU_OFFERS
     )
+    odd = spark.createDataFrame([offer(disk_min_gb=1e300, disk_max_gb=float("nan"))], S.GPU_OFFERS)
+    assert O.clamp_disk(odd, 7).first().disk_gb == 7
     found = {n: [r.disk_gb for r in O.clamp_disk(frame, n).collect()] for n in (120, 10, 900)}
     assert found == {120: [120, None, 120], 10: [40, None, 10], 900: [500, None, 900]}
 

@@ -95,7 +95,12 @@ def test_code_archives_have_hidden_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     with tarfile.open(tmp_path / "in/p1.tar.gz", "w:gz") as archive:
         archive.add(tmp_path / "src", arcname=".")
+    (tmp_path / "in/p2.tar.gz").write_bytes(b"no archive")
+    (tmp_path / "in/p3.tar.gz").write_bytes((tmp_path / "in/p1.tar.gz").read_bytes()[:40])
     tree = landed.read_code_archives(spark, str(tmp_path / "in"))
+    broken = {(r.project_id, r.rel_path) for r in tree.collect() if r.project_id != "p1"}
+    assert broken == {("p2", None), ("p3", None)}
+    tree = tree.filter("project_id = 'p1'")
     found = {(r.project_id, r.rel_path): r.content for r in tree.collect()}
     assert found == {("p1", ".env"): "x", ("p1", "pkg/__init__.py"): "def broken(:", ("p1", "run.py"): ""}
     assert {r.rel_path for r in code.select_bundle_files(tree).collect()} == {"pkg/__init__.py", "run.py"}
