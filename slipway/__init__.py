@@ -7,7 +7,7 @@ from slipway.operators.code import (
     select_code_files,
     verify_projects,
 )
-from slipway.operators.logs import log_tail, parse_run_log, split_lines, stdout_tail
+from slipway.operators.logs import log_entries, log_tail, parse_run_log, split_lines, stdout_tail
 from slipway.operators.memory import (
     estimate_for_model,
     estimate_memory,
@@ -65,6 +65,7 @@ __all__ = [
     "gpu_type_ids",
     "infer_command",
     "list_offers",
+    "log_entries",
     "log_tail",
     "make_plan",
     "match_offers",

@@ -11,7 +11,8 @@ from slipway.functions import text as X
 from slipway.functions.joins import lookup_join, top_k
 
 # Fixed value: the prefix of a line that starts a log entry.
-ENTRY = r"\A\[([0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z)\] "
+STAMP = r"\[([0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z)\] "
+ENTRY = rf"\A{STAMP}"
 
 LABEL = "Remote Standard Output"
 
@@ -105,6 +106,25 @@ def stdout_tail(lines: DataFrame, n: int = C.TAIL_LINES) -> DataFrame:
     )
 
 
+def log_entries(logs: DataFrame) -> DataFrame:
+    """The entries of whole log texts: number, time and message with its further lines.
+
+    What stands ahead of the first time prefix is an entry without a time. Every step is
+    local to its row; for logs too long for one row see ``parse_run_log``.
+    """
+    pieces = logs.select(
+        "run_id", "stream", F.posexplode(F.split("text", rf"\n(?={STAMP})", -1)).alias("_pos", "_piece")
+    )
+    stamp = F.regexp_extract("_piece", ENTRY, 1)
+    return pieces.select(
+        "run_id",
+        "stream",
+        (F.col("_pos") + 1).alias("entry"),
+        F.nullif(stamp, F.lit("")).alias("logged_at"),
+        X.strip_right(F.regexp_replace("_piece", ENTRY, "")).alias("message"),
+    )
+
+
 def parse_run_log(lines: DataFrame, block_lines: int = 100_000) -> DataFrame:
     """Every log line with the entry it belongs to and that entry's time.
 

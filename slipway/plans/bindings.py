@@ -380,6 +380,20 @@ RUN_LOGS = Binding(
     },
 )
 
+_STAMPED = "text"
+for _letter, _second in (("A", "07"), ("E", "08"), ("T", "09"), ("L", "10")):
+    _STAMPED = (
+        f"replace({_STAMPED}, chr(10) || '{_letter}', chr(10) || '[2024-05-01T00:00:{_second}Z] {_letter}')"
+    )
+STAMPED_LOGS = Binding(
+    "documents",
+    {
+        "run_id": f"'run-' || {text('doc_id')}",
+        "stream": "'log'",
+        "text": f"CASE WHEN doc_id % 3 = 0 THEN '[2024-05-01T00:00:01Z] ' ELSE '' END || {_STAMPED} || chr(10)",
+    },
+)
+
 # The line a log holds at ``line_no``: every fourth one starts an entry.
 LOG_LINE = (
     "CASE WHEN line_no % 4 = 2 THEN '[2024-05-01T00:00:' || lpad(CAST(line_no % 60 AS STRING), 2, '0') "

@@ -671,6 +671,23 @@ ORACLES: dict[str, str] = {
         "CASE WHEN len(rows_of) > 20 THEN '(... truncated ...)' || chr(10) ELSE '' END || "
         "array_to_string(rows_of[-20:], chr(10)) AS message FROM stripped WHERE body <> '' AND stream = 'stdout'",
     ),
+    "log_entries": _with(
+        ("logs", B.STAMPED_LOGS.sql()),
+        (
+            "log_lines",
+            "SELECT run_id, stream, unnest(parts) AS line, unnest(range(len(parts))) AS line_no "
+            "FROM (SELECT *, string_split(text, chr(10)) AS parts FROM logs)",
+        ),
+        ("stamped", f"SELECT *, nullif({_STAMP}, '') AS stamp FROM log_lines"),
+        (
+            "numbered",
+            "SELECT *, 1 + count(*) FILTER (stamp IS NOT NULL AND line_no > 0) OVER "
+            "(PARTITION BY run_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS entry FROM stamped",
+        ),
+        body="SELECT run_id, stream, CAST(entry AS INTEGER) AS entry, min(stamp) AS logged_at, "
+        f"regexp_replace(string_agg(CASE WHEN stamp IS NULL THEN line ELSE line[24:] END, chr(10) ORDER BY line_no), '{_BLANK}+\\z', '') "
+        "AS message FROM numbered GROUP BY run_id, stream, entry",
+    ),
     "parse_run_log": _with(
         _LOGS, _LINE_ROWS,
         ("stamped", f"SELECT *, nullif({_STAMP}, '') AS stamp FROM line_rows"),

@@ -338,6 +338,11 @@ def stdout_tail(spark, sf_dir):
     return logs.stdout_tail(logs.split_lines(B.RUN_LOGS.frame(spark, sf_dir)))
 
 
+@query
+def log_entries(spark, sf_dir):
+    return logs.log_entries(B.STAMPED_LOGS.frame(spark, sf_dir))
+
+
 @query
 def parse_run_log(spark, sf_dir):
     lines = logs.split_lines(B.RUN_LOGS.frame(spark, sf_dir))

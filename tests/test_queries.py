@@ -46,7 +46,7 @@ def test_flagship_has_one_shuffle_with_partial_sums(spark):
 
 @pytest.mark.parametrize(
     "name",
-    ["estimate_memory", "gpu_fit_table", "candidate_gpus", "gpu_type_ids", "log_tail", "check_syntax"],
+    ["estimate_memory", "gpu_fit_table", "candidate_gpus", "gpu_type_ids", "log_tail", "log_entries", "check_syntax"],
 )
 def test_row_local_queries_do_not_shuffle(spark, sf_dir, name):
     plan = _plan(QUERIES[name](spark, sf_dir))

@@ -262,3 +262,16 @@ def test_log_entries(spark, block_lines):
         for r in logs.parse_run_log(frame, block_lines).collect()
     }
     assert found == expected
+
+
+def test_entries_of_whole_texts(spark):
+    text = "lost\n[2024-01-01T00:00:00Z] one  \n[2024-01-01T00:00:01Z] two\n  more\n\n[bad] x\n[2024-01-01T00:00:02Z] \n"
+    frame = spark.createDataFrame([("r", "log", text), ("e", "log", "")], "run_id string, stream string, text string")
+    found = [(r.run_id, r.entry, r.logged_at, r.message) for r in logs.log_entries(frame).collect()]
+    assert found == [
+        ("r", 1, None, "lost"),
+        ("r", 2, "2024-01-01T00:00:00Z", "one"),
+        ("r", 3, "2024-01-01T00:00:01Z", "two\n  more\n\n[bad] x"),
+        ("r", 4, "2024-01-01T00:00:02Z", ""),
+        ("e", 1, None, ""),
+    ]
