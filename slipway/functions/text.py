@@ -130,7 +130,6 @@ DATA_CENTERS = rf"Available data centers:{C.BLANK}*([^\n]*?)(?:\"|\.|\n?\z)"
 
 def data_centers(message: Column) -> Column:
     """Names listed after "Available data centers:", an empty array when there is no list."""
-    listed = F.transform(
-        F.split(F.regexp_extract(message, DATA_CENTERS, 1), ","), lambda name: strip(name)
-    )
-    return F.when(message.rlike(DATA_CENTERS), listed).otherwise(F.array().cast("array<string>"))
+    listed = strip(F.regexp_extract(message, DATA_CENTERS, 1))
+    names = F.split(listed, rf"{C.BLANK}*,{C.BLANK}*", -1)
+    return F.when(message.rlike(DATA_CENTERS), names).otherwise(F.array().cast("array<string>"))

@@ -266,7 +266,9 @@ def match_offers(
 ) -> DataFrame:
     """One row per request and offer in rank order, up to a page of ``k`` per request."""
     ranked = top_offers(requests, offers, k, **options)
-    return ranked.select(*requests.columns, F.posexplode("offers").alias("_pos", "_offer")).select(
+    # The slice keeps the matching out of a filter that Spark would derive from the column.
+    page = F.slice(F.col("offers"), 1, k)
+    return ranked.select(*requests.columns, F.posexplode(page).alias("_pos", "_offer")).select(
         *requests.columns,
         (F.col("_pos") + 1).alias("rank"),
         F.col("_offer.gpu_memory"),
