@@ -28,9 +28,11 @@ def lookup_join(
     """``left`` joined to the one row ``right`` has per key.
 
     Rows of a hot key are spread by ``salt_by`` over ``salts`` tasks, and the short side is
-    repeated once per salt. Adaptive execution still turns this into a broadcast when the
-    measured size of ``right`` is under the session's threshold. One salt means a plain
-    join, for tables that are bucketed by the key and need no shuffle at all.
+    repeated once per salt. A grouping by the key afterwards shuffles anew, which leaves
+    adaptive execution free to split the salted parts further by size. It still turns the
+    join into a broadcast when the measured size of ``right`` is under the session's
+    threshold. One salt means a plain join, for tables that are bucketed by the key and
+    need no shuffle at all.
     """
     if salts <= 1:
         return left.join(right, list(on), how)

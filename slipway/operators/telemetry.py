@@ -50,14 +50,15 @@ def deciding_polls(polls_of_runs: DataFrame) -> DataFrame:
     )
 
 
-def _with_terms(polls: DataFrame, runs: DataFrame, salts: int) -> DataFrame:
+def with_terms(polls: DataFrame, runs: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Polls with the billing terms of their run, a batch or a stream; hot runs are salted."""
     terms = runs.select(*RUN_TERMS)
     return lookup_join(polls, terms, ["run_id"], ["poll_ts"], how="inner", salts=salts)
 
 
 def accrued_spend(polls: DataFrame, runs: DataFrame, *, salts: int = SALTS) -> DataFrame:
     """Every poll with its decoded status and what its run had cost by then."""
-    return judged_polls(_with_terms(polls, runs, salts)).drop("verdict")
+    return judged_polls(with_terms(polls, runs, salts)).drop("verdict")
 
 
 def first_decision() -> Column:
@@ -79,7 +80,7 @@ def run_outcome(
     polls is spread over the salts and comes to the last step as a few rows. With tables
     bucketed by run, ``salts=1`` leaves no shuffle.
     """
-    decided = deciding_polls(_with_terms(polls, runs, salts)).groupBy("run_id").agg(first_decision().alias("_first"))
+    decided = deciding_polls(with_terms(polls, runs, salts)).groupBy("run_id").agg(first_decision().alias("_first"))
     outcome = L.outcome_name(F.col("_first.verdict"), F.col("_first.exit_code"))
     keep_failed = F.lit(keep_on_failure) if isinstance(keep_on_failure, bool) else keep_on_failure
     return (

@@ -1,8 +1,8 @@
 """Run outcomes from a stream of polls.
 
 Both streams take the earliest deciding poll of a run with a built-in minimum, which is
-reduced per task before it shuffles; a run that sends a third of all polls is no hot task
-and no row passes through Python. Landed rows are only ever replaced by earlier ones, so
+reduced per task before it shuffles, after a salted join with the run's terms; a run that
+sends a third of all polls is no hot task, and no row passes through Python. Landed rows are only ever replaced by earlier ones, so
 the earliest landed decision of a run is its outcome.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from slipway.functions import telemetry as L
-from slipway.operators.telemetry import RUN_TERMS, deciding_polls, first_decision
+from slipway.operators.telemetry import deciding_polls, first_decision, with_terms
 
 DECISION = (
     "run_id string, poll_ts timestamp, verdict int, exit_code bigint, "
@@ -27,9 +27,8 @@ def decisions(polls: DataFrame, runs: DataFrame) -> DataFrame:
     A decision shows at once, and an earlier poll that comes late replaces it, however
     late it is. The state is one small row per ended run.
     """
-    met = polls.join(runs.select(*RUN_TERMS), "run_id")
     return (
-        deciding_polls(met)
+        deciding_polls(with_terms(polls, runs))
         .groupBy("run_id")
         .agg(first_decision().alias("first"))
         .select("run_id", "first.*")
@@ -45,7 +44,7 @@ def settled_decisions(
     dropped then, so the state holds open windows only. Polls later than ``lateness`` are
     ignored. The first window of a run is final; later ones repeat that it has ended.
     """
-    met = polls.withWatermark("poll_ts", lateness).join(runs.select(*RUN_TERMS), "run_id")
+    met = with_terms(polls.withWatermark("poll_ts", lateness), runs)
     return (
         deciding_polls(met)
         .groupBy("run_id", F.window("poll_ts", window))

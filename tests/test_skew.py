@@ -13,21 +13,30 @@ from slipway.operators import settings, sizing, telemetry
 
 
 @contextmanager
-def shuffled(spark, partitions=32):
-    """Joins by shuffle only, and shuffle partitions as they are."""
-    changes = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.enabled": "false",
-        "spark.sql.shuffle.partitions": str(partitions),
-    }
-    before = {key: spark.conf.get(key) for key in changes}
+def configured(spark, changes):
+    before = {key: spark.conf.get(key, None) for key in changes}
     for key, value in changes.items():
         spark.conf.set(key, value)
     try:
         yield
     finally:
         for key, value in before.items():
-            spark.conf.set(key, value)
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def shuffled(spark, partitions=32):
+    """Joins by shuffle only, and shuffle partitions as they are."""
+    return configured(
+        spark,
+        {
+            "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.enabled": "false",
+            "spark.sql.shuffle.partitions": str(partitions),
+        },
+    )
 
 
 def hot(number):
@@ -134,3 +143,32 @@ def test_readiness_of_a_pod_with_very_many_snapshots(spark):
     expected = {hot(i): "pending" for i in range(3000)}
     expected.update({hot(i): "ready" for i in (1500, 1501, 2002, 2999)})
     assert found == expected
+
+
+def test_adaptive_execution_splits_the_salted_parts_further(spark):
+    """Thresholds as small as the data; on a cluster they are hundreds of megabytes."""
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "64",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+    }
+    run = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("r"), F.xxhash64("id") % 20000))
+    polls = spark.range(600_000, numPartitions=16).select(
+        run.alias("run_id"),
+        F.timestamp_seconds(1_700_000_000 + F.col("id") / 50).alias("poll_ts"),
+        F.when(F.col("id") % 9991 == 5, "done:0").otherwise("running").alias("raw_status"),
+    )
+    runs = polls.groupBy("run_id").agg(F.min("poll_ts").alias("billing_start")).select(
+        "run_id", F.lit("p").alias("pod_id"), F.lit("g").alias("gpu_type_id"), "billing_start",
+        F.lit(0.5).alias("hourly"), F.lit(1.0).alias("max_spend"), F.lit(True).alias("keep_pod_on_success"),
+    )
+    with configured(spark, small):
+        results, splits = [], []
+        for salts in (1, 4):
+            ended = telemetry.run_outcome(polls, runs, salts=salts).select("run_id", "outcome", "spent")
+            results.append(sorted(map(tuple, ended.collect()), key=str))
+            splits.append("skew=true" in ended._jdf.queryExecution().executedPlan().toString())
+    assert results[0] == results[1]
+    assert splits == [False, True]
