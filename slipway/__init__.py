@@ -7,7 +7,14 @@ from slipway.operators.code import (
     select_code_files,
     verify_projects,
 )
-from slipway.operators.logs import log_entries, log_tail, parse_run_log, split_lines, stdout_tail
+from slipway.operators.logs import (
+    failure_events,
+    log_entries,
+    log_tail,
+    parse_run_log,
+    split_lines,
+    stdout_tail,
+)
 from slipway.operators.memory import (
     estimate_for_model,
     estimate_memory,
@@ -60,6 +67,7 @@ __all__ = [
     "estimated_hourly",
     "expand_templates",
     "extract_architecture",
+    "failure_events",
     "filter_events",
     "gpu_fit_table",
     "gpu_type_ids",

@@ -52,6 +52,17 @@ def log_tail(logs: DataFrame, n: int = C.TAIL_LINES) -> DataFrame:
     )
 
 
+def failure_events(logs: DataFrame, outcomes: DataFrame, n: int = C.TAIL_LINES) -> DataFrame:
+    """The output and error events of runs that ended with a bad exit code.
+
+    ``outcomes`` has one row per run, as ``run_outcome`` gives it. The texts are cut before
+    they meet it, and by an inner join: a semi join would be moved ahead of the cut and
+    could shuffle whole logs.
+    """
+    failed = outcomes.filter(F.col("outcome") == "failed").select("run_id")
+    return log_tail(logs, n).join(failed, "run_id").select("run_id", "kind", "message")
+
+
 def stdout_tail(lines: DataFrame, n: int = C.TAIL_LINES) -> DataFrame:
     """The last ``n`` stdout lines of every run, from a table of numbered lines.
 

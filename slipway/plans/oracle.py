@@ -665,6 +665,11 @@ ORACLES: dict[str, str] = {
         "THEN 'Remote Standard Output (last 20 lines)' ELSE 'Remote Standard Output' END AS label, "
         f"{_TAIL} AS message FROM stripped WHERE body <> ''",
     ),
+    "failure_events": _with(
+        *_ENDED_PARTS, _LOGS, _STRIPPED,
+        body="SELECT s.run_id, CASE stream WHEN 'stdout' THEN 'output' ELSE 'error' END AS kind, "
+        f"{_TAIL} AS message FROM stripped s JOIN ended e ON e.run_id = s.run_id AND e.outcome = 'failed' WHERE body <> ''",
+    ),
     "stdout_tail": _with(
         _LOGS, _STRIPPED,
         body="SELECT run_id, len(rows_of) AS total_lines, len(rows_of) > 20 AS truncated, "

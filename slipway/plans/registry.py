@@ -333,6 +333,12 @@ def log_tail(spark, sf_dir):
     return logs.log_tail(B.RUN_LOGS.frame(spark, sf_dir))
 
 
+@query
+def failure_events(spark, sf_dir):
+    ended = telemetry.run_outcome(B.RUN_POLLS.frame(spark, sf_dir), B.runs(spark, sf_dir))
+    return logs.failure_events(B.RUN_LOGS.frame(spark, sf_dir), ended)
+
+
 @query
 def stdout_tail(spark, sf_dir):
     return logs.stdout_tail(logs.split_lines(B.RUN_LOGS.frame(spark, sf_dir)))

@@ -235,6 +235,17 @@ def test_log_tails(spark):
     assert by_line == {k: (n, cut, "\n".join(m.splitlines())) for k, (n, cut, m) in expected.items()}
 
 
+def test_failure_events(spark):
+    texts = [("bad", "stdout", LOGS[0]), ("bad", "stderr", " oops\n"), ("good", "stdout", "x"), ("lost", "stderr", "y"),
+             ("quiet", "stdout", " \n")]
+    frame = spark.createDataFrame(texts, "run_id string, stream string, text string")
+    ended = spark.createDataFrame(
+        [("bad", "failed"), ("good", "success"), ("lost", "lost"), ("quiet", "failed")], "run_id string, outcome string"
+    )
+    found = {tuple(r) for r in logs.failure_events(frame, ended).collect()}
+    assert found == {("bad", "output", _tail(LOGS[0])[2]), ("bad", "error", "oops")}
+
+
 def test_line_breaks_agree_with_python(spark):
     text = "a\r\nb\rc\x0bd\x0ce\x1cf\x1dg\x1eh\x85i j k\n\nl"
     frame = spark.createDataFrame([("r", "stdout", text)], "run_id string, stream string, text string")
