@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,31 +61,14 @@ def positive_int(value: Column) -> Column:
     return F.when(number > 0, number)
 
 
-def config_maps(config_json: Column) -> tuple[Column, Column]:
-    """The top-level entries of a config text and those of its ``text_config``, as maps.
+def config_entry(document: Column, key: str) -> Column:
+    """The value (a VARIANT) a config document gives to ``key``.
 
-    Either is null when it is no JSON object.
+    A key present in ``text_config`` hides the top-level one, whatever it holds: a JSON null
+    is a value here, and only a missing key is null.
     """
-    document = F.try_parse_json(config_json)
-    return (
-        F.try_variant_get(document, "$", "map<string,variant>"),
-        F.try_variant_get(document, "$.text_config", "map<string,variant>"),
-    )
-
-
-def config_number(top: Column, text: Column, keys: Sequence[str]) -> Column:
-    """The first of ``keys`` with a valid number.
-
-    A key present in ``text_config`` hides the top-level one, whatever it holds.
-    """
-
-    def effective(key: str) -> Column:
-        nested = F.coalesce(F.map_contains_key(text, key), F.lit(False))
-        return F.when(nested, F.try_element_at(text, F.lit(key))).otherwise(
-            F.try_element_at(top, F.lit(key))
-        )
-
-    return F.coalesce(*(positive_int(effective(key)) for key in keys))
+    nested = F.try_variant_get(document, f"$.text_config.{key}", "variant")
+    return F.coalesce(nested, F.try_variant_get(document, f"$.{key}", "variant"))
 
 
 def kv_heads_or_attention(kv_heads: Column, attention_heads: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,28 +127,43 @@ def param_rollup(tensor_counts: DataFrame) -> DataFrame:
     )
 
 
-def extract_architecture(model_configs: DataFrame) -> DataFrame:
-    """The five architecture numbers of every model config.
+_CONFIG_KEYS = {
+    "hidden_size": C.HIDDEN_KEYS,
+    "num_layers": C.LAYER_KEYS,
+    "heads": C.ATTENTION_HEAD_KEYS,
+    "kv_heads": C.KV_HEAD_KEYS,
+    "own_head_dim": C.HEAD_DIM_KEYS,
+    "max_context": C.MAX_CONTEXT_KEYS,
+}
 
-    Parsing, the two maps and the numbers are separate steps, so that a text is parsed once
-    and not once per number.
-    """
-    top, text = M.config_maps(F.col("config_json"))
-    maps = model_configs.select("model_id", top.alias("top"), text.alias("text"))
 
-    def number(keys: Sequence[str]) -> Column:
-        return M.config_number(F.col("top"), F.col("text"), keys)
+def config_numbers(model_configs: DataFrame) -> DataFrame:
+    """The first valid number of every group of config keys.
 
-    found = maps.select(
+    Parsing, looking up and reading are separate steps, so that a text is parsed once and a
+    key looked up once.
+    """
+    parsed = model_configs.select("model_id", F.try_parse_json("config_json").alias("_document"))
+    entries = parsed.select(
+        "model_id",
+        *(
+            M.config_entry(F.col("_document"), key).alias(f"_{key}")
+            for keys in _CONFIG_KEYS.values()
+            for key in keys
+        ),
+    )
+    return entries.select(
         "model_id",
-        number(C.HIDDEN_KEYS).alias("hidden_size"),
-        number(C.LAYER_KEYS).alias("num_layers"),
-        number(C.ATTENTION_HEAD_KEYS).alias("heads"),
-        number(C.KV_HEAD_KEYS).alias("kv_heads"),
-        number(C.HEAD_DIM_KEYS).alias("own_head_dim"),
-        number(C.MAX_CONTEXT_KEYS).alias("max_context"),
-    )
-    return found.select(
+        *(
+            F.coalesce(*(M.positive_int(F.col(f"_{key}")) for key in keys)).alias(name)
+            for name, keys in _CONFIG_KEYS.items()
+        ),
+    )
+
+
+def extract_architecture(model_configs: DataFrame) -> DataFrame:
+    """The five architecture numbers of every model config."""
+    return config_numbers(model_configs).select(
         "model_id",
         "hidden_size",
         "num_layers",
