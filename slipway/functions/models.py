@@ -49,25 +49,27 @@ def suggest_volume_gb(
     return F.greatest(F.lit(minimum).cast("bigint"), wanted)
 
 
-def positive_int(value: Column) -> Column:
-    """The number in a VARIANT when it is a JSON integer above zero, else null.
+def variant_number(value: Column) -> Column:
+    """A VARIANT as a 64-bit number, whatever its type; null if it cannot be one."""
+    return F.try_variant_get(value, "$", "bigint")
 
-    ``true`` counts as 1, as it does in Python; 4096.0 and "4096" do not count.
+
+def positive_int(value: Column, number: Column) -> Column:
+    """``number``, read from the VARIANT ``value``, if that is a JSON integer above zero.
+
+    ``true`` counts as 1, as it does in Python; 4096.0 and "4096" do not count. The type is
+    looked at only where a number came out.
     """
-    kind = F.schema_of_variant(value)
-    number = F.when(kind == "BIGINT", F.try_variant_get(value, "$", "bigint")).when(
-        kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("bigint")
-    )
-    return F.when(number > 0, number)
+    return F.when((number > 0) & F.schema_of_variant(value).isin("BIGINT", "BOOLEAN"), number)
 
 
-def config_entry(document: Column, key: str) -> Column:
+def config_entry(document: Column, text_config: Column, key: str) -> Column:
     """The value (a VARIANT) a config document gives to ``key``.
 
     A key present in ``text_config`` hides the top-level one, whatever it holds: a JSON null
     is a value here, and only a missing key is null.
     """
-    nested = F.try_variant_get(document, f"$.text_config.{key}", "variant")
+    nested = F.when(text_config.isNotNull(), F.try_variant_get(text_config, f"$.{key}", "variant"))
     return F.coalesce(nested, F.try_variant_get(document, f"$.{key}", "variant"))
 
 

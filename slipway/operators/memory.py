@@ -11,7 +11,7 @@ from slipway import constants as C
 from slipway.constants import GPU_CATALOG, GpuType
 from slipway.functions import models as M
 from slipway.functions import pricing as P
-from slipway.functions.numbers import round_cents
+from slipway.functions.numbers import round_cents, round_columns
 from slipway.functions.text import strip
 from slipway.operators.sizing import resolve_specs
 
@@ -78,31 +78,32 @@ def estimate_memory(requests: DataFrame) -> DataFrame:
         F.when(is_inference, F.col("checkpoint_gb"))
         .when(is_full | is_lora, M.gib(params * F.col("compute_bytes")))
         .otherwise(M.gib(params * F.lit(C.QLORA_BYTES_PER_PARAM)))
-        .alias("weights"),
+        .alias("weights_gb"),
         F.when(
             is_inference,
             M.kv_cache_gb(*(F.col(c) for c in ("num_layers", "num_kv_heads", "head_dim", "context_len", "batch_size"))),
         )
         .otherwise(F.lit(0.0))
-        .alias("kv"),
+        .alias("kv_cache_gb"),
         F.when(is_inference, F.lit(0.0))
         .otherwise(
             M.activations_gb(*(F.col(c) for c in ("hidden_size", "num_layers", "param_count", "context_len", "batch_size")))
         )
-        .alias("activations"),
+        .alias("activations_gb"),
         F.when(is_inference, F.lit(0.0))
         .when(is_full, M.gib(params * (F.lit(C.FULL_BYTES_PER_PARAM) - F.col("compute_bytes"))))
         .otherwise(M.gib(adapter))
-        .alias("optimizer"),
+        .alias("optimizer_gb"),
     )
     share = F.when(goal == "qlora", F.lit(0.15)).otherwise(F.lit(0.1))
-    overhead = F.when(is_full, F.lit(0.1) * (F.col("weights") + F.col("optimizer"))).otherwise(
-        F.greatest(F.lit(1.0), share * F.col("weights"))
-    )
-    totals = parts.withColumn("overhead", overhead).withColumn(
-        "total",
-        F.col("weights") + F.col("kv") + F.col("activations") + F.col("optimizer") + F.col("overhead"),
+    weights, optimizer = F.col("weights_gb"), F.col("optimizer_gb")
+    overhead = F.when(is_full, F.lit(0.1) * (weights + optimizer)).otherwise(
+        F.greatest(F.lit(1.0), share * weights)
     )
+    total = weights + F.col("kv_cache_gb") + F.col("activations_gb") + optimizer + F.col("overhead_gb")
+    totals = parts.withColumn("overhead_gb", overhead).withColumn("total_vram_gb", total)
+    sizes = ("weights_gb", "kv_cache_gb", "activations_gb", "optimizer_gb", "total_vram_gb")
+    rounded = round_columns(totals, *sizes)
     known = M.has_architecture(F.col("num_layers"), F.col("num_kv_heads"), F.col("head_dim"))
     ram_factor = F.when(is_full, F.lit(2.0)).otherwise(F.lit(1.5))
     disk_factor = F.when(is_full | is_lora, F.lit(4.0)).otherwise(F.lit(2.5))
@@ -110,19 +111,18 @@ def estimate_memory(requests: DataFrame) -> DataFrame:
     def kept(value: Column) -> Column:
         return F.when(F.col("reject_reason").isNull(), value)
 
-    return totals.select(
+    def at_least(minimum: int, factor: Column) -> Column:
+        return F.greatest(F.lit(minimum).cast("bigint"), F.ceil(F.col("checkpoint_gb") * factor))
+
+    return rounded.select(
         "model_id",
         "goal",
         "param_count",
         "context_len",
         "batch_size",
-        kept(round_cents(F.col("weights"))).alias("weights_gb"),
-        kept(round_cents(F.col("kv"))).alias("kv_cache_gb"),
-        kept(round_cents(F.col("activations"))).alias("activations_gb"),
-        kept(round_cents(F.col("optimizer"))).alias("optimizer_gb"),
-        kept(round_cents(F.col("total"))).alias("total_vram_gb"),
-        kept(F.greatest(F.lit(16).cast("bigint"), F.ceil(F.col("checkpoint_gb") * ram_factor))).alias("host_ram_gb"),
-        kept(F.greatest(F.lit(50).cast("bigint"), F.ceil(F.col("checkpoint_gb") * disk_factor))).alias("disk_gb"),
+        *(kept(F.col(name)).alias(name) for name in sizes),
+        kept(at_least(16, ram_factor)).alias("host_ram_gb"),
+        kept(at_least(50, disk_factor)).alias("disk_gb"),
         kept(M.estimate_notes(F.col("source"), known, goal)).alias("notes"),
         "reject_reason",
     )

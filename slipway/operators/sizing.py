@@ -140,24 +140,23 @@ _CONFIG_KEYS = {
 def config_numbers(model_configs: DataFrame) -> DataFrame:
     """The first valid number of every group of config keys.
 
-    Parsing, looking up and reading are separate steps, so that a text is parsed once and a
-    key looked up once.
+    Parsing, picking, reading and checking are separate steps. So a text is parsed once, an
+    entry picked once, and the generated methods stay short enough for the JVM to compile.
     """
+    keys = [key for group in _CONFIG_KEYS.values() for key in group]
+    document, text = F.col("_document"), F.col("_text")
     parsed = model_configs.select("model_id", F.try_parse_json("config_json").alias("_document"))
-    entries = parsed.select(
-        "model_id",
-        *(
-            M.config_entry(F.col("_document"), key).alias(f"_{key}")
-            for keys in _CONFIG_KEYS.values()
-            for key in keys
-        ),
+    nested = parsed.withColumn("_text", F.try_variant_get(document, "$.text_config", "variant"))
+    entries = nested.select(
+        "model_id", *(M.config_entry(document, text, key).alias(f"_{key}") for key in keys)
     )
-    return entries.select(
-        "model_id",
-        *(
-            F.coalesce(*(M.positive_int(F.col(f"_{key}")) for key in keys)).alias(name)
-            for name, keys in _CONFIG_KEYS.items()
-        ),
+    numbers = entries.select("*", *(M.variant_number(F.col(f"_{key}")).alias(f"_n_{key}") for key in keys))
+
+    def first(group: tuple[str, ...]) -> Column:
+        return F.coalesce(*(M.positive_int(F.col(f"_{key}"), F.col(f"_n_{key}")) for key in group))
+
+    return numbers.select(
+        "model_id", *(first(group).alias(name) for name, group in _CONFIG_KEYS.items())
     )
 
 

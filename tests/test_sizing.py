@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slipway import schemas as S
-from slipway.functions.numbers import exact_product, round_cents
+from slipway.functions.numbers import exact_product, round_cents, round_columns
 from slipway.operators import memory, sizing
 
 GIB = 1024**3
@@ -92,6 +92,10 @@ CONFIGS = [
     ("twice", '{"n_layer": 2, "n_layer": 5}', (None, 5, None, None, None)),
     ("list", "[1]", (None,) * 5),
     ("broken", "{", (None,) * 5),
+    ("broken inside", '{"n_layer": 2, "text_config": {"n_embd": bad}}', (None,) * 5),
+    ("broken after", '{"n_layer": 2, "other": [1,}', (None,) * 5),
+    ("quotes", "{'n_layer': 2}", (None,) * 5),
+    ("other case", '{"N_LAYER": 2}', (None,) * 5),
     ("missing", None, (None,) * 5),
     ("text is text", '{"n_positions": 9, "text_config": "x"}', (None, None, None, None, 9)),
 ]
@@ -242,7 +246,9 @@ def test_huge_shapes_do_not_overflow(spark):
 
 @pytest.mark.parametrize("value", [2.675, 1.005, 0.125, 0.375, 2.5, 0.015, 1e9 + 0.005, 0.0, 1e12 + 0.125, 5e13 + 0.0078125, 1e300])
 def test_round_cents_is_exact(spark, value):
-    assert spark.range(1).select(round_cents(F.lit(value))).first()[0] == round(value, 2)
+    frame = spark.range(1).select(F.lit(value).alias("x"), F.lit(-value).alias("y"), "id")
+    assert frame.select(round_cents(F.col("x"))).first()[0] == round(value, 2)
+    assert tuple(round_columns(frame, "x", "y").first()) == (round(value, 2), round(-value, 2), 0)
 
 
 def test_exact_product(spark):
