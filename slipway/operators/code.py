@@ -13,15 +13,17 @@ from slipway import constants as C
 from slipway.functions import text as X
 
 
-def select_code_files(code_files: DataFrame) -> DataFrame:
-    """Files to check: code outside skipped folders, or the one file of a single-file project."""
+def _is_checked() -> Column:
     in_tree = X.code_suffix(F.col("rel_path")).isin(*C.CODE_SUFFIXES) & ~X.has_part(
         F.col("rel_path"), C.SKIP_DIRS
     )
     single = F.col("entry_file")
-    return code_files.filter(
-        F.when(single.isNull(), in_tree).otherwise(F.col("rel_path") == single)
-    )
+    return F.when(single.isNull(), in_tree).otherwise(F.col("rel_path") == single)
+
+
+def select_code_files(code_files: DataFrame) -> DataFrame:
+    """Files to check: code outside skipped folders, or the one file of a single-file project."""
+    return code_files.filter(_is_checked())
 
 
 def select_bundle_files(code_files: DataFrame) -> DataFrame:
@@ -54,26 +56,30 @@ def _syntax_error(path: Column, source: Column) -> Column:
     return F.pandas_udf(problems, T.StringType())(path, source)
 
 
+def _source_to_compile() -> Column:
+    """The text of a Python file; null, and so never sent to Python, for other files."""
+    is_python = X.code_suffix(F.col("rel_path")) == ".py"
+    return F.when(is_python, F.coalesce(F.col("content"), F.lit("")))
+
+
 def check_syntax(code_files: DataFrame) -> DataFrame:
     """One row per checked file with its state: ok, error (with the text) or unchecked.
 
     Python files are compiled in Arrow batches; the text of other files never leaves the
     JVM. Shell files would need a shell and stay unchecked.
     """
-    is_python = X.code_suffix(F.col("rel_path")) == ".py"
-    source = F.when(is_python, F.coalesce(F.col("content"), F.lit("")))
     checked = select_code_files(code_files).select(
         "project_id",
         "entry_file",
         "rel_path",
-        is_python.alias("is_python"),
-        _syntax_error(F.col("rel_path"), source).alias("error"),
+        _syntax_error(F.col("rel_path"), _source_to_compile()).alias("error"),
     )
+    is_python = X.code_suffix(F.col("rel_path")) == ".py"
     return checked.select(
         "project_id",
         "entry_file",
         "rel_path",
-        F.when(~F.col("is_python"), F.lit("unchecked"))
+        F.when(~is_python, F.lit("unchecked"))
         .when(F.col("error").isNull(), F.lit("ok"))
         .otherwise(F.lit("error"))
         .alias("state"),
@@ -81,30 +87,38 @@ def check_syntax(code_files: DataFrame) -> DataFrame:
     )
 
 
-def infer_command(code_files: DataFrame, run_root: str = C.RUN_ROOT) -> DataFrame:
-    """Start command of every project, or the reason why it has none."""
+# Files that start a project, best first.
+_ENTRIES = {"run.py": "python", "main.py": "python", "run.sh": "bash"}
 
-    def present(name: str) -> Column:
-        return F.max(F.col("rel_path") == name)
 
-    projects = code_files.groupBy("project_id").agg(
-        F.max("entry_file").alias("entry_file"),
-        present("run.py").alias("run_py"),
-        present("main.py").alias("main_py"),
-        present("run.sh").alias("run_sh"),
-    )
+def _entries() -> list[Column]:
+    """Aggregates of what decides a project's start command."""
+    present = (F.max(F.col("rel_path") == name).alias(name) for name in _ENTRIES)
+    return [F.max("entry_file").alias("entry_file"), *present]
+
+
+def _command(run_root: str) -> Column:
+    command: Column | None = None
+    for name, program in _ENTRIES.items():
+        start = F.lit(f"{program} {run_root}/{name}")
+        found = F.col(f"`{name}`")
+        command = F.when(found, start) if command is None else command.when(found, start)
     single = F.col("entry_file")
-    command = F.when(single.isNotNull(), X.command_for_file(single, run_root)).otherwise(
-        F.when(F.col("run_py"), F.lit(f"python {run_root}/run.py"))
-        .when(F.col("main_py"), F.lit(f"python {run_root}/main.py"))
-        .when(F.col("run_sh"), F.lit(f"bash {run_root}/run.sh"))
+    return F.when(single.isNotNull(), X.command_for_file(single, run_root)).otherwise(command)
+
+
+def _command_error() -> Column:
+    single = F.col("entry_file")
+    return F.when(F.col("command").isNull() & single.isNotNull(), F.lit(C.NO_COMMAND_FOR_FILE)).when(
+        F.col("command").isNull(), F.lit(C.NO_COMMAND_FOR_DIR)
     )
-    return projects.withColumn("command", command).select(
-        "project_id",
-        "command",
-        F.when(F.col("command").isNull() & single.isNotNull(), F.lit(C.NO_COMMAND_FOR_FILE))
-        .when(F.col("command").isNull(), F.lit(C.NO_COMMAND_FOR_DIR))
-        .alias("reject_reason"),
+
+
+def infer_command(code_files: DataFrame, run_root: str = C.RUN_ROOT) -> DataFrame:
+    """Start command of every project, or the reason why it has none."""
+    projects = code_files.groupBy("project_id").agg(*_entries())
+    return projects.withColumn("command", _command(run_root)).select(
+        "project_id", "command", _command_error().alias("reject_reason")
     )
 
 
@@ -112,21 +126,36 @@ def verify_projects(code_files: DataFrame, run_root: str = C.RUN_ROOT) -> DataFr
     """Per project: files checked, files in error, the first error and the start command.
 
     ``ok`` is the verdict for a run that brings no command of its own. The errors stay one
-    row per file in ``check_syntax``; only the first, in path order, is carried here.
+    row per file in ``check_syntax``; only the first, in path order, is carried here. Files
+    are read once and grouped once for both questions.
     """
+    files = code_files.select(
+        "project_id",
+        "entry_file",
+        "rel_path",
+        F.coalesce(_is_checked(), F.lit(False)).alias("checked"),
+        "content",
+    )
+    judged = files.select(
+        "project_id",
+        "entry_file",
+        "rel_path",
+        "checked",
+        _syntax_error(F.col("rel_path"), F.when(F.col("checked"), _source_to_compile())).alias("error"),
+    )
     by_path = F.struct(F.split("rel_path", "/").alias("parts"), F.col("error").alias("error"))
-    files = check_syntax(code_files).groupBy("project_id").agg(
-        F.count(F.lit(1)).alias("checked_files"),
+    projects = judged.groupBy("project_id").agg(
+        *_entries(),
+        F.count_if("checked").alias("checked_files"),
         F.count("error").alias("error_files"),
         F.min(F.when(F.col("error").isNotNull(), by_path)).alias("first"),
     )
-    joined = infer_command(code_files, run_root).join(files, "project_id", "left")
-    return joined.select(
+    return projects.withColumn("command", _command(run_root)).select(
         "project_id",
-        F.coalesce(F.col("checked_files"), F.lit(0).cast("bigint")).alias("checked_files"),
-        F.coalesce(F.col("error_files"), F.lit(0).cast("bigint")).alias("error_files"),
+        "checked_files",
+        "error_files",
         F.col("first.error").alias("first_error"),
         F.col("command").alias("default_command"),
-        F.col("reject_reason").alias("command_error"),
-        (F.col("command").isNotNull() & (F.coalesce(F.col("error_files"), F.lit(0)) == 0)).alias("ok"),
+        _command_error().alias("command_error"),
+        (F.col("command").isNotNull() & (F.col("error_files") == 0)).alias("ok"),
     )
