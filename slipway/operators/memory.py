@@ -44,14 +44,13 @@ def estimate_memory(requests: DataFrame) -> DataFrame:
     goal = F.col("goal")
     training = F.lit(C.DEFAULT_TRAINING_CONTEXT)
     default_context = F.when(goal == "inference", F.lit(C.DEFAULT_INFERENCE_CONTEXT)).otherwise(training)
+    longest = F.when(F.col("max_context") > 0, F.col("max_context"))
     spec_reason = F.col("reject_reason") if "reject_reason" in requests.columns else F.lit(None)
     base = requests.withColumn("goal", F.lower(strip(goal))).select(
         "model_id",
         "goal",
         "param_count",
-        F.coalesce(
-            F.col("context_len"), F.least(default_context, F.when(F.col("max_context") > 0, F.col("max_context")))
-        )
+        F.coalesce(F.col("context_len"), F.least(default_context, longest))
         .cast("bigint")
         .alias("context_len"),
         F.coalesce(F.col("batch_size"), F.lit(1)).cast("bigint").alias("batch_size"),
@@ -70,7 +69,12 @@ def estimate_memory(requests: DataFrame) -> DataFrame:
             F.when(goal.isNull(), F.lit("unsupported goal: none")),
         ).alias("reject_reason"),
     )
-    params = F.col("param_count")
+
+    def columns(*names: str) -> list[Column]:
+        return [F.col(name) for name in names]
+
+    params, layers = columns("param_count", "num_layers")
+    length = columns("context_len", "batch_size")
     is_inference, is_full, is_lora = (goal == name for name in ("inference", "full", "lora"))
     adapter = params * F.lit(C.LORA_TRAINABLE_FRACTION) * F.lit(C.FULL_BYTES_PER_PARAM)
     parts = base.select(
@@ -79,16 +83,11 @@ def estimate_memory(requests: DataFrame) -> DataFrame:
         .when(is_full | is_lora, M.gib(params * F.col("compute_bytes")))
         .otherwise(M.gib(params * F.lit(C.QLORA_BYTES_PER_PARAM)))
         .alias("weights_gb"),
-        F.when(
-            is_inference,
-            M.kv_cache_gb(*(F.col(c) for c in ("num_layers", "num_kv_heads", "head_dim", "context_len", "batch_size"))),
-        )
+        F.when(is_inference, M.kv_cache_gb(layers, *columns("num_kv_heads", "head_dim"), *length))
         .otherwise(F.lit(0.0))
         .alias("kv_cache_gb"),
         F.when(is_inference, F.lit(0.0))
-        .otherwise(
-            M.activations_gb(*(F.col(c) for c in ("hidden_size", "num_layers", "param_count", "context_len", "batch_size")))
-        )
+        .otherwise(M.activations_gb(F.col("hidden_size"), layers, params, *length))
         .alias("activations_gb"),
         F.when(is_inference, F.lit(0.0))
         .when(is_full, M.gib(params * (F.lit(C.FULL_BYTES_PER_PARAM) - F.col("compute_bytes"))))

@@ -80,7 +80,8 @@ def run_outcome(
     polls is spread over the salts and comes to the last step as a few rows. With tables
     bucketed by run, ``salts=1`` leaves no shuffle.
     """
-    decided = deciding_polls(with_terms(polls, runs, salts)).groupBy("run_id").agg(first_decision().alias("_first"))
+    deciding = deciding_polls(with_terms(polls, runs, salts))
+    decided = deciding.groupBy("run_id").agg(first_decision().alias("_first"))
     outcome = L.outcome_name(F.col("_first.verdict"), F.col("_first.exit_code"))
     keep_failed = F.lit(keep_on_failure) if isinstance(keep_on_failure, bool) else keep_on_failure
     return (

@@ -35,9 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local master gets a temporary folder when none is set.
     """
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if named:
-        return named
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named and not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    if named or context.getCheckpointDir():
+        return named or context.getCheckpointDir()
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="slipway-"))

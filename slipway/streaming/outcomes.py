@@ -2,8 +2,9 @@
 
 Both streams take the earliest deciding poll of a run with a built-in minimum, which is
 reduced per task before it shuffles, after a salted join with the run's terms; a run that
-sends a third of all polls is no hot task, and no row passes through Python. Landed rows are only ever replaced by earlier ones, so
-the earliest landed decision of a run is its outcome.
+sends a third of all polls is no hot task, and no row passes through Python. Landed rows
+are only ever replaced by earlier ones, so the earliest landed decision of a run is its
+outcome.
 """
 
 from __future__ import annotations
