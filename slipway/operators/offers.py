@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from slipway import constants as C
 from slipway.constants import GPU_CATALOG, GpuType
 from slipway.functions import pricing as P
-from slipway.functions.joins import salt_of, SALTS, top_k, within_bound
+from slipway.functions.joins import SALTS, lookup_join, salt_of, top_k, within_bound
 from slipway.session import checkpointed
 
 # Offers that may be broadcast, as arrays by (GPU count, security); some 12 MB. See top_offers.
@@ -189,31 +189,35 @@ def _match_by_ladder(asked: DataFrame, levels: DataFrame, k: int) -> DataFrame:
 def _match_by_level(asked: DataFrame, levels: DataFrame, key: str, k: int) -> DataFrame:
     """The same result when the levels are too many to broadcast: joined level by level.
 
-    Both sides are spread by a salt, each pair is cut to the affordable prefix before it
-    moves on, and a pair that has none is dropped.
+    Requests that ask for the same are matched once, as one demand. Demands and levels are
+    spread by a salt, each pair is cut to the affordable prefix before it moves on, and a
+    pair that has none is dropped. The result goes back to the requests in a salted lookup.
     """
+    demand = ["_gpus", "_scope", "_floor", "_limit"]
+    limited = asked.withColumn("_limit", F.when(F.col("_cap") > 0, F.col("_cap")).otherwise(F.lit(-1.0)))
+    demands = limited.select(*demand).distinct()
     spread = levels.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     pairs = (
-        asked.withColumn("_salt", salt_of(F.col(key)))
+        demands.withColumn("_salt", salt_of(*(F.col(name) for name in demand)))
         .join(spread, ["_gpus", "_scope", "_salt"])
         .filter(F.col("gpu_memory") >= F.col("_floor"))
         .select(
-            key,
+            *demand,
             "gpu_memory",
             F.explode(
                 F.filter(
-                    F.col("offers"), lambda offer: P.within_cap(offer["hourly"], F.col("_cap"))
+                    F.col("offers"),
+                    lambda offer: (F.col("_limit") < 0) | (offer["hourly"] <= F.col("_limit")),
                 )
             ).alias("offer"),
         )
-        .select(key, "gpu_memory", "offer.hourly", "offer.label")
+        .select(*demand, "gpu_memory", "offer.hourly", "offer.label")
     )
     order = [F.col("gpu_memory"), F.col("hourly"), F.col("label")]
-    best = top_k(pairs, [key], order, k)
-    found = best.groupBy(key).agg(
+    found = top_k(pairs, demand, order, k).groupBy(*demand).agg(
         F.sort_array(F.collect_list(F.struct("gpu_memory", "hourly", "label"))).alias("offers")
     )
-    return asked.join(found, [key], "left")
+    return lookup_join(limited, found, demand, [key])
 
 
 def top_offers(
@@ -230,8 +234,8 @@ def top_offers(
     Offers are cut to the ``k`` cheapest per memory level before requests see them, and the
     levels are written to the shared folder and counted. They are broadcast if they hold
     at most ``max_broadcast`` offers; beyond that both sides meet in a salted shuffle.
-    ``key`` names a unique request id, and requests that fail ``only`` get no offers. The
-    cap is that of the whole pod.
+    ``key`` names a column that spreads the requests then, and requests that fail ``only``
+    get no offers. The cap is that of the whole pod.
     """
     levels = checkpointed(_price_levels(offers, k))
     scope = P.security_scope(F.col("cloud_type"))

@@ -174,6 +174,13 @@ def test_top_offers_against_brute_force(spark, max_broadcast, k):
     assert got == _brute(requests, market, k)
 
 
+@pytest.mark.parametrize("max_broadcast", [200_000, 0])
+def test_requests_may_share_their_id(spark, max_broadcast):
+    asked = spark.createDataFrame([("r", 48, None, "SECURE", 1), ("r", 48, 2.0, "SECURE", 1), ("r", 48, 2.0, "SECURE", 1)], S.RUN_REQUESTS)
+    found = O.top_offers(asked, spark.createDataFrame(MARKET, S.GPU_OFFERS), max_broadcast=max_broadcast)
+    assert sorted(len(r.offers) for r in found.collect()) == [1, 1, 3]
+
+
 def test_images(spark):
     frame = spark.createDataFrame(
         [offer(), offer(images=None), offer(images=["x", "y"]), offer(images=[])], S.GPU_OFFERS
