@@ -14,8 +14,6 @@ def build_session(app_name: str = "slipway", *, master: str | None = None, **con
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # Longer generated methods are not compiled by the JVM; Spark splits them instead.
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         # Of a key given twice in a JSON object the last counts, as in Python.
         .config("spark.sql.variant.allowDuplicateKeys", "true")
         # Whole source files go to Python in batches of bounded size, not of 10,000 files.
