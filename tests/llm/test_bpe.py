@@ -1,0 +1,80 @@
+import base64
+import hashlib
+import random
+
+import pytest
+import tiktoken
+
+import public_tokenizers
+from slipway.llm import bpe
+
+PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+RANKS = bpe.read_ranks(PATH)
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return bpe.Encoder(RANKS, public_tokenizers.PATTERN)
+
+
+@pytest.fixture(scope="module")
+def library():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, RANKS.splitlines())}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def _random_texts(count, seed):
+    pick = random.Random(seed)
+    signs = list("aeinorst'sdlm   \n\t.,;0123éßñ漢字語🙂‍\xa0\x1c ")
+    return ["".join(pick.choices(signs, k=pick.randint(0, 50))) for _ in range(count)]
+
+
+def test_ids_are_those_of_the_library(encoder, library):
+    for text in [*_random_texts(3000, 1), "", " ", "a" * 3000, "é" * 700, "  two  spaces \n x"]:
+        assert encoder.encode(text) == library.encode_ordinary(text)
+
+
+def test_appending_and_editing_keep_the_table_exact(encoder):
+    vocabulary, pick = encoder.vocabulary, random.Random(2)
+    words = "the and thing ation erest über cion que la straße 漢字".split()
+    for _ in range(200):
+        data = "".join(pick.choices(words, k=pick.randint(0, 30))).encode()
+        table = bpe.PrefixTable(vocabulary, data[: len(data) // 2])
+        table.append(data[len(data) // 2 :])
+        assert table.ids() == bpe.encode_piece(vocabulary, data)
+        start = pick.randint(0, len(data))
+        stop = pick.randint(start, len(data))
+        new = "".join(pick.choices(words, k=pick.randint(0, 2))).encode()
+        table.replace(start, stop, new)
+        edited = data[:start] + new + data[stop:]
+        assert table.last == bpe.PrefixTable(vocabulary, edited).last
+        assert table.ids() == bpe.encode_piece(vocabulary, edited)
+
+
+def test_an_edit_fills_little_of_a_long_table(encoder):
+    data = "thingsofthenationandthereforesomewhat".encode() * 200
+    table = bpe.PrefixTable(encoder.vocabulary, data)
+    assert table.replace(300, 301, b"x") < 300
+
+
+def test_rows_nulls_long_texts_and_clashing_columns(spark, library):
+    texts = [(1, None), (2, ""), (2, ""), (3, "Straße 漢字"), (4, "word " * 30000), (None, "x")]
+    docs = spark.createDataFrame([(i, t, "kept", 5) for i, t in texts], "doc_id long, text string, decoded string, ids int")
+    encoded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+    rows = bpe.decode(encoded, RANKS).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        assert list(row.ids) == library.encode_ordinary(row.text or "")
+        assert bytes(row.decoded) == (row.text or "").encode()
+    assert bpe.encode(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_query_against_the_library(spark, sf_dir, library):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = bpe.op1_byte_bpe(spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        ids = library.encode_ordinary(texts[row.doc_id])
+        assert row.n_tokens == len(ids)
+        assert row.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert row.decoded_sha256 == hashlib.sha256(texts[row.doc_id].encode()).hexdigest()
