@@ -44,6 +44,14 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def learns_from(doc_id: str = "doc_id") -> Column:
     """Rows a model may learn from: crc32 of the id as text is no multiple of five."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 != 0

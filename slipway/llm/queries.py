@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from slipway.llm.bpe import op1_byte_bpe
+from slipway.llm import bpe, exact_dedup, line_dedup, sharding
 from slipway.llm.common import Query
 
 QUERIES: dict[str, Query] = {
-    "op1_byte_bpe": op1_byte_bpe,
+    "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op6_sharding": sharding.op6_sharding,
+    "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "op10_line_dedup": line_dedup.OP10_SQL,
+}
