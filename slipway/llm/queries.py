@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from slipway.llm import bpe, exact_dedup, line_dedup, sharding
+from slipway.llm import bpe, exact_dedup, line_dedup, secrets, sharding, simhash
 from slipway.llm.common import Query
 
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op3_secret_scan": secrets.op3_secret_scan,
+    "op4_simhash": simhash.op4_simhash,
     "op6_sharding": sharding.op6_sharding,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
