@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slipway.llm import bpe, exact_dedup, line_dedup, secrets, sharding, simhash
+from slipway.llm import bpe, exact_dedup, language_id, line_dedup, quality, secrets, sharding, simhash
 from slipway.llm.common import Query
 
 QUERIES: dict[str, Query] = {
@@ -10,7 +10,9 @@ QUERIES: dict[str, Query] = {
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_simhash": simhash.op4_simhash,
     "op6_sharding": sharding.op6_sharding,
+    "op7_language_id": language_id.op7_language_id,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_quality": quality.op9_quality,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
