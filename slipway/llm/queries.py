@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from slipway.llm import bpe, exact_dedup, language_id, line_dedup, quality, secrets, sharding, simhash
+from slipway.llm import bpe, exact_dedup, html_text, language_id, line_dedup, quality, secrets, sharding, simhash
 from slipway.llm.common import Query
 
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op2_html_text": html_text.op2_html_text,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_simhash": simhash.op4_simhash,
     "op6_sharding": sharding.op6_sharding,

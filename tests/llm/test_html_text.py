@@ -1,0 +1,110 @@
+import html as markup
+import random
+import re
+
+from slipway.llm import html_text
+
+
+def _page(title, paragraphs, number, extra=""):
+    body = "".join(f"<p>{markup.escape(p)}</p>" for p in paragraphs)
+    return (
+        f"<!DOCTYPE html><html><head><title>{title}</title><script>if (a < b) x('</p>')</script></head><body>"
+        f"<nav><ul><li><a href='/{number}'>Menu {number}</a></li></ul></nav><div class='ad'>Buy {number}</div>"
+        f"<article><h1>{title}</h1>{body}{extra}</article><footer>&copy; Site {number}</footer></body></html>"
+    )
+
+
+EXPECT = [
+    ("", ""),
+    ("plain text", "plain text"),
+    ("<p>a<p>b", "a\n\nb"),
+    ("<article><p>a &amp;amp; b&nbsp;c<br>d <b>e</b>f</p></article>", "a &amp; b c d ef"),
+    ("<article><header><h1>T</h1><p>by X</p></header><p>x</p><aside>no</aside></article>", "T\n\nx"),
+    ("<header>no</header><main><div class='share-box'>no</div><p>yes</p><form>no</form></main>", "yes"),
+    ("<article><p>yes</p><section id='comments'><article><p>no</p></article></section></article>", "yes"),
+    ("<div id=cookie-notice>no</div><div><p>long enough text</p></div><div class=z><p>short</p></div>", "long enough text"),
+    ("<article><!-- no --><p>1 &lt; 2</p><style>p{}</style><script>x</script", "1 < 2"),
+    ("<article><p title='a > b'>quoted</p><p class=\"open>broken</p></article>", "quoted\n\nbroken"),
+    ("<div class=s><p>one two</p></div><ul><li>x</li></ul><div class=s><p>three</p></div>", "one two\n\nthree"),
+    ("<article>bare <p>x</p> tail</article>", "bare\n\nx\n\ntail"),
+]
+
+
+def test_pages_without_a_template():
+    for page, text in EXPECT:
+        assert html_text.main_text(page, None) == text, page
+
+
+def test_long_pages_take_linear_time():
+    assert html_text.main_text("<article>" + "<p>x</p>" * 50000, None).count("x") == 50000
+    assert html_text.main_text("<article><p class='" * 2000, None) == ""
+    assert html_text.main_text("<div>" * 3000 + "deep", None) == "deep"
+
+
+def _rows(pick, hosts, pages):
+    rows, expected = [], {}
+    for number in range(pages):
+        host = pick.choice(hosts)
+        title = f"Title {number}"
+        paragraphs = [f"{pick.random()} & <words> {n}" for n in range(pick.randint(1, 6))]
+        extra = "<div class='x'>Written for our readers.</div>" if host == "h0" else ""
+        rows.append((number, f"https://{host}.example/{number}", _page(title, paragraphs, number, extra), "z"))
+        expected[number] = "\n\n".join([title, *paragraphs])
+    return rows, expected
+
+
+def test_templates_and_texts(spark):
+    rows, expected = _rows(random.Random(1), ["h0", "h0", "h1", "H0"], 80)
+    rows += [(1000, None, None, "z"), (1001, "", "<p>x", "z"), (1001, "", "<p>x", "z"), (None, "//h9/x", "", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    found = html_text.extract(pages).collect()
+    assert len(found) == len(rows)
+    for row in found:
+        if row.page_id in expected:
+            assert row.text == expected[row.page_id]
+    assert [r.text for r in found if r.page_id in (1000, 1001, None)].count("x") == 2
+    assert html_text.extract(pages.limit(0)).collect() == []
+
+
+def _classes_by_vectors(pages, support, least):
+    """Classes from whole occurrence vectors, kept in memory."""
+    by_host = {}
+    for page_id, url, html, _ in pages:
+        by_host.setdefault(re.search("//([^/]*)", url)[1].lower(), []).append(html_text._page_tokens(html))
+    out = {}
+    for host, found in by_host.items():
+        vectors = {}
+        for place, page in enumerate(found):
+            for token, count, _ in page:
+                vectors.setdefault(token, {})[place] = count
+        groups = {}
+        for token, vector in vectors.items():
+            if len(vector) >= max(least, support * len(found)):
+                groups.setdefault(tuple(sorted(vector.items())), set()).add(token)
+        out[host] = {frozenset(g) for g in groups.values() if len(g) > 1}
+    return out
+
+
+def test_classes_are_those_of_equal_vectors(spark):
+    rows, _ = _rows(random.Random(2), ["h0", "h1", "h2"], 60)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    found = {r.host: {frozenset(c.tokens) for c in r.classes} for r in html_text.templates(pages).collect()}
+    expected = _classes_by_vectors(rows, html_text.SUPPORT, html_text.LEAST_PAGES)
+    assert found == {host: classes for host, classes in expected.items() if classes}
+
+
+def _article(page):
+    """The given pages have one article of paragraphs; their menus and footers lie outside."""
+    inside = re.search("<article>(.*)</article>", page, re.S)[1]
+    blocks = re.split(r"</?(?:p|h1)>", inside)
+    texts = (" ".join(markup.unescape(re.sub("<br>", " ", re.sub("</?b>", "", b))).split()) for b in blocks)
+    return "\n\n".join(t for t in texts if t)
+
+
+def test_query_against_the_articles(spark, sf_dir):
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    rows = html_text.op2_html_text(spark, sf_dir).collect()
+    assert sorted(r.page_id for r in rows) == sorted(pages)
+    for row in rows:
+        assert row.url == pages[row.page_id].url and row.n_chars == len(row.text)
+        assert row.text == _article(pages[row.page_id].html)
