@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slipway.llm import bpe, exact_dedup, html_text, language_id, line_dedup, quality, secrets, sharding, simhash
+from slipway.llm import bpe, decontaminate, exact_dedup, html_text, language_id, line_dedup, quality, secrets, sharding, simhash
 from slipway.llm.common import Query
 
 QUERIES: dict[str, Query] = {
@@ -10,6 +10,7 @@ QUERIES: dict[str, Query] = {
     "op2_html_text": html_text.op2_html_text,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_simhash": simhash.op4_simhash,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op6_sharding": sharding.op6_sharding,
     "op7_language_id": language_id.op7_language_id,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
