@@ -179,15 +179,16 @@ def near_links(prints: DataFrame, *, blocks: int, share: int, radius: int, width
     missed. Every key is worked whole: one with more than ``chunk`` members is split into
     chunks by hash and all pairs of chunks are compared, each in its own group.
     """
-    members = prints.select("number", "bits", F.explode(_block_keys(blocks, share)).alias("key"))
+    members = prints.select("number", F.explode(_block_keys(blocks, share)).alias("key"))
     shared = members.groupBy("key").count().filter("count > 1")
     members = members.join(shared, "key")
     chunks = F.ceil(F.col("count") / F.lit(chunk)).cast("int")
     own = F.pmod(F.xxhash64("number"), chunks).cast("int")
     other = F.explode(F.sequence(F.lit(0), chunks - 1))
-    spread = members.select("number", "bits", "key", own.alias("own"), other.alias("other")).select(
-        "number", "bits", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("chunk")
+    spread = members.select("number", "key", own.alias("own"), other.alias("other")).select(
+        "number", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("chunk")
     )
+    spread = spread.join(prints.select("number", "bits"), "number")
     spark = prints.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = spread.repartition(parts, "chunk").sortWithinPartitions("chunk", "number")
