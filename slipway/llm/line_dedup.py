@@ -75,7 +75,8 @@ def without_repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str =
     found = cut(repeated_lines(docs, key=key, text=text), "removed")
     left_key, gone = fresh(docs, "_key"), fresh(docs, "_gone")
     found = found.select(F.col("doc_id").alias(left_key), F.col("removed").alias(gone))
-    rows = docs.drop("n_lines", "n_removed").join(found, F.col(key) == F.col(left_key), "left")
+    # One plan at every size: what was found grows with the documents and is never broadcast.
+    rows = docs.drop("n_lines", "n_removed").join(found.hint("merge"), F.col(key) == F.col(left_key), "left")
     lines, untouched = _lines(F.col(text)), F.col(gone).isNull()
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda at: F.get(lines, at))
     return (
