@@ -91,7 +91,7 @@ class BlobLedger:
         """
         bounded_batches(self.spark)
         seen = self.read().filter(F.col("rule_version") == version).select("blob")
-        unseen = texts.join(seen, "blob", "left_anti").dropDuplicates(["blob"])
+        unseen = texts.dropDuplicates(["blob"]).join(seen, "blob", "left_anti")
         spans = unseen.select("blob", "text").mapInArrow(_scanned, f"blob binary, spans {SPANS}")
         spans.select("blob", F.lit(version).alias("rule_version"), "spans").write.mode("append").parquet(self.path)
 
