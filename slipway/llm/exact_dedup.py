@@ -52,14 +52,15 @@ def exact_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
         "doc_id",
         "_text",
         F.octet_length("_text").alias("_length"),
-        F.xxhash64(F.substring("_text", 1, HEAD_CHARS)).alias("_head"),
+        F.xxhash64(F.octet_length("_text"), F.substring("_text", 1, HEAD_CHARS)).alias("_head"),
     )
     lengths = keyed.groupBy("_length").count().filter("count > 1").select("_length")
-    heads = keyed.drop("_text").join(lengths, "_length", "left_semi").groupBy("_length", "_head").count()
-    suspects = cut(heads.filter("count > 1").select("_length", "_head"), "suspects")
+    # The hash holds the length too, so that rows of a common length are spread for the count.
+    heads = keyed.drop("_text").join(lengths, "_length", "left_semi").groupBy("_head").count()
+    suspects = cut(heads.filter("count > 1").select("_head"), "suspects")
     with _filters_before_shuffles(spark):
         survivors = cut(
-            keyed.join(suspects, ["_length", "_head"], "left_semi").select(
+            keyed.join(suspects, "_head", "left_semi").select(
                 "doc_id", "_length", F.unhex(_digest("_text")).alias("_whole")
             ),
             "survivors",
@@ -68,7 +69,7 @@ def exact_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     whole = F.lower(F.hex("_whole")).alias("text_sha256")
     compared = survivors.join(groups, ["_length", "_whole"]).select("doc_id", "keep_id", "group_size", whole)
     alone = keyed.withColumn("text_sha256", _digest("_text") if digest else F.lit(None).cast("string")).drop("_text")
-    alone = alone.join(suspects, ["_length", "_head"], "left_anti").select(
+    alone = alone.join(suspects, "_head", "left_anti").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256"
     )
     found = compared.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
