@@ -27,7 +27,6 @@ from slipway.operators.offers import (
     estimated_hourly,
     gpu_type_ids,
     list_offers,
-    match_offers,
     pin_gpus,
     price_offers,
     select_image,
@@ -76,7 +75,6 @@ __all__ = [
     "log_entries",
     "log_tail",
     "make_plan",
-    "match_offers",
     "model_size_report",
     "overlay_settings",
     "param_rollup",

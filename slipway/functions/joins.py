@@ -72,7 +72,3 @@ def top_k(
     whole = W.partitionBy(*group).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(whole)).filter(F.col(rank) <= k)
 
-
-def within_bound(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` holds at most ``rows`` rows; reads no further than that."""
-    return df.limit(rows + 1).count() <= rows

@@ -28,14 +28,12 @@ def weight_file_bytes(name: Column, size_bytes: Column) -> Column:
 
 def half_bytes_per_param(tag: Column) -> Column:
     """Storage width of an upper-case dtype tag in half bytes, so that 4-bit types stay whole."""
-    return (
-        F.when(tag.isin(*C.EIGHT_BYTE_DTYPES), 16)
-        .when(tag.isin(*C.FOUR_BYTE_DTYPES), 8)
-        .when(tag.isin(*C.ONE_BYTE_DTYPES), 2)
-        .when(tag.isin(*C.HALF_BYTE_DTYPES), 1)
-        .otherwise(4)
-        .cast("bigint")
-    )
+    other = C.DEFAULT_DTYPE_BYTES
+    width = F.lit(int(2 * other))
+    for size in sorted({size for size in C.DTYPE_BYTES.values() if size != other}):
+        tags = [name for name, bytes_each in C.DTYPE_BYTES.items() if bytes_each == size]
+        width = F.when(tag.isin(*tags), F.lit(int(2 * size))).otherwise(width)
+    return width.cast("bigint")
 
 
 def suggest_volume_gb(

@@ -105,11 +105,7 @@ def pin_gpus(gpu_type_ids: Column, pinned: Sequence[str] | str) -> Column:
 
 
 def checked_catalog(catalog: Sequence[GpuType]) -> tuple[GpuType, ...]:
-    """The catalogue, refused when it is too long to be embedded in a plan."""
-    if len(catalog) > C.MAX_CATALOG_ROWS:
-        raise ValueError(
-            f"a catalogue holds at most {C.MAX_CATALOG_ROWS} rows; match larger tables with top_offers"
-        )
+    """The catalogue as named rows; it is a literal of the plan, whatever its length."""
     return tuple(GpuType(*row) for row in catalog)
 
 

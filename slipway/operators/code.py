@@ -91,10 +91,13 @@ def check_syntax(code_files: DataFrame) -> DataFrame:
 _ENTRIES = {"run.py": "python", "main.py": "python", "run.sh": "bash"}
 
 
+# What a project's rows are grouped by; all its rows name the same entry file, if any.
+_PROJECT = ["project_id", "entry_file"]
+
+
 def _entries() -> list[Column]:
     """Aggregates of what decides a project's start command."""
-    present = (F.max(F.col("rel_path") == name).alias(name) for name in _ENTRIES)
-    return [F.max("entry_file").alias("entry_file"), *present]
+    return [F.max(F.col("rel_path") == name).alias(name) for name in _ENTRIES]
 
 
 def _command(run_root: str) -> Column:
@@ -116,14 +119,14 @@ def _command_error() -> Column:
 
 def infer_command(code_files: DataFrame, run_root: str = C.RUN_ROOT) -> DataFrame:
     """Start command of every project, or the reason why it has none."""
-    projects = code_files.groupBy("project_id").agg(*_entries())
+    projects = code_files.groupBy(*_PROJECT).agg(*_entries())
     return projects.withColumn("command", _command(run_root)).select(
         "project_id", "command", _command_error().alias("reject_reason")
     )
 
 
 def verify_projects(code_files: DataFrame, run_root: str = C.RUN_ROOT) -> DataFrame:
-    """Per project: files checked, files in error, the first error and the start command.
+    """Per project: files checked and their paths, files in error, the first error and the start command.
 
     ``ok`` is the verdict for a run that brings no command of its own. The errors stay one
     row per file in ``check_syntax``; only the first, in path order, is carried here. Files
@@ -143,16 +146,19 @@ def verify_projects(code_files: DataFrame, run_root: str = C.RUN_ROOT) -> DataFr
         "checked",
         _syntax_error(F.col("rel_path"), F.when(F.col("checked"), _source_to_compile())).alias("error"),
     )
-    by_path = F.struct(F.split("rel_path", "/").alias("parts"), F.col("error").alias("error"))
-    projects = judged.groupBy("project_id").agg(
+    parts = F.split("rel_path", "/").alias("parts")
+    by_path = F.struct(parts, F.col("error").alias("error"))
+    projects = judged.groupBy(*_PROJECT).agg(
         *_entries(),
         F.count_if("checked").alias("checked_files"),
+        F.sort_array(F.collect_list(F.when(F.col("checked"), F.struct(parts, "rel_path")))).alias("paths"),
         F.count("error").alias("error_files"),
         F.min(F.when(F.col("error").isNotNull(), by_path)).alias("first"),
     )
     return projects.withColumn("command", _command(run_root)).select(
         "project_id",
         "checked_files",
+        F.col("paths.rel_path").alias("checked_paths"),
         "error_files",
         F.col("first.error").alias("first_error"),
         F.col("command").alias("default_command"),

@@ -14,6 +14,9 @@ from slipway.functions.joins import lookup_join, top_k
 STAMP = r"\[([0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z)\] "
 ENTRY = rf"\A{STAMP}"
 
+# Above every time of an entry written as one number.
+STAMP_STEP = 10**14
+
 LABEL = "Remote Standard Output"
 
 
@@ -137,38 +140,40 @@ def log_entries(logs: DataFrame) -> DataFrame:
 
 
 def parse_run_log(lines: DataFrame, block_lines: int = 100_000) -> DataFrame:
-    """Every log line with the entry it belongs to and that entry's time.
+    """Every log line with the entry of its stream it belongs to and that entry's time.
 
     A line with a time prefix starts an entry; other lines continue the one before, and
     lines ahead of the first entry belong to none. The search back for the entry runs
     within blocks of ``block_lines`` lines; the last entry of earlier blocks is carried
-    over in a second, small pass, so a very long log is many tasks and not one.
+    over in a second, small pass, so a very long log is many tasks and not one. Number and
+    time of an entry travel as one number, of which the largest is the last.
     """
     stamp = F.regexp_extract("line", ENTRY, 1)
+    digits = F.regexp_replace(stamp, "[^0-9]", "").cast("decimal(14,0)")
+    place = F.col("line_no").cast("decimal(20,0)") * F.lit(STAMP_STEP).cast("decimal(15,0)")
     marked = lines.select(
         "run_id",
+        "stream",
         "line_no",
         F.floor(F.col("line_no") / block_lines).alias("_block"),
         "line",
-        F.when(stamp != "", F.struct(F.col("line_no").alias("entry_line"), stamp.alias("logged_at"))).alias("_start"),
-    )
-    blocks = marked.groupBy("run_id", "_block").agg(F.max("_start").alias("_last"))
-    earlier = W.partitionBy("run_id").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    carried = blocks.select(
-        "run_id", "_block", F.last("_last", ignorenulls=True).over(earlier).alias("_carried")
+        F.when(stamp != "", (place + digits).cast("decimal(38,0)")).alias("_start"),
     )
-    so_far = (
-        W.partitionBy("run_id", "_block").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    placed = marked.withColumn("_own", F.last("_start", ignorenulls=True).over(so_far))
-    entry = F.coalesce(F.col("_own"), F.col("_carried"))
-    rows = placed.join(carried, ["run_id", "_block"], "left").withColumn("_entry", entry)
+    log = ["run_id", "stream"]
+    blocks = marked.groupBy(*log, "_block").agg(F.max("_start").alias("_last"))
+    earlier = W.partitionBy(*log).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    carried = blocks.select(*log, "_block", F.max("_last").over(earlier).alias("_carried"))
+    so_far = W.partitionBy(*log, "_block").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = marked.withColumn("_own", F.max("_start").over(so_far))
+    rows = placed.join(carried, [*log, "_block"], "left").withColumn("_entry", F.coalesce("_own", "_carried"))
+    entry_line = F.expr(f"_entry div {STAMP_STEP}")
+    time = F.lpad(F.expr(f"cast(_entry % {STAMP_STEP} as string)"), 14, "0")
     is_start = F.col("_start").isNotNull()
     return rows.select(
-        "run_id",
+        *log,
         "line_no",
-        F.col("_entry.entry_line").alias("entry_line"),
-        F.col("_entry.logged_at").alias("logged_at"),
-        (F.col("line_no") - F.col("_entry.entry_line")).alias("part"),
+        entry_line.alias("entry_line"),
+        F.regexp_replace(time, "(....)(..)(..)(..)(..)(..)", "$1-$2-$3T$4:$5:$6Z").alias("logged_at"),
+        (F.col("line_no") - entry_line).alias("part"),
         F.when(is_start, X.strip_right(F.regexp_replace("line", ENTRY, ""))).otherwise(F.col("line")).alias("message"),
     )

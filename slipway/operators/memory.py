@@ -15,13 +15,9 @@ from slipway.functions.numbers import round_cents, round_columns
 from slipway.functions.text import strip
 from slipway.operators.sizing import resolve_specs
 
-MAX_SCENARIOS = 1000
-
 
 def with_scenarios(specs: DataFrame, scenarios: Sequence[tuple[str, int | None, int]]) -> DataFrame:
     """Each spec once per (goal, context length or None, batch size); no join, no shuffle."""
-    if len(scenarios) > MAX_SCENARIOS:
-        raise ValueError(f"at most {MAX_SCENARIOS} scenarios fit in one plan")
     choices = F.array(
         *(
             F.struct(

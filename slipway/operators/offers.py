@@ -10,11 +10,7 @@ from pyspark.sql import functions as F
 from slipway import constants as C
 from slipway.constants import GPU_CATALOG, GpuType
 from slipway.functions import pricing as P
-from slipway.functions.joins import SALTS, lookup_join, salt_of, top_k, within_bound
-from slipway.session import checkpointed
-
-# Offers that may be broadcast, as arrays by (GPU count, security); some 12 MB. See top_offers.
-MAX_BROADCAST_OFFERS = 200_000
+from slipway.functions.joins import SALTS, lookup_join, salt_of, top_k
 
 
 def _fits(floor: Column, cap: Column, cloud_type: Column, catalog: Sequence[GpuType]) -> Column:
@@ -92,13 +88,17 @@ def estimated_hourly(
 
 
 def price_offers(offers: DataFrame) -> DataFrame:
-    """``offers`` with label, price per GPU and price of the whole pod; null if unpriced."""
+    """``offers`` with label, price per GPU and price of the whole pod; null if unpriced.
+
+    A positive ``quoted_hourly``, where the table has that column, is the price of the pod.
+    """
     priced = offers.select(
         "*",
         P.offer_hourly(F.col("price_on_demand"), F.col("price_community")).alias("hourly"),
         P.offer_label(F.col("gpu_type"), F.col("provider"), F.col("cloud_id")).alias("label"),
     )
-    whole = P.pod_hourly(F.col("hourly"), F.col("gpu_count"), F.lit(None).cast("double"))
+    quote = F.col("quoted_hourly") if "quoted_hourly" in offers.columns else F.lit(None).cast("double")
+    whole = P.pod_hourly(F.col("hourly"), F.col("gpu_count"), quote)
     return priced.withColumn("pod_hourly", F.when(F.col("hourly").isNotNull(), whole))
 
 
@@ -162,64 +162,6 @@ def _price_levels(offers: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _match_by_ladder(asked: DataFrame, levels: DataFrame, k: int) -> DataFrame:
-    """Every request filters a broadcast array of levels; requests do not move."""
-    ladder = levels.groupBy("_gpus", "_scope").agg(
-        F.sort_array(F.collect_list(F.struct("gpu_memory", "offers"))).alias("levels")
-    )
-    big_enough = F.filter(F.col("levels"), lambda level: level["gpu_memory"] >= F.col("_floor"))
-    affordable = F.transform(
-        big_enough,
-        lambda level: F.transform(
-            F.filter(level["offers"], lambda offer: P.within_cap(offer["hourly"], F.col("_cap"))),
-            lambda offer: F.struct(
-                level["gpu_memory"].alias("gpu_memory"),
-                offer["hourly"].alias("hourly"),
-                offer["label"].alias("label"),
-            ),
-        ),
-    )
-    return (
-        asked.join(F.broadcast(ladder), ["_gpus", "_scope"], "left")
-        .withColumn("offers", F.slice(F.flatten(affordable), 1, k))
-        .drop("levels")
-    )
-
-
-def _match_by_level(asked: DataFrame, levels: DataFrame, key: str, k: int) -> DataFrame:
-    """The same result when the levels are too many to broadcast: joined level by level.
-
-    Requests that ask for the same are matched once, as one demand. Demands and levels are
-    spread by a salt, each pair is cut to the affordable prefix before it moves on, and a
-    pair that has none is dropped. The result goes back to the requests in a salted lookup.
-    """
-    demand = ["_gpus", "_scope", "_floor", "_limit"]
-    limited = asked.withColumn("_limit", F.when(F.col("_cap") > 0, F.col("_cap")).otherwise(F.lit(-1.0)))
-    demands = limited.select(*demand).distinct()
-    spread = levels.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pairs = (
-        demands.withColumn("_salt", salt_of(*(F.col(name) for name in demand)))
-        .join(spread, ["_gpus", "_scope", "_salt"])
-        .filter(F.col("gpu_memory") >= F.col("_floor"))
-        .select(
-            *demand,
-            "gpu_memory",
-            F.explode(
-                F.filter(
-                    F.col("offers"),
-                    lambda offer: (F.col("_limit") < 0) | (offer["hourly"] <= F.col("_limit")),
-                )
-            ).alias("offer"),
-        )
-        .select(*demand, "gpu_memory", "offer.hourly", "offer.label")
-    )
-    order = [F.col("gpu_memory"), F.col("hourly"), F.col("label")]
-    found = top_k(pairs, demand, order, k).groupBy(*demand).agg(
-        F.sort_array(F.collect_list(F.struct("gpu_memory", "hourly", "label"))).alias("offers")
-    )
-    return lookup_join(limited, found, demand, [key])
-
-
 def top_offers(
     requests: DataFrame,
     offers: DataFrame,
@@ -227,57 +169,55 @@ def top_offers(
     *,
     key: str = "run_id",
     only: Column | None = None,
-    max_broadcast: int = MAX_BROADCAST_OFFERS,
 ) -> DataFrame:
     """Each request with its first ``k`` offers: labels, pod price and the offers as array.
 
-    Offers are cut to the ``k`` cheapest per memory level before requests see them, and the
-    levels are written to the shared folder and counted. They are broadcast if they hold
-    at most ``max_broadcast`` offers; beyond that both sides meet in a salted shuffle.
-    ``key`` names a column that spreads the requests then, and requests that fail ``only``
+    Offers are cut to the ``k`` cheapest per memory level before requests see them. Requests
+    that ask for the same are matched once, as one demand: it meets the levels of its GPU
+    count and security scope, cut to their affordable prefixes, and keeps the first ``k``
+    offers of the lowest levels. The result goes back to the requests in a salted lookup,
+    spread by ``key``. It is one lazy plan, whatever the sizes. Requests that fail ``only``
     get no offers. The cap is that of the whole pod.
     """
-    levels = checkpointed(_price_levels(offers, k))
     scope = P.security_scope(F.col("cloud_type"))
+    cap = P.per_gpu_cap(F.col("max_dollars_per_hour"), F.col("gpu_count"))
     asked = requests.select(
         *requests.columns,
         F.greatest(F.lit(1), F.col("gpu_count")).alias("_gpus"),
         (scope if only is None else F.when(only, scope)).alias("_scope"),
-        P.per_gpu_cap(F.col("max_dollars_per_hour"), F.col("gpu_count")).alias("_cap"),
+        F.when(cap > 0, cap).otherwise(F.lit(-1.0)).alias("_limit"),
         F.col("vram_gb").alias("_floor"),
     )
-    if within_bound(levels, max_broadcast // k):
-        matched = _match_by_ladder(asked, levels, k)
-    else:
-        matched = _match_by_level(asked, levels, key, k)
+    demand = ["_gpus", "_scope", "_floor", "_limit"]
+    demands = asked.filter(F.col("_scope").isNotNull()).select(*demand).distinct()
+    spread = _price_levels(offers, k).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    affordable = F.filter(
+        F.col("offers"), lambda offer: (F.col("_limit") < 0) | (offer["hourly"] <= F.col("_limit"))
+    )
+    pairs = (
+        demands.withColumn("_salt", salt_of(*(F.col(name) for name in demand)))
+        .join(spread, ["_gpus", "_scope", "_salt"])
+        .filter(F.col("gpu_memory") >= F.col("_floor"))
+        .select(*demand, "gpu_memory", F.explode(affordable).alias("offer"))
+        .select(*demand, "gpu_memory", "offer.hourly", "offer.label")
+    )
+    order = [F.col("gpu_memory"), F.col("hourly"), F.col("label")]
+    found = top_k(pairs, demand, order, k).groupBy(*demand).agg(
+        F.sort_array(F.collect_list(F.struct("gpu_memory", "hourly", "label"))).alias("offers")
+    )
+    matched = lookup_join(asked, found, demand, [key])
     none = F.array().cast("array<struct<gpu_memory:double,hourly:double,label:string>>")
     first = F.get(F.col("offers"), F.lit(0))
+    quote = F.col("quoted_hourly") if "quoted_hourly" in requests.columns else F.lit(None).cast("double")
     return matched.select(
         *requests.columns,
         F.coalesce(F.col("offers"), none).alias("offers"),
     ).select(
         "*",
         F.transform(F.col("offers"), lambda offer: offer["label"]).alias("offer_labels"),
-        F.when(
-            F.size("offers") > 0,
-            P.pod_hourly(first["hourly"], F.col("gpu_count"), F.lit(None).cast("double")),
-        ).alias("estimated_hourly_dollars"),
-    )
-
-
-def match_offers(
-    requests: DataFrame, offers: DataFrame, k: int = C.OFFERS_PER_PAGE, **options: object
-) -> DataFrame:
-    """One row per request and offer in rank order, up to a page of ``k`` per request."""
-    ranked = top_offers(requests, offers, k, **options)
-    # The slice keeps the matching out of a filter that Spark would derive from the column.
-    page = F.slice(F.col("offers"), 1, k)
-    return ranked.select(*requests.columns, F.posexplode(page).alias("_pos", "_offer")).select(
-        *requests.columns,
-        (F.col("_pos") + 1).alias("rank"),
-        F.col("_offer.gpu_memory"),
-        F.col("_offer.hourly"),
-        F.col("_offer.label"),
+        F.when(F.size("offers") > 0, P.pod_hourly(first["hourly"], F.col("gpu_count"), quote)).alias(
+            "estimated_hourly_dollars"
+        ),
     )
 
 

@@ -33,7 +33,11 @@ def plan_volume(
     asked = configs.select(
         *configs.columns,
         F.coalesce(supported, F.lit(False)).alias("_supported"),
-        F.when(supported & auto & wanted.isNull() & (F.col("model_id") != ""), F.col("model_id")).alias("_model"),
+        # Runs that need no size get keys of their own, which match nothing and spread evenly.
+        F.coalesce(
+            F.when(supported & auto & wanted.isNull() & (F.col("model_id") != ""), F.col("model_id")),
+            F.concat(F.lit("\0"), F.col("run_id")),
+        ).alias("_model"),
         F.when(supported & auto & (given == ""), F.lit(True)).alias("_auto"),
         F.coalesce(F.nullif(F.col("network_volume_name"), F.lit("")), slug_name).alias("_name"),
         F.col("network_volume_data_center_id").alias("_center"),
@@ -116,24 +120,24 @@ def make_plan(
     candidates = F.when(listed, F.col("_listed_ids")).when(
         F.col("_provider") == C.PROVIDERS[1], F.col("offer_labels")
     )
+    capped = F.col("max_dollars_per_hour") > 0
     need = F.concat_ws(
         "",
-        F.col("vram_gb"),
-        F.lit(" GB VRAM x"),
         F.greatest(F.lit(1), F.col("gpu_count")),
-        F.lit(" under "),
-        F.coalesce(F.col("max_dollars_per_hour").cast("string"), F.lit("None")),
-        F.lit("/hr"),
+        F.lit(" x "),
+        F.col("vram_gb"),
+        F.lit(" GB"),
+        F.when(capped, F.concat(F.lit(" within "), F.format_string("%.2f", "max_dollars_per_hour"))),
     )
     setting_reason = F.col("reject_reason") if "reject_reason" in configs.columns else F.lit(None).cast("string")
     reason = F.coalesce(
         setting_reason,
-        F.when(F.col("code") == "", F.lit("a code path is required")),
-        F.when(F.col("checked_files").isNull(), F.concat(F.lit("code path does not exist: "), F.col("code"))),
+        F.when(F.col("code") == "", F.lit("no code is named")),
+        F.when(F.col("checked_files").isNull(), F.concat(F.lit("no such code: "), F.col("code"))),
         F.when(command.isNull(), F.col("command_error")),
-        F.when(F.col("error_files") > 0, F.concat(F.lit("static verification failed: "), F.col("first_error"))),
-        F.when(F.col("_provider").isNull(), F.concat(F.lit("unsupported provider: "), F.col("provider"))),
-        F.when(F.size(candidates) == 0, F.concat(F.lit("no offer satisfies "), need)),
+        F.when(F.col("error_files") > 0, F.concat(F.lit("code has errors: "), F.col("first_error"))),
+        F.when(F.col("_provider").isNull(), F.concat(F.lit("unknown provider: "), F.col("provider"))),
+        F.when(F.size(candidates) == 0, F.concat(F.lit("nothing on offer for "), need)),
     )
     return planned.withColumn("_reason", reason).select(
         "run_id",
@@ -153,6 +157,7 @@ def make_plan(
         F.col("plan_volume_size_gb").alias("network_volume_size_gb"),
         F.concat(F.col("results_dir"), F.lit("/"), F.col("run_id")).alias("results_dir"),
         F.coalesce(F.col("checked_files"), F.lit(0).cast("bigint")).alias("verified_file_count"),
+        F.coalesce(F.col("checked_paths"), F.array().cast("array<string>")).alias("verified_files"),
         "volume_action",
         "volume_id",
         "volume_name",
@@ -163,11 +168,7 @@ def make_plan(
 
 
 def plan_summary(plans: DataFrame) -> DataFrame:
-    """The twelve columns shown for a plan, for runs that could be planned.
-
-    Of the checked files the summary carries the number; the names are the rows that
-    ``select_code_files`` gives for the plan's code path.
-    """
+    """The columns shown for a plan, for runs that could be planned."""
     return plans.filter(F.col("reject_reason").isNull()).select(
         "run_id",
         "model_id",
@@ -180,5 +181,5 @@ def plan_summary(plans: DataFrame) -> DataFrame:
         "network_volume_id",
         "network_volume_size_gb",
         "results_dir",
-        "verified_file_count",
+        "verified_files",
     )

@@ -30,16 +30,23 @@ def clean_overrides(settings: DataFrame, override_layer: int = C.OVERRIDE_LAYER)
 def overlay_settings(settings: DataFrame) -> DataFrame:
     """One row per run with every setting taken from its highest layer, else its default.
 
-    Unknown keys and nulls are dropped. All settings are picked in one grouping, so the
-    rows shuffle once and a run with very many of them is reduced before that. A text
-    that is no value of its setting's type gives the default and a ``reject_reason``.
+    Within a layer the entry with the larger ``seq`` counts. Unknown keys and nulls change
+    nothing, but their run has its row. A row without a key stands for settings that could not
+    be read, and gives a ``reject_reason``, as does a text that is no value of its
+    setting's type; that setting has its default.
+
+    All settings are picked in one grouping by run, reduced per task ahead of its one shuffle.
+    Its aggregates hold texts, so Spark sorts each task's rows for it; telling apart 26
+    settings by hash would take a second shuffle.
     """
-    known = settings.filter(F.col("key").isin(*C.SETTING_NAMES) & F.col("value").isNotNull())
-    runs = known.groupBy("run_id").agg(
+    runs = settings.groupBy("run_id").agg(
         *(
-            F.expr(f"max(CASE WHEN key = '{name}' THEN struct(layer, value) END).value").alias(name)
+            F.expr(
+                f"max(CASE WHEN key = '{name}' AND value IS NOT NULL THEN struct(layer, seq, value) END).value"
+            ).alias(name)
             for name in C.SETTING_NAMES
-        )
+        ),
+        F.max(F.col("key").isNull()).alias("_unread"),
     )
     columns, complaints = [], []
     for name, kind, default in C.SETTINGS:
@@ -48,6 +55,7 @@ def overlay_settings(settings: DataFrame) -> DataFrame:
         if kind != "string":
             bad = f"CASE WHEN {name} IS NOT NULL AND {value} IS NULL THEN '{name} is not a {kind}' END"
             complaints.append(F.expr(bad))
+    complaints.append(F.when(F.col("_unread"), F.lit("settings of a layer cannot be read")))
     return runs.select("run_id", *columns, F.coalesce(*complaints).alias("reject_reason"))
 
 

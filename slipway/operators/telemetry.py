@@ -119,9 +119,12 @@ def spend_guard(polls: DataFrame, runs: DataFrame, *, salts: int = SALTS) -> Dat
 
 
 def filter_events(events: DataFrame, kind: str | None = None) -> DataFrame:
-    """Messages of every run in order, all of them or those of one kind."""
+    """Messages of every run in order, all of them or those of one kind.
+
+    The rows of a run stand together in one partition, in order; runs have no order.
+    """
     chosen = events if kind is None else events.filter(F.col("kind") == kind)
-    return chosen.select("run_id", "seq", "message").orderBy("run_id", "seq")
+    return chosen.select("run_id", "seq", "message").repartition("run_id").sortWithinPartitions("run_id", "seq")
 
 
 def classify_launch_errors(errors: DataFrame) -> DataFrame:
@@ -144,12 +147,14 @@ def ssh_endpoints(snapshots: DataFrame) -> DataFrame:
 
 
 def pod_readiness(snapshots: DataFrame) -> DataFrame:
-    """Whether every pod became ready, failed, timed out or is still pending.
+    """Whether every pod of a provider became ready, failed, timed out or is still pending.
 
     The first snapshot that is ready or failed decides, if it came within the provider's
-    wait limit after the pod was first seen. One grouping with partial minima.
+    wait limit after the pod was first seen. Times and counts of all snapshots are one hash
+    grouping; only snapshots that decide are read as JSON documents' states and compared.
     """
     provider, document = F.col("provider"), F.col("_document")
+    pod = ["pod_id", "provider"]
     seen = (
         snapshots.withColumn("_document", F.try_parse_json("payload"))
         .withColumn("endpoint", L.ssh_endpoint(provider, document))
@@ -161,14 +166,15 @@ def pod_readiness(snapshots: DataFrame) -> DataFrame:
             "endpoint",
         )
     )
-    deciding = F.col("state") != "pending"
-    pods = seen.groupBy("pod_id").agg(
-        F.max("provider").alias("provider"),
+    watched = snapshots.groupBy(*pod).agg(
         F.min("observed_ts").alias("first_ts"),
         F.max("observed_ts").alias("last_ts"),
         F.count(F.lit(1)).alias("snapshots"),
-        F.min(F.when(deciding, F.struct("observed_ts", "state", "endpoint"))).alias("first"),
     )
+    decided = seen.filter(F.col("state") != "pending").groupBy(*pod).agg(
+        F.min(F.struct("observed_ts", "state", "endpoint")).alias("first")
+    )
+    pods = watched.join(decided, pod, "left")
     limit = F.when(
         F.col("provider") == C.PROVIDERS[0], F.lit(C.READY_TIMEOUT_SECONDS[C.PROVIDERS[0]])
     ).otherwise(F.lit(C.READY_TIMEOUT_SECONDS[C.PROVIDERS[1]]))

@@ -81,9 +81,9 @@ TENSOR_COUNTS = Binding(
     {
         "model_id": f"'org/model-' || {text('l_partkey')}",
         "dtype": cases("l_linenumber", "'BF16'", "'f32'", "'I8'", "'F4'", "'NEW_TAG'", "'u4'", "'F64'"),
-        "param_count": whole("l_extendedprice * 1E4"),
+        # Models whose counts add up to nothing have no spec of this source.
+        "param_count": f"CASE WHEN l_partkey % 5 = 0 THEN 0 ELSE {whole('l_extendedprice * 1E4')} END",
     },
-    where="l_partkey % 5 <> 0",
 )
 
 _HIDDEN = text("(p_size + 1) * 128")
@@ -171,6 +171,7 @@ GPU_QUOTES = Binding(
         "offer_id": "s_suppkey",
         "gpu_id": cases("s_suppkey", "'NVIDIA L4'", "'NVIDIA H200'", "'NVIDIA Unknown'", "'AMD Instinct MI300X OAM'"),
         "cloud_type": cases("s_suppkey", "'Community'", "'SECURE'", "'ALL'"),
+        "planned_hourly": cases("s_suppkey", "NULL", "s_acctbal / 1000E0", "0E0", "2.5E0", "NULL"),
     },
 )
 
@@ -197,6 +198,7 @@ GPU_OFFERS = Binding(
         "is_spot": "CASE WHEN s_suppkey % 7 = 3 THEN TRUE WHEN s_suppkey % 7 = 4 THEN NULL ELSE FALSE END",
         "price_on_demand": "CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE s_acctbal / 1000E0 END",
         "price_community": "CASE WHEN s_suppkey % 18 = 0 THEN 1.25E0 END",
+        "quoted_hourly": cases("s_suppkey", "NULL", "s_acctbal / 500E0", "0E0", "NULL"),
         "images": "CASE WHEN s_suppkey % 5 = 4 THEN NULL ELSE split("
         + cases(
             "s_suppkey",
@@ -216,13 +218,17 @@ SETTINGS = Binding(
     {
         "run_id": f"'run-' || {text('o_custkey')}",
         "layer": f"CAST({_TWENTIETH} % 4 AS INT)",
-        "key": cases(
+        "seq": "CAST(o_orderkey * 7919 % 100003 AS BIGINT)",
+        # Some runs set nothing that is known, some have a file that could not be read.
+        "key": "CASE WHEN o_custkey % 50 = 7 THEN 'no_such_setting' WHEN o_custkey % 41 = 3 AND o_orderkey % 3 = 0 "
+        "THEN NULL ELSE " + cases(
             "o_orderkey",
             "'model_id'", "'vram_gb'", "'gpu_count'", "'max_dollars_per_hour'", "'provider'",
             "'cloud_type'", "'code'", "'auto_network_volume'", "'network_volume_data_center_id'", "'model'",
             "'max_spend'", "'no_such_setting'", "'results_dir'", "'command'", "'network_volume_id'",
             "'network_volume_size_gb'", "'pod_volume_gb'", "'code'", "'code'", "'auto_network_volume'",
-        ),
+        )
+        + " END",
         "value": cases(
             "o_orderkey",
             f"'org/model-' || {text('o_custkey % 200')}",
@@ -304,9 +310,9 @@ CODE_FILES = Binding(
         f"WHEN 2 THEN {cases(_FIFTH, "'.git/hooks/pre.py'", "'lib/node_modules/a.py'", "'lib/util.bash'")} "
         f"WHEN 3 THEN {_HIDDEN_FILE} "
         f"ELSE CASE WHEN {_FIFTH} % 6 = 5 THEN 'requirements.txt' ELSE 'scripts/go.sh' END END",
-        # Whole page sources stand for files that are no Python at all.
-        "content": "CASE WHEN page_id % 9 = 4 THEN 'def broken(:' WHEN page_id % 13 = 6 THEN html "
-        f"ELSE 'value = ' || {text('page_id')} END",
+        # A page's source as comment lines compiles; as it is, or after a broken line, it does not.
+        "content": "CASE WHEN page_id % 9 = 4 THEN 'def broken(:' || chr(10) || html WHEN page_id % 13 = 6 THEN html "
+        "ELSE '# ' || replace(replace(html, chr(13), ' '), chr(10), chr(10) || '# ') END",
     },
 )
 
@@ -371,11 +377,11 @@ RUN_EVENTS = Binding(
 RUN_LOGS = Binding(
     "documents",
     {
-        "run_id": f"'run-' || {text('doc_id')}",
-        "stream": "CASE WHEN doc_id % 4 = 3 THEN 'stderr' ELSE 'stdout' END",
-        # Some logs start and end with white space, some are nothing else.
-        "text": "CASE WHEN doc_id % 50 = 7 THEN '  ' || chr(10) || chr(9) "
-        "WHEN doc_id % 6 = 1 THEN chr(10) || '  ' || text || ' ' || chr(10) || chr(10) || '   ' "
+        # Every run has two streams. Some logs start and end with white space.
+        "run_id": f"'run-' || {text(whole('doc_id / 2'))}",
+        "stream": "CASE WHEN doc_id % 2 = 1 THEN 'stderr' ELSE 'stdout' END",
+        "text": "CASE "
+        "WHEN doc_id % 6 < 2 THEN chr(10) || '  ' || text || ' ' || chr(10) || chr(10) || '   ' "
         "ELSE text END",
     },
 )

@@ -69,14 +69,8 @@ def _volume(size: str, multiplier: str, minimum: str, fallback: str) -> str:
     )
 
 
-_BYTES = "CASE " + " ".join(
-    f"WHEN upper(dtype) IN ({', '.join(_quoted(t) for t in tags)}) THEN {width}"
-    for tags, width in (
-        (C.EIGHT_BYTE_DTYPES, "8E0"),
-        (C.FOUR_BYTE_DTYPES, "4E0"),
-        (C.ONE_BYTE_DTYPES, "1E0"),
-        (C.HALF_BYTE_DTYPES, "0.5E0"),
-    )
+_BYTES = "CASE upper(dtype) " + " ".join(
+    f"WHEN {_quoted(tag)} THEN {width}E0" for tag, width in C.DTYPE_BYTES.items()
 ) + " ELSE 2E0 END"
 _TENSORS = ("tensors", B.TENSOR_COUNTS.sql())
 _PARAMS = (
@@ -287,7 +281,7 @@ _CLEAN = (
 )
 _LAST = (
     "last_values",
-    "SELECT run_id, key, first(value ORDER BY layer DESC, value DESC) AS value FROM cleaned "
+    "SELECT run_id, key, first(value ORDER BY layer DESC, seq DESC) AS value FROM cleaned "
     f"WHERE value IS NOT NULL AND key IN ({', '.join(_quoted(n) for n in C.SETTING_NAMES)}) GROUP BY run_id, key",
 )
 _SQL_TYPES = {"string": "VARCHAR", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
@@ -315,7 +309,9 @@ _OVERLAID = (
         for name, kind, _ in C.SETTINGS
         if kind != "string"
     )
-    + ") AS reject_reason FROM last_values GROUP BY run_id",
+    + ", CASE WHEN bool_or(unread) THEN 'settings of a layer cannot be read' END) AS reject_reason "
+    "FROM (SELECT run_id, key, value, FALSE AS unread FROM last_values "
+    "UNION ALL SELECT run_id, NULL, NULL, key IS NULL FROM cleaned) GROUP BY run_id",
 )
 _OVERLAY_PARTS = (_SETTINGS, _CLEAN, _LAST, _OVERLAID)
 
@@ -366,7 +362,7 @@ _STATES = (
     "states",
     # Which texts do not compile is known from how they were made.
     "SELECT project_id, rel_path, CASE WHEN suffix <> '.py' THEN 'unchecked' "
-    "WHEN content = 'def broken(:' OR content NOT LIKE 'value = %' THEN 'error' ELSE 'ok' END AS state FROM checked",
+    "WHEN content LIKE '# %' THEN 'ok' ELSE 'error' END AS state FROM checked",
 )
 _COMMANDS = (
     "commands",
@@ -385,10 +381,12 @@ _COMMAND_ERROR = (
 )
 _VERIFIED = (
     "verified",
-    "SELECT c.project_id, coalesce(s.n, 0) AS checked_files, coalesce(s.bad, 0) AS error_files, "
+    "SELECT c.project_id, coalesce(s.n, 0) AS checked_files, coalesce(s.paths, '') AS checked_paths, "
+    "coalesce(s.bad, 0) AS error_files, "
     f"c.command AS default_command, {_COMMAND_ERROR} AS command_error, "
     "c.command IS NOT NULL AND coalesce(s.bad, 0) = 0 AS ok FROM commands c LEFT JOIN ("
-    "SELECT project_id, count(*) AS n, count(*) FILTER (state = 'error') AS bad FROM states GROUP BY project_id"
+    "SELECT project_id, count(*) AS n, string_agg(rel_path, '|' ORDER BY string_split(rel_path, '/')) AS paths, "
+    "count(*) FILTER (state = 'error') AS bad FROM states GROUP BY project_id"
     ") s USING (project_id)",
 )
 _VERIFY_PARTS = (_CODE, _CHECKED, _STATES, _COMMANDS, _VERIFIED)
@@ -425,6 +423,13 @@ _PLANNED_VOLUMES = (
 _VOLUME_PARTS = (
     *_CONFIG_PARTS, _FILES, _SIZED, _VOLUME_ROWS, _VOLUMES, _ASKED_VOLUMES, _SIZED_VOLUMES, _PLANNED_VOLUMES,
 )
+_VOLUME_COLUMNS = (
+    "volume_action, CASE volume_action WHEN 'use' THEN given WHEN 'reuse' THEN found END AS volume_id, "
+    "CASE WHEN volume_action = 'create' THEN vname[:191] END AS volume_name, "
+    "CASE WHEN volume_action = 'create' THEN coalesce(nullif(plan_size, 0), pod_volume_gb) END AS volume_size_gb, "
+    f"coalesce(nullif(lower({_strip('provider')}), ''), 'runpod') <> 'runpod' AND (auto_network_volume OR given <> '') "
+    "AS volume_options_ignored"
+)
 _PLAN_REQUESTS = (
     "requests",
     "SELECT run_id, vram_gb, max_dollars_per_hour, cloud_type, gpu_count FROM configs_in",
@@ -435,17 +440,18 @@ _PLANS = (
     f"coalesce(nullif({_strip('v.command')}, ''), p.default_command) AS start_command, "
     f"CASE {_PROVIDER} WHEN 'runpod' THEN i.gpu_type_ids WHEN 'primeintellect' THEN b.offer_labels END AS found_ids, "
     f"CASE {_PROVIDER} WHEN 'runpod' THEN i.estimated_hourly_dollars WHEN 'primeintellect' THEN b.estimated_hourly_dollars END AS hourly, "
-    "p.checked_files, p.error_files, p.project_id FROM planned_volumes v "
+    "p.checked_files, p.checked_paths, p.error_files, p.project_id, p.command_error FROM planned_volumes v "
     "LEFT JOIN verified p ON p.project_id = v.code LEFT JOIN ids i USING (run_id) LEFT JOIN best b USING (run_id)",
 )
 _REASONED = (
     "reasoned",
-    "SELECT *, CASE WHEN reject_reason IS NOT NULL THEN regexp_extract(reject_reason, '^([a-z_ ]+)', 1) "
-    "WHEN code = '' THEN 'a code path is required' WHEN project_id IS NULL THEN 'code path does not exist' "
-    # A missing command is reported in the words of the verifier, which start with a capital.
-    "WHEN start_command IS NULL THEN '' "
-    "WHEN error_files > 0 THEN 'static verification failed' WHEN norm_provider IS NULL THEN 'unsupported provider' "
-    "WHEN found_ids IS NULL THEN 'no offer satisfies ' END AS reject_class FROM plans",
+    "SELECT *, CASE WHEN reject_reason IS NOT NULL THEN reject_reason "
+    "WHEN code = '' THEN 'no code is named' WHEN project_id IS NULL THEN 'no such code: ' || code "
+    "WHEN start_command IS NULL THEN command_error "
+    "WHEN error_files > 0 THEN 'code has errors: ' WHEN norm_provider IS NULL THEN 'unknown provider: ' || provider "
+    "WHEN found_ids IS NULL THEN 'nothing on offer for ' || CAST(greatest(1, gpu_count) AS VARCHAR) || ' x ' "
+    "|| CAST(vram_gb AS VARCHAR) || ' GB' || CASE WHEN max_dollars_per_hour > 0 "
+    "THEN ' within ' || format('{:.2f}', max_dollars_per_hour) ELSE '' END END AS reason FROM plans",
 )
 _PLAN_PARTS = (
     *_VOLUME_PARTS, *_VERIFY_PARTS, _PLAN_REQUESTS, _OFFERS, _CAPPED, _IDS, _RENTABLE, _MATCHED, _TOP, _PLANS, _REASONED,
@@ -486,9 +492,9 @@ _TAIL = (
 )
 _LINE_ROWS = (
     "line_rows",
-    "SELECT run_id, CAST(line_no AS BIGINT) AS line_no, " + B.LOG_LINE + " AS line FROM ("
-    f"SELECT run_id, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS line_no FROM ("
-    f"SELECT run_id, regexp_split_to_array(text, '{C.LINE_BREAK}') AS parts FROM run_logs))",
+    "SELECT run_id, stream, CAST(line_no AS BIGINT) AS line_no, " + B.LOG_LINE + " AS line FROM ("
+    f"SELECT run_id, stream, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS line_no FROM ("
+    f"SELECT run_id, stream, regexp_split_to_array(text, '{C.LINE_BREAK}') AS parts FROM run_logs))",
 )
 _STAMP = "regexp_extract(line, '^\\[(\\d{4}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\dZ)\\] ', 1)"
 _CENTERS = r"Available data centers:\s*([^\n]*?)(?:\"|\.|\n?$)"
@@ -551,11 +557,13 @@ ORACLES: dict[str, str] = {
         body="SELECT run_id, coalesce(gpu_type_ids, '') AS gpu_type_ids, estimated_hourly_dollars "
         "FROM requests LEFT JOIN ids USING (run_id)",
     ),
-    "estimated_hourly": f"SELECT q.*, {_price('q.cloud_type')} AS estimated_hourly FROM ({B.GPU_QUOTES.sql()}) q "
-    f"LEFT JOIN ({_CATALOG}) g ON g.gpu_id = q.gpu_id",
+    "estimated_hourly": f"SELECT q.*, {_price('q.cloud_type')} AS estimated_hourly, "
+    f"coalesce(nullif({_price('q.cloud_type')}, 0), nullif(q.planned_hourly, 0), 0) AS billed_hourly "
+    f"FROM ({B.GPU_QUOTES.sql()}) q LEFT JOIN ({_CATALOG}) g ON g.gpu_id = q.gpu_id",
     "price_offers": _with(
         _OFFERS,
-        body="SELECT cloud_id, label, hourly, hourly * gpu_count AS pod_hourly FROM (SELECT *, "
+        body="SELECT cloud_id, label, hourly, CASE WHEN hourly IS NOT NULL THEN CASE WHEN quoted_hourly > 0 "
+        "THEN quoted_hourly ELSE hourly * gpu_count END END AS pod_hourly FROM (SELECT *, "
         "CASE WHEN price_on_demand > 0 THEN price_on_demand WHEN price_community > 0 THEN price_community END AS hourly, "
         "coalesce(gpu_type, '?') || ' (' || coalesce(provider, '?') || '/' || coalesce(cloud_id, '?') || ')' AS label "
         "FROM offers)",
@@ -566,11 +574,6 @@ ORACLES: dict[str, str] = {
         f"WHERE gpu_count = {LISTED_REQUEST['gpu_count']} AND security = 'secure_cloud' "
         f"AND gpu_memory >= {LISTED_REQUEST['min_vram_gb']} AND hourly <= {LISTED_REQUEST['max_dollars_per_hour']}",
     ),
-    "match_offers": _with(
-        _REQUESTS, _CAPPED, _OFFERS, _RENTABLE, _MATCHED,
-        body="SELECT run_id, CAST(rank AS INTEGER) AS rank, gpu_memory, hourly, label FROM matched "
-        f"WHERE rank <= {C.OFFERS_PER_PAGE}",
-    ),
     "top_offers": _with(
         _REQUESTS, _CAPPED, _OFFERS, _RENTABLE, _MATCHED, _TOP,
         body="SELECT run_id, coalesce(offer_labels, '') AS offer_labels, estimated_hourly_dollars "
@@ -615,27 +618,24 @@ ORACLES: dict[str, str] = {
     "verify_projects": _with(*_VERIFY_PARTS, body="SELECT * FROM verified"),
     "plan_volume": _with(
         *_VOLUME_PARTS,
-        body="SELECT run_id, volume_action, CASE volume_action WHEN 'use' THEN given WHEN 'reuse' THEN found END AS volume_id, "
-        "CASE WHEN volume_action = 'create' THEN vname[:191] END AS volume_name, "
-        "CASE WHEN volume_action = 'create' THEN coalesce(nullif(plan_size, 0), pod_volume_gb) END AS volume_size_gb, "
-        "plan_size AS plan_volume_size_gb, size_gb AS model_size_gb, "
-        f"coalesce(nullif(lower({_strip('provider')}), ''), 'runpod') <> 'runpod' AND (auto_network_volume OR given <> '') "
-        "AS volume_options_ignored FROM planned_volumes",
+        body=f"SELECT run_id, {_VOLUME_COLUMNS}, plan_size AS plan_volume_size_gb, size_gb AS model_size_gb FROM planned_volumes",
     ),
     "make_plan": _with(
         *_PLAN_PARTS,
-        body="SELECT run_id, norm_provider AS provider, start_command AS command, "
+        body="SELECT run_id, model_id, code AS code_path, norm_provider AS provider, start_command AS command, "
         "CASE WHEN norm_provider IS NOT NULL THEN coalesce(found_ids, '') END AS gpu_candidates, hourly AS estimated_hourly_dollars, "
-        "results_dir || '/' || run_id AS results_dir, coalesce(checked_files, 0) AS verified_file_count, "
-        "volume_action, plan_size AS network_volume_size_gb, reject_class FROM reasoned",
+        "max_spend_dollars, size_gb AS model_size_gb, CASE WHEN supported THEN given ELSE '' END AS network_volume_id, "
+        "plan_size AS network_volume_size_gb, results_dir || '/' || run_id AS results_dir, "
+        "coalesce(checked_files, 0) AS verified_file_count, coalesce(checked_paths, '') AS verified_files, "
+        f"{_VOLUME_COLUMNS}, reason AS reject_reason FROM reasoned",
     ),
     "plan_summary": _with(
         *_PLAN_PARTS,
         body="SELECT run_id, model_id, code AS code_path, start_command AS command, found_ids AS gpu_candidates, "
         "hourly AS estimated_hourly_dollars, max_spend_dollars, size_gb AS model_size_gb, "
         "CASE WHEN supported THEN given ELSE '' END AS network_volume_id, plan_size AS network_volume_size_gb, "
-        "results_dir || '/' || run_id AS results_dir, checked_files AS verified_file_count "
-        "FROM reasoned WHERE reject_class IS NULL",
+        "results_dir || '/' || run_id AS results_dir, checked_paths AS verified_files "
+        "FROM reasoned WHERE reason IS NULL",
     ),
     "accrued_spend": _with(
         _POLLS, _RUNS, _JUDGED,
@@ -650,6 +650,21 @@ ORACLES: dict[str, str] = {
     "run_outcome_stream": _with(
         *_ENDED_PARTS, body="SELECT run_id, outcome, exit_code, elapsed_seconds, spent FROM ended"
     ),
+    "spend_alerts": _with(
+        *_ENDED_PARTS, body="SELECT run_id, elapsed_seconds, spent FROM ended WHERE outcome = 'max_spend'"
+    ),
+    # Windows of five minutes that ended ten minutes before the last poll of all.
+    "settled_decisions": _with(
+        _POLLS, _RUNS, _JUDGED,
+        (
+            "windowed",
+            "SELECT *, time_bucket(INTERVAL 5 MINUTES, poll_ts) AS begin_ts FROM judged WHERE verdict IS NOT NULL",
+        ),
+        body="SELECT run_id, verdict, exit_code, "
+        "elapsed AS elapsed_seconds, spent FROM windowed WHERE begin_ts + INTERVAL 5 MINUTES <= "
+        "(SELECT max(poll_ts) - INTERVAL 10 MINUTES FROM polls) "
+        "QUALIFY row_number() OVER (PARTITION BY run_id, begin_ts ORDER BY poll_ts, verdict) = 1",
+    ),
     "spend_guard": _with(
         *_ENDED_PARTS,
         body="SELECT run_id, elapsed_seconds, spent, max_spend, 'max spend reached ($' || format('{:.2f}', spent) "
@@ -699,11 +714,11 @@ ORACLES: dict[str, str] = {
         (
             "placed",
             "SELECT *, max(CASE WHEN stamp IS NOT NULL THEN line_no END) OVER "
-            "(PARTITION BY run_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS entry_line FROM stamped",
+            "(PARTITION BY run_id, stream ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS entry_line FROM stamped",
         ),
-        body="SELECT p.run_id, p.line_no, p.entry_line, s.stamp AS logged_at, p.line_no - p.entry_line AS part, "
+        body="SELECT p.run_id, p.stream, p.line_no, p.entry_line, s.stamp AS logged_at, p.line_no - p.entry_line AS part, "
         f"CASE WHEN p.stamp IS NULL THEN p.line ELSE regexp_replace(p.line[24:], '{_BLANK}+\\z', '') END AS message "
-        "FROM placed p LEFT JOIN stamped s ON s.run_id = p.run_id AND s.line_no = p.entry_line",
+        "FROM placed p LEFT JOIN stamped s ON s.run_id = p.run_id AND s.stream = p.stream AND s.line_no = p.entry_line",
     ),
     "classify_launch_errors": _with(
         ("errors", B.LAUNCH_ERRORS.sql()),

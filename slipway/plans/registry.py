@@ -24,7 +24,7 @@ SCENARIOS = (
     ("qlora", None, 2),
     ("full", 4096, 1),
 )
-LISTED_REQUEST = {"min_vram_gb": 48, "max_dollars_per_hour": 6.0, "cloud_type": "SECURE", "gpu_count": 2}
+LISTED_REQUEST = {"min_vram_gb": 24, "max_dollars_per_hour": 9.0, "cloud_type": "SECURE", "gpu_count": 1}
 PINNED = "NVIDIA L4, NVIDIA H200,NVIDIA B200"
 
 
@@ -120,7 +120,8 @@ def gpu_type_ids(spark, sf_dir):
 
 @query
 def estimated_hourly(spark, sf_dir):
-    return offers.estimated_hourly(B.GPU_QUOTES.frame(spark, sf_dir))
+    quotes = B.GPU_QUOTES.frame(spark, sf_dir)
+    return offers.estimated_hourly(quotes, planned_hourly=F.col("planned_hourly"))
 
 
 @query
@@ -135,12 +136,6 @@ def list_offers(spark, sf_dir):
     return listed.select("cloud_id", "gpu_memory", "hourly", "label", "data_center")
 
 
-@query
-def match_offers(spark, sf_dir):
-    matched = offers.match_offers(B.RUN_REQUESTS.frame(spark, sf_dir), B.GPU_OFFERS.frame(spark, sf_dir))
-    return matched.select("run_id", "rank", "gpu_memory", "hourly", "label")
-
-
 @query
 def top_offers(spark, sf_dir):
     best = offers.top_offers(B.RUN_REQUESTS.frame(spark, sf_dir), B.GPU_OFFERS.frame(spark, sf_dir))
@@ -219,7 +214,8 @@ def check_syntax(spark, sf_dir):
 
 @query
 def verify_projects(spark, sf_dir):
-    return code.verify_projects(B.CODE_FILES.frame(spark, sf_dir)).drop("first_error")
+    verified = code.verify_projects(B.CODE_FILES.frame(spark, sf_dir))
+    return verified.drop("first_error").withColumn("checked_paths", F.array_join("checked_paths", "|"))
 
 
 def _configs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,26 +258,21 @@ def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def make_plan(spark, sf_dir):
-    reason = F.regexp_extract("reject_reason", "^([a-z_ ]+)", 1)
-    return _plans(spark, sf_dir).select(
-        "run_id",
-        "provider",
-        "command",
-        _joined("gpu_candidates"),
-        "estimated_hourly_dollars",
-        "results_dir",
-        "verified_file_count",
-        "volume_action",
-        "network_volume_size_gb",
-        reason.alias("reject_class"),
+    """All columns; of a compiler's complaint only that there is one."""
+    plans = _plans(spark, sf_dir)
+    return plans.withColumns(
+        {
+            "gpu_candidates": F.array_join("gpu_candidates", "|"),
+            "verified_files": F.array_join("verified_files", "|"),
+            "reject_reason": F.regexp_replace("reject_reason", "(?s)^(code has errors: ).*", "$1"),
+        }
     )
 
 
 @query
 def plan_summary(spark, sf_dir):
-    return planning.plan_summary(_plans(spark, sf_dir)).withColumn(
-        "gpu_candidates", F.array_join("gpu_candidates", "|")
-    )
+    summary = planning.plan_summary(_plans(spark, sf_dir))
+    return summary.withColumns({name: F.array_join(name, "|") for name in ("gpu_candidates", "verified_files")})
 
 
 # Run telemetry
@@ -301,9 +292,8 @@ def run_outcome(spark, sf_dir):
     return ended.select(*_OUTCOME, "pod_kept")
 
 
-@query
-def run_outcome_stream(spark, sf_dir):
-    """The polls as a stream of files, run until all of them are read."""
+def _streamed(spark, sf_dir):
+    """The polls as a stream of files, the terms of the runs, and a folder for what comes out."""
     folder = f"{shared_dir(spark)}/outcomes-{uuid.uuid4().hex}"
     events = (
         spark.readStream.schema(B.table(spark, sf_dir, "events").schema)
@@ -311,13 +301,38 @@ def run_outcome_stream(spark, sf_dir):
         .parquet(sf_dir)
     )
     polls = events.select(*(F.expr(text).alias(name) for name, text in B.RUN_POLLS.columns.items()))
-    terms = B.runs(spark, sf_dir)
-    updates = outcomes.decisions(polls, terms)
-    writer = outcomes.write_decisions(updates, f"{folder}/table", f"{folder}/state")
+    return polls, B.runs(spark, sf_dir), folder
+
+
+def _run_until_read(writer):
     writer.trigger(availableNow=True).start().awaitTermination()
+
+
+@query
+def run_outcome_stream(spark, sf_dir):
+    """The polls as a stream, run until all of them are read."""
+    polls, terms, folder = _streamed(spark, sf_dir)
+    _run_until_read(outcomes.write_decisions(outcomes.decisions(polls, terms), f"{folder}/table", f"{folder}/state"))
     return outcomes.read_outcomes(spark, f"{folder}/table", terms).select(*_OUTCOME)
 
 
+@query
+def spend_alerts(spark, sf_dir):
+    polls, terms, folder = _streamed(spark, sf_dir)
+    alerts = outcomes.spend_alerts(outcomes.decisions(polls, terms))
+    _run_until_read(outcomes.write_decisions(alerts, f"{folder}/table", f"{folder}/state"))
+    schema = "run_id string, poll_ts timestamp, elapsed_seconds double, spent double"
+    return spark.read.schema(schema).parquet(f"{folder}/table").drop("poll_ts", "batch")
+
+
+@query
+def settled_decisions(spark, sf_dir):
+    polls, terms, folder = _streamed(spark, sf_dir)
+    settled = outcomes.settled_decisions(polls, terms)
+    _run_until_read(outcomes.write_settled(settled, f"{folder}/table", f"{folder}/state"))
+    return spark.read.schema(outcomes.DECISION).parquet(f"{folder}/table").drop("poll_ts")
+
+
 @query
 def spend_guard(spark, sf_dir):
     return telemetry.spend_guard(B.RUN_POLLS.frame(spark, sf_dir), B.runs(spark, sf_dir))

@@ -58,7 +58,7 @@ RUN_REQUESTS = _struct(
     cloud_type=_str,
     gpu_count=_int,
 )
-SETTINGS_ROWS = _struct(run_id=_str, layer=_int, key=_str, value=_str)
+SETTINGS_ROWS = _struct(run_id=_str, layer=_int, seq=_long, key=_str, value=_str)
 CODE_FILES = _struct(project_id=_str, entry_file=_str, rel_path=_str, content=_str)
 VOLUMES = _struct(volume_id=_str, name=_str, data_center_id=_str, size_gb=_int, seq=_int)
 RUN_POLLS = _struct(run_id=_str, poll_ts=_ts, raw_status=_str)

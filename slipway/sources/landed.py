@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slipway.schemas import CODE_FILES
@@ -91,20 +92,31 @@ def _whole_files(spark: SparkSession, path: str, pattern: str, stream: bool = Fa
     )
 
 
+def _inside(path: str) -> str:
+    """Pattern of a file's URI below ``path``; its first group is what follows."""
+    root = re.sub(r"\A[A-Za-z0-9+.-]+:", "", path).strip("/")
+    return rf"\A(?:[A-Za-z0-9+.-]+:)?/*\Q{root}\E/+(.*)\z"
+
+
 def read_model_configs(spark: SparkSession, path: str) -> DataFrame:
-    """``<path>/<org>/<model>/config.json`` trees as (model_id, config_json)."""
-    model = F.regexp_extract("file_path", r"([^/]+/[^/]+)/config\.json\z", 1)
+    """``<path>/<org>/<model>/config.json`` trees as (model_id, config_json).
+
+    The id is the folder below ``path``, also of models without an organisation.
+    """
+    below = F.regexp_extract("file_path", _inside(path), 1)
+    model = F.regexp_replace(below, r"/?config\.json\z", "")
     return _whole_files(spark, path, "config.json").select(
         model.alias("model_id"), F.col("text").alias("config_json")
     )
 
 
 def read_settings(spark: SparkSession, path: str, *, layer: int, run_id: Column | None = None) -> DataFrame:
-    """Settings files (one JSON object each) as rows (run_id, layer, key, value).
+    """Settings files (one JSON object each) as rows (run_id, layer, seq, key, value).
 
     ``run_id`` is an expression over ``file_path``; by default the name of the file's folder.
-    Values keep their scalar text; a file that is no JSON object comes as one row with null
-    key, so that it can be reported.
+    Values keep their scalar text. A file that is no JSON object comes as one row with null
+    key, which ``overlay_settings`` reports; an empty object as one row with an empty key,
+    so that its run is known. An object has a key once, so ``seq`` only tells rows apart.
     """
     owner = run_id if run_id is not None else F.regexp_extract("file_path", r"([^/]+)/[^/]+\z", 1)
     files = _whole_files(spark, path, "*.json")
@@ -112,43 +124,95 @@ def read_settings(spark: SparkSession, path: str, *, layer: int, run_id: Column
         owner.alias("run_id"),
         F.try_variant_get(F.try_parse_json("text"), "$", "map<string,string>").alias("entries"),
     )
-    return parsed.select(
-        "run_id", F.lit(layer).alias("layer"), F.explode_outer("entries").alias("key", "value")
+    nothing = F.create_map(F.lit(""), F.lit(None).cast("string"))
+    entries = F.when(F.size("entries") == 0, nothing).otherwise(F.col("entries"))
+    rows = parsed.select("run_id", F.posexplode_outer(F.map_entries(entries)).alias("seq", "entry"))
+    return rows.select(
+        "run_id",
+        F.lit(layer).alias("layer"),
+        F.coalesce("seq", F.lit(0)).cast("bigint").alias("seq"),
+        F.col("entry.key").alias("key"),
+        F.col("entry.value").alias("value"),
     )
 
 
 def read_run_logs(spark: SparkSession, path: str, *, stream: bool = False) -> DataFrame:
     """``<path>/<run_id>/logs/<stream>.log`` trees as (run_id, stream, text), one row per file.
 
-    As a stream, every new file comes once; ``log_tail`` and ``split_lines`` work on it too.
+    Logs outside such a folder are not taken; those a client keeps beside it are read with
+    ``read_client_logs``. As a stream, every new file comes once; ``log_tail`` and
+    ``split_lines`` work on it too.
     """
     place = F.col("file_path")
-    return _whole_files(spark, path, "*.log", stream).select(
+    inside = _whole_files(spark, path, "*.log", stream).filter(place.rlike(r"[^/]+/logs/[^/]+\.log\z"))
+    return inside.select(
         F.regexp_extract(place, r"([^/]+)/logs/[^/]+\.log\z", 1).alias("run_id"),
         F.regexp_extract(place, r"([^/]+)\.log\z", 1).alias("stream"),
         "text",
     )
 
 
+def read_client_logs(spark: SparkSession, path: str, name: str = "client.log") -> DataFrame:
+    """``<path>/<run_id>/<name>`` as (run_id, stream, text): what the launching side wrote."""
+    files = _whole_files(spark, path, name).filter(~F.col("file_path").rlike(r"/logs/[^/]+\z"))
+    run_id = F.regexp_extract("file_path", r"([^/]+)/[^/]+\z", 1)
+    return files.select(run_id.alias("run_id"), F.lit("client").alias("stream"), "text")
+
+
+def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``<path>/<run_id>/logs/<stream>.log`` as numbered lines (run_id, stream, line_no, line).
+
+    For logs too long for one row: a file is split into blocks like any text, lines are
+    numbered within their block, and the lines of earlier blocks are added from a table
+    of counts, one row per block. Lines end where Spark's text source ends them.
+    """
+    place = F.col("file_path")
+    lines = (
+        spark.read.option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.log")
+        .text(path)
+        .select(
+            F.col("value").alias("line"),
+            F.col("_metadata.file_path").alias("file_path"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("read"),
+        )
+        .filter(place.rlike(r"[^/]+/logs/[^/]+\.log\z"))
+    )
+    earlier = W.partitionBy("file_path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    counts = lines.groupBy("file_path", "block").count()
+    offsets = counts.select(
+        "file_path", "block", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before")
+    )
+    in_block = F.row_number().over(W.partitionBy("file_path", "block").orderBy("read"))
+    numbered = lines.withColumn("at", in_block).join(offsets, ["file_path", "block"])
+    return numbered.select(
+        F.regexp_extract(place, r"([^/]+)/logs/[^/]+\.log\z", 1).alias("run_id"),
+        F.regexp_extract(place, r"([^/]+)\.log\z", 1).alias("stream"),
+        (F.col("before") + F.col("at")).alias("line_no"),
+        "line",
+    )
+
+
 def read_code_tree(spark: SparkSession, path: str) -> DataFrame:
-    """``<path>/<project_id>/...`` trees as code files, with the text of every file in UTF-8.
+    """``<path>/<project_id>/...`` trees as code files, with their text in UTF-8.
 
-    Spark's file listing skips names that start with a dot or an underscore; trees that
+    Bytes that are no UTF-8 become replacement characters, as they do in archives, so that a
+    binary file among the code is a row like others. Spark's file listing skips names that start with a dot or an underscore; trees that
     have such files are landed as archives and read with ``read_code_archives``.
     """
-    root = re.sub(r"\A[A-Za-z0-9+]+:", "", path).strip("/")
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .load(path)
         .select("path", "content")
     )
-    inside = rf"\A(?:[A-Za-z0-9+]+:)?/*\Q{root}\E/([^/]+)/(.*)\z"
+    below = F.regexp_extract("path", _inside(path), 1)
     return files.select(
-        F.regexp_extract("path", inside, 1).alias("project_id"),
+        F.regexp_extract(below, r"\A([^/]+)/", 1).alias("project_id"),
         F.lit(None).cast("string").alias("entry_file"),
-        F.regexp_extract("path", inside, 2).alias("rel_path"),
-        F.decode("content", "UTF-8").alias("content"),
+        F.regexp_replace(below, r"\A[^/]+/", "").alias("rel_path"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     )
 
 

@@ -1,8 +1,9 @@
 """Run outcomes from a stream of polls.
 
 Both streams take the earliest deciding poll of a run with a built-in minimum, which is
-reduced per task before it shuffles, after a salted join with the run's terms; a run that
-sends a third of all polls is no hot task, and no row passes through Python. Landed rows
+reduced per task before it shuffles; a run that sends a third of all polls is no hot task
+there, and no row passes through Python. The runs' terms are the static side of the join:
+they are not repeated by a salt, which every small batch would pay for again. Landed rows
 are only ever replaced by earlier ones, so the earliest landed decision of a run is its
 outcome.
 """
@@ -29,7 +30,7 @@ def decisions(polls: DataFrame, runs: DataFrame) -> DataFrame:
     late it is. The state is one small row per ended run.
     """
     return (
-        deciding_polls(with_terms(polls, runs))
+        deciding_polls(with_terms(polls, runs, salts=1))
         .groupBy("run_id")
         .agg(first_decision().alias("first"))
         .select("run_id", "first.*")
@@ -45,7 +46,7 @@ def settled_decisions(
     dropped then, so the state holds open windows only. Polls later than ``lateness`` are
     ignored. The first window of a run is final; later ones repeat that it has ended.
     """
-    met = with_terms(polls.withWatermark("poll_ts", lateness), runs)
+    met = with_terms(polls.withWatermark("poll_ts", lateness), runs, salts=1)
     return (
         deciding_polls(met)
         .groupBy("run_id", F.window("poll_ts", window))

@@ -160,24 +160,42 @@ def _random_market(size):
     return market, requests
 
 
-@pytest.mark.parametrize("max_broadcast", [200_000, 0])
-@pytest.mark.parametrize("k", [1, 8, 100])
-def test_top_offers_against_brute_force(spark, max_broadcast, k):
+@pytest.mark.parametrize("k", [1, 8, 300])
+def test_top_offers_against_brute_force(spark, k):
     market, requests = _random_market(600)
     found = O.top_offers(
         spark.createDataFrame(requests, S.RUN_REQUESTS),
         spark.createDataFrame(market, S.GPU_OFFERS).repartition(7),
         k,
-        max_broadcast=max_broadcast,
     )
     got = {r.run_id: [tuple(o) for o in r.offers] for r in found.collect()}
     assert got == _brute(requests, market, k)
+    assert k < 300 or max(map(len, got.values())) > 100
 
 
-@pytest.mark.parametrize("max_broadcast", [200_000, 0])
-def test_requests_may_share_their_id(spark, max_broadcast):
+def test_matching_runs_no_job_while_the_query_is_built(spark):
+    market, requests = _random_market(50)
+    frames = spark.createDataFrame(requests, S.RUN_REQUESTS), spark.createDataFrame(market, S.GPU_OFFERS)
+    spark.sparkContext.setJobGroup("building", "")
+    found = O.top_offers(*frames)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    spark.sparkContext.setJobGroup("other", "")
+    assert found.count() == len(requests)
+
+
+def test_a_quoted_price_wins(spark):
+    quoted = spark.createDataFrame([("r", 48, None, "SECURE", 4, 5.5), ("s", 48, None, "SECURE", 4, None)],
+                                   "run_id string, vram_gb int, max_dollars_per_hour double, cloud_type string, "
+                                   "gpu_count int, quoted_hourly double")
+    market = spark.createDataFrame([offer(gpu_count=4, price=2.0)], S.GPU_OFFERS)
+    assert {r.run_id: r.estimated_hourly_dollars for r in O.top_offers(quoted, market).collect()} == {"r": 5.5, "s": 8.0}
+    priced = O.price_offers(market.withColumn("quoted_hourly", F.lit(7.0)))
+    assert priced.first().pod_hourly == 7.0
+
+
+def test_requests_may_share_their_id(spark):
     asked = spark.createDataFrame([("r", 48, None, "SECURE", 1), ("r", 48, 2.0, "SECURE", 1), ("r", 48, 2.0, "SECURE", 1)], S.RUN_REQUESTS)
-    found = O.top_offers(asked, spark.createDataFrame(MARKET, S.GPU_OFFERS), max_broadcast=max_broadcast)
+    found = O.top_offers(asked, spark.createDataFrame(MARKET, S.GPU_OFFERS))
     assert sorted(len(r.offers) for r in found.collect()) == [1, 1, 3]
 
 

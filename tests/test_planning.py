@@ -20,8 +20,8 @@ def one(spark, function, *values):
 
 def configs(spark, *runs):
     """Run configs from dicts of settings, through the overlay."""
-    rows = [(run["run_id"], 3, key, str(value)) for run in runs for key, value in run.items() if key != "run_id"]
-    rows += [(run["run_id"], 0, "poll_seconds", "20") for run in runs]
+    rows = [(run["run_id"], 3, 0, key, str(value)) for run in runs for key, value in run.items() if key != "run_id"]
+    rows += [(run["run_id"], 0, 0, "poll_seconds", "20") for run in runs]
     return settings.overlay_settings(spark.createDataFrame(rows, S.SETTINGS_ROWS))
 
 
@@ -32,7 +32,10 @@ def test_layers(spark):
         ("c", 1, "command", "one"), ("c", 2, "command", ""), ("c", 2, "unknown", "9"), ("c", 1, "vram_gb", "48"),
         ("c", 2, "max_spend", "3"), ("c", 3, "max_spend", "7.5"), ("c", 3, "keep_pod_on_success", "true"),
         ("d", 1, "vram_gb", "lots"), ("d", 0, "gpu_count", "2"),
+        ("e", 1, "unknown", "1"), ("f", 2, "command", None), ("g", 1, None, None), ("g", 0, "command", "x"),
+        ("h", 1, "command", "9"), ("h", 1, "command", "80"), ("h", 1, "command", "7"), ("h", 1, "command", None),
     ]
+    rows = [(run_id, layer, seq, key, value) for seq, (run_id, layer, key, value) in enumerate(rows)]
     cleaned = settings.clean_overrides(spark.createDataFrame(rows, S.SETTINGS_ROWS))
     found = {r.run_id: r for r in settings.overlay_settings(cleaned).collect()}
     assert (found["a"].model_id, found["a"].vram_gb) == ("From/Kwarg", 80)
@@ -41,6 +44,10 @@ def test_layers(spark):
     assert found["c"].keep_pod_on_success is True
     assert found["d"].vram_gb == 24 and found["d"].reject_reason == "vram_gb is not a int"
     assert found["d"].gpu_count == 2
+    # Runs that set nothing have the defaults, unreadable settings are reported, later entries win.
+    assert found["e"].vram_gb == found["f"].vram_gb == 24 and found["e"].reject_reason is None
+    assert found["g"].command == "x" and "cannot be read" in found["g"].reject_reason
+    assert found["h"].command == "7"
     for name, _, default in C.SETTINGS:
         if name not in ("model_id", "vram_gb"):
             assert found["a"][name] == default
@@ -54,9 +61,6 @@ def test_layers(spark):
     ],
 )
 def test_slug(spark, model, slug):
-    python = model.strip().lower().replace("/", "-")
-    python = "".join(c if c.isalnum() or c in "-_." else "-" for c in python).strip("-") or "model"
-    assert python == slug
     assert one(spark, X.model_slug, model) == slug
 
 
@@ -218,15 +222,15 @@ def test_plans(spark, files):
     assert market_plan.gpu_candidates == [f"A100_80GB (hyperstack/c{i})" for i in range(8)]
     assert market_plan.estimated_hourly_dollars == 8.0 and market_plan.network_volume_id == ""
     starts = {
-        "bad code": "static verification failed: lib/bad.py", "no command": "Pass --command", "no code": "a code path",
-        "gone": "code path does not exist", "cloud": "unsupported provider", "small cap": "no offer satisfies 24 GB VRAM x4",
-        "no market": "no offer satisfies",
+        "bad code": "code has errors: lib/bad.py", "no command": C.NO_COMMAND_FOR_DIR, "no code": "no code",
+        "gone": "no such code: ", "cloud": "unknown provider: ", "small cap": "nothing on offer for 4 x 24 GB",
+        "no market": "nothing on offer for",
     }
     for run_id, start in starts.items():
         assert found[run_id].reject_reason.startswith(start), run_id
     summary = planning.plan_summary(plans)
     assert len(summary.columns) == 12
-    assert {r.run_id for r in summary.collect()} == {"ok", "own", "market"}
+    assert {r.run_id: r.verified_files for r in summary.collect()} == {"ok": ["run.py"], "own": [], "market": ["run.py"]}
 
 
 def test_hot_model_and_project(spark, files):
@@ -235,7 +239,7 @@ def test_hot_model_and_project(spark, files):
     for i in range(300):
         for key, value in (("code", "single"), ("model_id", "org/m"), ("auto_network_volume", "true"),
                            ("network_volume_data_center_id", "EU-RO-1")):
-            rows.append((f"r{i}", 3, key, value if i % 3 else f"{value}{i}" if key == "model_id" else value))
+            rows.append((f"r{i}", 3, 0, key, value if i % 3 else f"{value}{i}" if key == "model_id" else value))
     asked = settings.expand_templates(settings.overlay_settings(spark.createDataFrame(rows, S.SETTINGS_ROWS)))
     volumes = spark.createDataFrame([("v1", "job-org-m", "EU-RO-1", 9, 2)], S.VOLUMES)
     sizes = spark.createDataFrame([("org/m", 30.0)], "model_id string, size_gb double")

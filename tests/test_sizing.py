@@ -192,49 +192,61 @@ def test_context_is_kept_when_given_and_capped_when_not(spark):
     assert sorted(r.context_len for r in found) == [1024, 65536]
 
 
-def _estimate(params, weight_bytes, hidden, layers, kv, dim, goal, ctx, batch):
-    """The formulas in plain Python numbers."""
-    ck, cb = weight_bytes / GIB, min(weight_bytes / params, 2.0)
-    act = hidden * layers * 2 * 4 * ctx * batch / GIB
-    kv_gb = opt = 0.0
-    if goal == "inference":
-        w, kv_gb, act = ck, 2 * layers * kv * dim * ctx * batch * 2 / GIB, 0.0
-    elif goal == "qlora":
-        w = params * 0.55 / GIB
-    else:
-        w = params * cb / GIB
-    if goal == "full":
-        opt = params * (16 - cb) / GIB
-    elif goal != "inference":
-        opt = params * 0.005 * 16 / GIB
-    over = 0.1 * (w + opt) if goal == "full" else max(1.0, (0.15 if goal == "qlora" else 0.1) * w)
-    return tuple(round(x, 2) for x in (w, kv_gb, act, opt, w + kv_gb + act + opt + over))
-
-
-def test_memory_equals_python_arithmetic(spark):
+# Per case: parameters, bytes of weights, hidden size, layers, KV heads, head size, goal, context, batch;
+# then weights, KV cache, activations, optimizer and total in GiB, worked out by hand.
+GIB_PARAMS = 2**30
+WORKED = {
+    "fp16 inference": ((GIB_PARAMS, 2 * GIB_PARAMS, 1024, 32, 8, 128, "inference", 8192, 1), (2.0, 1.0, 0.0, 0.0, 4.0)),
+    "twice the batch": ((GIB_PARAMS, 2 * GIB_PARAMS, 1024, 32, 8, 128, "inference", 8192, 2), (2.0, 2.0, 0.0, 0.0, 5.0)),
+    "one byte weights": ((16 * GIB_PARAMS, 16 * GIB_PARAMS, 1024, 32, 8, 128, "inference", 8192, 1), (16.0, 1.0, 0.0, 0.0, 18.6)),
+    "lora": ((8 * GIB_PARAMS, 16 * GIB_PARAMS, 1024, 32, 8, 128, "lora", 2048, 1), (16.0, 0.0, 0.5, 0.64, 18.74)),
+    "qlora": ((20 * GIB_PARAMS, 40 * GIB_PARAMS, 1024, 32, 8, 128, "qlora", 2048, 2), (11.0, 0.0, 1.0, 1.6, 15.25)),
+    "full": ((GIB_PARAMS, 2 * GIB_PARAMS, 1024, 32, 8, 128, "full", 2048, 1), (2.0, 0.0, 0.5, 14.0, 18.1)),
+    "fp32 full": ((GIB_PARAMS, 4 * GIB_PARAMS, 1024, 32, 8, 128, "full", 2048, 1), (2.0, 0.0, 0.5, 14.0, 18.1)),
+}
+ESTIMATE_INPUT = (
+    "model_id string, param_count bigint, weight_bytes bigint, hidden_size bigint, num_layers bigint, "
+    "num_kv_heads bigint, head_dim bigint, max_context bigint, source string, goal string, "
+    "context_len bigint, batch_size bigint"
+)
+
+
+def _estimated(spark, cases):
+    frame = spark.createDataFrame([(name, *c[:6], None, "safetensors", *c[6:]) for name, c in cases.items()], ESTIMATE_INPUT)
+    parts = ("weights_gb", "kv_cache_gb", "activations_gb", "optimizer_gb", "total_vram_gb")
+    return {name: tuple(r[p] for p in parts) for name, r in rows(memory.estimate_memory(frame), "model_id").items()}
+
+
+def test_worked_memory_estimates(spark):
+    assert _estimated(spark, {name: c for name, (c, _) in WORKED.items()}) == {n: want for n, (_, want) in WORKED.items()}
+
+
+def test_relations_between_goals(spark):
     import random
 
-    random.seed(5)
-    cases = [
-        (
-            f"m{i}", random.randint(1, 10**12), random.randint(1, 10**12), random.randint(1, 20000),
-            random.randint(1, 200), random.randint(1, 128), random.randint(1, 256),
-            random.choice(["inference", "lora", "qlora", "full"]), random.randint(1, 200000), random.randint(1, 64),
-        )
-        for i in range(1500)
-    ]
-    frame = spark.createDataFrame(
-        [(*c[:7], None, "safetensors", *c[7:]) for c in cases],
-        "model_id string, param_count bigint, weight_bytes bigint, hidden_size bigint, num_layers bigint, "
-        "num_kv_heads bigint, head_dim bigint, max_context bigint, source string, goal string, "
-        "context_len bigint, batch_size bigint",
+    draw = random.Random(5)
+    shapes = {}
+    for i in range(300):
+        params = draw.randint(10**9, 10**11)
+        shapes[i] = (params, 2 * params, draw.randint(512, 20000), draw.randint(1, 200), draw.randint(1, 128), 128)
+    found = _estimated(
+        spark,
+        {f"{i} {goal} {batch}": (*s, goal, 4096, batch) for i, s in shapes.items()
+         for goal in ("inference", "lora", "qlora", "full") for batch in (1, 2)},
     )
-    found = rows(memory.estimate_memory(frame), "model_id")
-    for name, *numbers in cases:
-        r = found[name]
-        assert (
-            r.weights_gb, r.kv_cache_gb, r.activations_gb, r.optimizer_gb, r.total_vram_gb
-        ) == _estimate(*numbers), numbers
+    for i in shapes:
+        inference, lora, qlora, full = (found[f"{i} {goal} 1"] for goal in ("inference", "lora", "qlora", "full"))
+        assert inference[0] == lora[0] == full[0] > qlora[0]
+        assert inference[2] == inference[3] == lora[1] == qlora[1] == full[1] == 0
+        assert lora[2] == qlora[2] == full[2] and lora[3] == qlora[3]
+        assert full[3] == pytest.approx(7 * full[0], abs=0.05)
+        assert full[4] > lora[4] > qlora[4]
+        for goal, part in (("inference", 1), ("lora", 2)):
+            one, two = found[f"{i} {goal} 1"], found[f"{i} {goal} 2"]
+            assert two[part] == pytest.approx(2 * one[part], abs=0.02)
+            assert two[4] - one[4] == pytest.approx(one[part], abs=0.03)
+        for parts in (inference, lora, qlora, full):
+            assert parts[4] >= sum(parts[:4]) + 0.95
 
 
 def test_huge_shapes_do_not_overflow(spark):
@@ -257,9 +269,11 @@ def test_exact_product(spark):
     assert found == float(big * big)
 
 
-def test_catalog_and_scenarios_are_bounded(spark):
+def test_long_catalogs_and_scenarios(spark):
     specs = spark.createDataFrame(SPECS[:1], S.MODEL_SPECS)
-    with pytest.raises(ValueError):
-        memory.with_scenarios(specs, [("lora", None, 1)] * 1001)
-    with pytest.raises(ValueError):
-        memory.gpu_fit_table(specs, catalog=[("x", 1, 1.0, 1.0)] * 1001)
+    many = memory.with_scenarios(specs, [("lora", None, batch) for batch in range(1, 1202)])
+    assert many.count() == 1201
+    prices = [(f"gpu-{n}", 10_000, 2.0 + n, 2.0 + n) for n in range(1500)] + [("cheap", 20_000, 1.0, 1.0)]
+    one = memory.estimate_memory(memory.with_scenarios(specs, [("lora", None, 1)]))
+    fits = memory.gpu_fit_table(one, catalog=prices).filter("num_gpus = 1")
+    assert fits.first().cheapest_gpu in ("cheap", "gpu-0")

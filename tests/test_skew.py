@@ -117,7 +117,7 @@ def test_settings(spark):
     draw = random.Random(4)
     keys = ["model_id", "vram_gb", "command", "provider"]
     rows = [
-        (hot(i) if i % 3 == 0 else f"r{draw.randrange(40)}", draw.randrange(4), draw.choice(keys), draw.choice([None, "1", "22", "9", ""]))
+        (hot(i) if i % 3 == 0 else f"r{draw.randrange(40)}", draw.randrange(4), i, draw.choice(keys), draw.choice([None, "1", "22", "9", ""]))
         for i in range(6000)
     ]
     with shuffled(spark):
@@ -125,9 +125,9 @@ def test_settings(spark):
         found = {r.run_id: r for r in frame.collect()}
     for run in {r[0] for r in rows}:
         for key in keys:
-            given = [(layer, value) for r, layer, k, value in rows if (r, k) == (run, key) and value is not None]
+            given = [(layer, seq, value) for r, layer, seq, k, value in rows if (r, k) == (run, key) and value is not None]
             if given and key != "vram_gb":
-                assert found[run][key] == max(given)[1]
+                assert found[run][key] == max(given)[2]
 
 
 def test_readiness_of_a_pod_with_very_many_snapshots(spark):

@@ -42,6 +42,9 @@ def test_hub_metadata(spark, tmp_path):
     configs = landed.read_model_configs(spark, str(tmp_path / "hub"))
     found = sizing.extract_architecture(configs).first()
     assert (found.model_id, found.hidden_size) == ("org/m", 8)
+    write(tmp_path / "hub/gpt2/config.json", "{}")
+    configs = landed.read_model_configs(spark, str(tmp_path / "hub"))
+    assert {r.model_id for r in configs.collect()} == {"org/m", "gpt2"}
 
 
 def test_volumes(spark, tmp_path):
@@ -56,20 +59,50 @@ def test_settings_files(spark, tmp_path):
     rows = landed.read_settings(spark, str(tmp_path), layer=2)
     assert {(r.run_id, r.key) for r in rows.collect()} == {
         ("run1", "model_id"), ("run1", "vram_gb"), ("run1", "command"), ("run1", "auto_network_volume"), ("run2", None)}
-    config = settings.overlay_settings(rows).collect()
-    assert [(c.run_id, c.model_id, c.vram_gb, c.command, c.auto_network_volume) for c in config] == [("run1", "a/b", 80, "", True)]
+    write(tmp_path / "run3/job.json", "{}")
+    config = {c.run_id: c for c in settings.overlay_settings(landed.read_settings(spark, str(tmp_path), layer=2)).collect()}
+    one = config["run1"]
+    assert (one.model_id, one.vram_gb, one.command, one.auto_network_volume) == ("a/b", 80, "", True)
+    assert config["run2"].vram_gb == 24 and "cannot be read" in config["run2"].reject_reason
+    assert config["run3"].vram_gb == 24 and config["run3"].reject_reason is None
 
 
 def test_logs_and_code(spark, tmp_path):
     write(tmp_path / "results/r1/logs/stdout.log", "a\nb")
     write(tmp_path / "results/r1/logs/stderr.log", "oops")
     write(tmp_path / "results/r1/other.txt", "no")
+    write(tmp_path / "results/r1/client.log", "[2024-01-01T00:00:00Z] started")
+    client = landed.read_client_logs(spark, str(tmp_path / "results")).collect()
+    assert [tuple(r) for r in client] == [("r1", "client", "[2024-01-01T00:00:00Z] started")]
     logs = {(r.run_id, r.stream): r.text for r in landed.read_run_logs(spark, str(tmp_path / "results")).collect()}
     assert logs == {("r1", "stdout"): "a\nb", ("r1", "stderr"): "oops"}
     write(tmp_path / "code/p1/code/run.py", "é = 1")
     write(tmp_path / "code/p2/a/run.sh", "x")
     tree = {(r.project_id, r.rel_path): r.content for r in landed.read_code_tree(spark, str(tmp_path / "code")).collect()}
     assert tree == {("p1", "code/run.py"): "é = 1", ("p2", "a/run.sh"): "x"}
+    (tmp_path / "code/p2/image.bin").write_bytes(bytes(range(256)))
+    (tmp_path / "code/p2/bad.py").write_bytes(b"\xff = 1")
+    tree = landed.read_code_tree(spark, str(tmp_path / "code"))
+    states = {(r.project_id, r.rel_path): r.state for r in code.check_syntax(tree).collect()}
+    assert states == {("p1", "code/run.py"): "ok", ("p2", "a/run.sh"): "unchecked", ("p2", "bad.py"): "error"}
+    assert tree.count() == 4
+
+
+def test_lines_of_split_files_are_numbered(spark, tmp_path):
+    expected = {}
+    for run, count in (("r1", 3000), ("r2", 1), ("r3", 700)):
+        lines = [f"{run} line {n} " + "x" * (n % 90) for n in range(1, count + 1)]
+        write(tmp_path / f"results/{run}/logs/stdout.log", "\n".join(lines) + "\n")
+        expected.update({(run, "stdout", n): line for n, line in enumerate(lines, 1)})
+    write(tmp_path / "results/r1/client.log", "not this one")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        frame = landed.read_log_lines(spark, str(tmp_path / "results"))
+        rows = frame.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {(r.run_id, r.stream, r.line_no): r.line for r in rows} == expected and len(rows) == len(expected)
 
 
 def test_log_tails_of_a_stream_become_events(spark, tmp_path):

@@ -268,11 +268,25 @@ def test_log_entries(spark, block_lines):
             rows.append((run, "log", number, line))
             expected[(run, number)] = (entry, stamp, number - entry if entry else None, message)
     frame = spark.createDataFrame(rows, S.RUN_LOG_LINES).repartition(5)
+    parsed = logs.parse_run_log(frame, block_lines)
+    found = {(r.run_id, r.line_no): (r.entry_line, r.logged_at, r.part, r.message) for r in parsed.collect()}
+    assert found == expected
+    assert "SortAggregate" not in parsed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_streams_of_a_run_are_apart(spark):
+    rows = [
+        ("r", "stdout", 1, "[2024-01-01T00:00:01Z] out"), ("r", "stderr", 1, "plain"),
+        ("r", "stdout", 2, "more"), ("r", "stderr", 2, "[2024-01-01T00:00:09Z] err"), ("r", "stderr", 3, "rest"),
+    ]
     found = {
-        (r.run_id, r.line_no): (r.entry_line, r.logged_at, r.part, r.message)
-        for r in logs.parse_run_log(frame, block_lines).collect()
+        (r.stream, r.line_no): (r.entry_line, r.logged_at)
+        for r in logs.parse_run_log(spark.createDataFrame(rows, S.RUN_LOG_LINES), 2).collect()
+    }
+    assert found == {
+        ("stdout", 1): (1, "2024-01-01T00:00:01Z"), ("stdout", 2): (1, "2024-01-01T00:00:01Z"),
+        ("stderr", 1): (None, None), ("stderr", 2): (2, "2024-01-01T00:00:09Z"), ("stderr", 3): (2, "2024-01-01T00:00:09Z"),
     }
-    assert found == expected
 
 
 def test_entries_of_whole_texts(spark):
