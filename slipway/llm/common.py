@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import slipway
 from slipway.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,8 +25,29 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_sent: set[str] = set()
+
+
+def send_package(spark: SparkSession) -> None:
+    """Let the driver serve this package to Python workers, once per application.
+
+    Workers import the operators' helpers by name, wherever the driver was started.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _sent:
+        return
+    package = Path(slipway.__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="slipway-code-")) / "slipway-package.zip"
+    with zipfile.ZipFile(archive, "w") as into:
+        for file in sorted(package.rglob("*.py")):
+            into.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _sent.add(context.applicationId)
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of texts holds in a Python worker."""
+    """What every operator with Python asks for: its code there, and batches of bounded size."""
+    send_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
