@@ -24,6 +24,8 @@ from slipway.llm.common import bounded_batches, cut, read_table
 
 #: Share of a host's pages, and least number of pages, that a class needs.
 SUPPORT, LEAST_PAGES = 0.6, 4
+#: A container around the main one belongs to it if it adds no more than this share of text.
+AROUND = 0.25
 
 # Fixed values of HTML and of common page markup.
 CONTAINERS = frozenset(
@@ -43,6 +45,9 @@ ASIDE_NAMES = frozenset(
     "navigation menu breadcrumb breadcrumbs pagination pager sidebar widget widgets related recommended header masthead "
     "footer copyright comment comments disqus respond replies reply".split()
 )
+HEAD_NAMES = frozenset("header masthead banner".split())
+#: Containers that belong to the text around them.
+WITHIN_TEXT = frozenset("ul ol dl table blockquote figure details center fieldset".split())
 MAIN_TAGS = frozenset("article main".split())
 MAIN_NAMES = frozenset("articlebody main".split())
 
@@ -61,6 +66,7 @@ class Node:
     path: int
     tag: str
     aside: bool
+    head: bool
     main: bool
     parent: Node | None
 
@@ -78,12 +84,13 @@ def _node(tag: str, attributes: str, parent: Node | None) -> Node:
         path=xxhash.xxh64_intdigest(f"{parent.path if parent else 0}>{label}".encode("utf-8", "surrogatepass")),
         tag=tag,
         aside=tag in ASIDE_TAGS or not main and bool(names & ASIDE_NAMES) or bool(roles & {"navigation", "banner", "contentinfo", "complementary", "search"}),
+        head=tag == "header" or bool(names & HEAD_NAMES),
         main=main,
         parent=parent,
     )
 
 
-ROOT = Node(0, "", False, False, None)
+ROOT = Node(0, "", False, False, False, None)
 
 
 def tokens(html: str) -> list[tuple[str, Node, str]]:
@@ -239,7 +246,8 @@ def main_text(html: str, classes: list[dict] | None) -> str:
     """The article's blocks in page order, joined by an empty line.
 
     Slots inside containers that the markup calls article or main form the article; without
-    any, the container whose slots hold most text does. Containers for menus, forms,
+    any, the container whose slots hold most text does, with what little stands around it.
+    Containers for menus, forms,
     notices, adverts and comments are left out wherever they are, headings of an article's
     own header are not. A text of the template is left out unless it stands in the article
     itself; there, only a container that holds nothing but template is.
@@ -252,7 +260,7 @@ def main_text(html: str, classes: list[dict] | None) -> str:
     def cleared(node: Node, kind: str, roof: Node | None) -> bool:
         """No container from here up to ``roof`` is set aside."""
         while node is not None and node is not roof:
-            if node.aside and not (node.tag == "header" and kind == "heading" and roof is not None):
+            if node.aside and not (node.head and kind == "heading" and roof is not None):
                 return False
             node = node.parent
         return True
@@ -282,14 +290,26 @@ def main_text(html: str, classes: list[dict] | None) -> str:
             and (not const or free[id(node)] or node.main)
         ]
         return "\n\n".join(kept)
-    volume: Counter[int] = Counter()
-    open_blocks = [(kind, node, text) for kind, node, text, const in blocks if not const and cleared(node, kind, None)]
-    for _, node, text in open_blocks:
-        volume[node.path] += len(text)
-    if not volume:
+    own: Counter[int] = Counter()
+    whole: Counter[int] = Counter()
+    parts: dict[int, Node] = {}
+    open_blocks = [(node, text) for kind, node, text, const in blocks if not const and cleared(node, kind, None)]
+    for node, text in open_blocks:
+        part = node
+        while part.tag in WITHIN_TEXT and part.parent is not None:
+            part = part.parent
+        own[part.path] += len(text)
+        parts.setdefault(part.path, part)
+        for path in {other.path for other in _up(node)}:
+            whole[path] += len(text)
+    if not own:
         return ""
-    best = max(volume, key=volume.__getitem__)
-    return "\n\n".join(text for _, node, text in open_blocks if node.within(best))
+    best = parts[max(own, key=own.__getitem__)]
+    while (around := best.parent) is not None and around.tag not in ("body", "html"):
+        if whole[around.path] > (1 + AROUND) * whole[best.path]:
+            break
+        best = around
+    return "\n\n".join(text for node, text in open_blocks if node.within(best.path))
 
 
 def _up(node: Node | None) -> Iterator[Node]:

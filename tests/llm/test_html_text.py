@@ -26,6 +26,9 @@ EXPECT = [
     ("<article><!-- no --><p>1 &lt; 2</p><style>p{}</style><script>x</script", "1 < 2"),
     ("<article><p title='a > b'>quoted</p><p class=\"open>broken</p></article>", "quoted\n\nbroken"),
     ("<div class=s><p>one two</p></div><ul><li>x</li></ul><div class=s><p>three</p></div>", "one two\n\nthree"),
+    ("<div id=a><h1>T</h1><div class=b><p>long enough text</p><ul><li>x</li></ul></div></div><div class=c><p>y</p></div>", "T\n\nlong enough text\n\nx"),
+    ("<article><div class='post-header'><h1>T</h1><p>by X</p></div><blockquote><p>x</p></blockquote></article>", "T\n\nx"),
+    ("<div class=s><ul><li>a long list item</li></ul><p>short</p></div><div class=t><p>other</p></div>", "a long list item\n\nshort"),
     ("<article>bare <p>x</p> tail</article>", "bare\n\nx\n\ntail"),
 ]
 
