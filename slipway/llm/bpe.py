@@ -21,10 +21,10 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipway.llm.common import bounded_batches
+from slipway.llm.common import Remembered, bounded_batches
 
-#: Entries a worker's memories of pairs and of words hold before they are emptied.
-REMEMBERED = 1 << 19
+#: Entries of a generation of a worker's memory of words, and of its memory of pairs.
+REMEMBERED_WORDS, REMEMBERED_PAIRS = 1 << 17, 1 << 18
 #: Longer words are encoded without being remembered.
 REMEMBERED_CHARS = 40
 
@@ -201,7 +201,7 @@ def encode_piece(vocabulary: Vocabulary, data: bytes) -> list[int]:
     last: list[int | None] = [None] * (size + 1)
     for end in range(1 if size > SHORT else max(1, size), size + 1):
         token_ending(vocabulary, data, end, last)
-    if len(vocabulary.pairs) > REMEMBERED:
+    if len(vocabulary.pairs) > REMEMBERED_PAIRS:
         vocabulary.pairs.clear()
     return _walk_back(vocabulary, last, size)
 
@@ -217,7 +217,7 @@ class Encoder:
     def __init__(self, rank_file: bytes, pattern: str):
         self.vocabulary = Vocabulary(rank_file)
         self.pieces = regex.compile(pattern).findall
-        self._words: dict[str, list[int]] = {}
+        self.words = Remembered(self._word, REMEMBERED_WORDS)
 
     def _by_pattern(self, text: str) -> list[int]:
         ids: list[int] = []
@@ -225,23 +225,26 @@ class Encoder:
             ids += encode_piece(self.vocabulary, piece.encode("utf-8", "surrogatepass"))
         return ids
 
-    def _new_word(self, word: str) -> list[int]:
-        ids = self._by_pattern(" " + word)
-        if len(word) <= REMEMBERED_CHARS:
-            if len(self._words) >= REMEMBERED:
-                self._words.clear()
-            self._words[word] = ids
-        return ids
+    def _word(self, word: str) -> tuple[int, ...]:
+        return tuple(self._by_pattern(" " + word))
+
+    def _other(self, word: str) -> tuple[int, ...]:
+        return self.words.other(word) if len(word) <= REMEMBERED_CHARS else self._word(word)
+
+    def forget(self) -> None:
+        """Empty the memories: a worker is kept for tasks of other operators."""
+        self.words.clear()
+        self.vocabulary.pairs.clear()
 
     def encode(self, text: str) -> list[int]:
         words = text.split(" ")
         if "" in words or list(map(str.strip, words)) != words:
             words = _SINGLE_SPACE.split(text)
-        known = self._words
+        known = self.words.young
         ids = self._by_pattern(words[0])
         ids.extend(
             chain.from_iterable(
-                [found if (found := known.get(word)) is not None else self._new_word(word) for word in words[1:]]
+                [found if (found := known.get(word)) is not None else self._other(word) for word in words[1:]]
             )
         )
         return ids
@@ -271,11 +274,12 @@ def _per_text(docs: DataFrame, rank_file: bytes, texts: Column, pattern: str, ou
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(shared.value, pattern)
         for batch in batches:
-            lists = [encoder.encode(value) for value in batch.to_pylist()]
+            lists = [np.array(encoder.encode(value.as_py()), dtype=np.int32) for value in batch]
             offsets = np.zeros(len(lists) + 1, dtype=np.int32)
             np.cumsum([len(ids) for ids in lists], out=offsets[1:])
-            values = np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(offsets[-1]))
+            values = np.concatenate([*lists, np.empty(0, dtype=np.int32)])
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+        encoder.forget()
 
     return docs.withColumn(out, ids_of(texts))
 

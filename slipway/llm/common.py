@@ -25,6 +25,32 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Remembered:
+    """A bounded memory of what was worked out for words, in two generations.
+
+    ``get`` reads the young one. What it lacks comes from ``other``: from the old one, else
+    from ``find``. A full young generation becomes the old one, so what is used often stays.
+    """
+
+    def __init__(self, find: Callable, entries: int):
+        self.find, self.entries = find, entries
+        self.clear()
+
+    def clear(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def other(self, word):
+        found = self.old.get(word)
+        if found is None:
+            found = self.find(word)
+        if len(self.young) >= self.entries:
+            self.old = dict(self.young)
+            self.young.clear()
+        self.young[word] = found
+        return found
+
+
 _sent: set[str] = set()
 
 

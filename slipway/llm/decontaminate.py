@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipway.llm.common import bounded_batches, cut, fresh, read_table, text_of
+from slipway.llm.common import Remembered, bounded_batches, cut, fresh, read_table, text_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -34,27 +34,25 @@ BLOCK_BITS = 64 // BLOCKS
 #: Words of items that one pass over the documents holds; more items take more passes.
 PASS_WORDS = 2_000_000
 
-#: Entries of a worker's memory of words, and slots of the table that rules out most shingles.
-REMEMBERED = 1 << 19
+#: Entries of a generation of a worker's memory of words; slots of the table that rules out most shingles.
+REMEMBERED_WORDS = 1 << 17
 SLOT_BITS = 20
 
 _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
-_hashes_of: dict[str, tuple[int, ...]] = {}
 
 
-def _remember(token: str) -> tuple[int, ...]:
-    if len(_hashes_of) >= REMEMBERED:
-        _hashes_of.clear()
-    found = tuple(xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) for word in _WORDS(token))
-    _hashes_of[token] = found
-    return found
+def _hashes(token: str) -> tuple[int, ...]:
+    return tuple(xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) for word in _WORDS(token))
+
+
+_known = Remembered(_hashes, REMEMBERED_WORDS)
 
 
 def word_hashes(text: str) -> np.ndarray:
     """Hashes of the words of a text: runs of letters and digits in lower case."""
     tokens = text.lower().split()
-    known = _hashes_of
-    parts = [found if (found := known.get(token)) is not None else _remember(token) for token in tokens]
+    known, other = _known.young, _known.other
+    parts = [found if (found := known.get(token)) is not None else other(token) for token in tokens]
     return np.array(list(chain.from_iterable(parts)), dtype=np.uint64)
 
 
@@ -255,6 +253,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_
                     [pa.array(column, kind) for column, kind in zip(columns, kinds)],
                     ["doc_id", "item_id", "similarity", "first_word"],
                 )
+            _known.clear()  # the worker is kept for tasks of other operators
 
         found = found.union(texts.mapInArrow(scan, schema))
     return found
