@@ -54,8 +54,10 @@ def exact_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
         F.octet_length("_text").alias("_length"),
         F.xxhash64(F.octet_length("_text"), F.substring("_text", 1, HEAD_CHARS)).alias("_head"),
     )
-    lengths = keyed.groupBy("_length").count().filter("count > 1").select("_length")
-    # The hash holds the length too, so that rows of a common length are spread for the count.
+    # As a table the lengths are broadcast while they are few, and else joined by an exchange of
+    # their own, which lets adaptive execution split a common length. The hash holds the
+    # length too, so that its rows are spread again for the count.
+    lengths = cut(keyed.groupBy("_length").count().filter("count > 1").select("_length"), "lengths")
     heads = keyed.drop("_text").join(lengths, "_length", "left_semi").groupBy("_head").count()
     suspects = cut(heads.filter("count > 1").select("_head"), "suspects")
     with _filters_before_shuffles(spark):
