@@ -6,6 +6,7 @@ import pytest
 from slipway import session
 from slipway.operators import code, offers, settings, sizing
 from slipway.operators.logs import log_tail as tail
+from slipway.operators.logs import stdout_tail
 from slipway.sources import landed, sinks
 
 
@@ -100,8 +101,10 @@ def test_lines_of_split_files_are_numbered(spark, tmp_path):
     try:
         frame = landed.read_log_lines(spark, str(tmp_path / "results"))
         rows = frame.collect()
+        tails = {r.run_id: (r.total_lines, r.truncated) for r in stdout_tail(frame).collect()}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert tails == {"r1": (3000, True), "r2": (1, False), "r3": (700, True)}
     assert {(r.run_id, r.stream, r.line_no): r.line for r in rows} == expected and len(rows) == len(expected)
 
 
