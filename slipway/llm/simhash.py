@@ -109,9 +109,8 @@ def _block_keys(blocks: int, share: int):
     return F.array(*keys)
 
 
-def _forest(numbers: np.ndarray, bits: np.ndarray, radius: int) -> np.ndarray:
+def _forest(numbers: np.ndarray, words: np.ndarray, radius: int) -> np.ndarray:
     """Rows (a, b) of a spanning forest of the pairs whose bits differ in ``radius`` at most."""
-    words = np.ascontiguousarray(bits).view(np.uint64).reshape(len(numbers), -1)
     links = []
     reached = np.zeros(len(numbers), dtype=bool)
     for begin in range(len(numbers)):
@@ -131,53 +130,80 @@ def _forest(numbers: np.ndarray, bits: np.ndarray, radius: int) -> np.ndarray:
     return np.concatenate(links) if links else np.empty((0, 2), dtype=np.int64)
 
 
-def _linked_runs(batches: Iterator[pa.RecordBatch], radius: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Links within runs of one chunk; rows come sorted by chunk, runs may span batches."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(chunk, number, words, starts) of whole runs of a chunk; rows come sorted by chunk.
 
-    def linked(chunk: np.ndarray, numbers: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        cuts = np.flatnonzero(chunk[1:] != chunk[:-1]) + 1
-        starts, stops = np.r_[0, cuts], np.r_[cuts, len(chunk)]
-        words = bits.view(np.uint64).reshape(len(chunk), -1)
-        found = [np.empty((0, 2), dtype=np.int64)]
-        # Pairs, by far the most, all at once; larger runs one by one.
-        pairs = starts[stops - starts == 2]
-        near = pairs[np.bitwise_count(words[pairs] ^ words[pairs + 1]).sum(axis=1) <= radius]
-        found.append(np.column_stack([numbers[near], numbers[near + 1]]))
-        for start, stop in zip(starts, stops):
-            if stop - start > 2:
-                found.append(_forest(numbers[start:stop], bits[start:stop], radius))
-        return np.concatenate(found)
+    ``words`` are the bits as 64-bit numbers, a row each. A run may span batches.
+    """
 
-    def batch_of(links: np.ndarray) -> pa.RecordBatch:
-        low, high = np.minimum(links[:, 0], links[:, 1]), np.maximum(links[:, 0], links[:, 1])
-        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
+    def whole(chunk: np.ndarray, numbers: np.ndarray, words: np.ndarray):
+        starts = np.r_[0, np.flatnonzero(chunk[1:] != chunk[:-1]) + 1]
+        return chunk, numbers, words, starts
 
     held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        chunk, numbers = batch.column("chunk").to_numpy(), batch.column("number").to_numpy()
-        joined = b"".join(batch.column("bits").to_pylist())
-        bits = np.frombuffer(joined, dtype=np.uint8).reshape(-1, width)
+        bits = batch.column("bits")
+        if pa.types.is_binary(bits.type):
+            words = np.frombuffer(b"".join(bits.to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1)
+        else:
+            words = bits.to_numpy().view(np.uint64).reshape(-1, 1)
+        rows = batch.column("chunk").to_numpy(), batch.column("number").to_numpy(), words
         if held is not None:
-            chunk, numbers, bits = (np.concatenate(parts) for parts in zip(held, (chunk, numbers, bits)))
-        earlier = np.flatnonzero(chunk != chunk[-1])
-        whole = int(earlier[-1]) + 1 if len(earlier) else 0
-        if whole:
-            yield batch_of(linked(chunk[:whole], numbers[:whole], np.ascontiguousarray(bits[:whole])))
-        held = chunk[whole:], numbers[whole:], bits[whole:]
+            rows = tuple(np.concatenate(parts) for parts in zip(held, rows))
+        earlier = np.flatnonzero(rows[0] != rows[0][-1])
+        end = int(earlier[-1]) + 1 if len(earlier) else 0
+        if end:
+            yield whole(*(part[:end] for part in rows))
+        held = tuple(part[end:] for part in rows)
     if held is not None:
-        yield batch_of(linked(*held[:2], np.ascontiguousarray(held[2])))
+        yield whole(*held)
+
+
+def _linked(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) within each chunk."""
+    for chunk, numbers, words, starts in _runs(batches):
+        stops = np.r_[starts[1:], len(chunk)]
+        # Pairs, by far the most, all at once; larger runs one by one.
+        pairs = starts[stops - starts == 2]
+        near = pairs[np.bitwise_count(words[pairs] ^ words[pairs + 1]).sum(axis=1) <= radius]
+        found = [np.column_stack([numbers[near], numbers[near + 1]])]
+        for start, stop in zip(starts, stops):
+            if stop - start > 2:
+                found.append(_forest(numbers[start:stop], words[start:stop], radius))
+        links = np.concatenate(found)
+        low, high = np.minimum(links[:, 0], links[:, 1]), np.maximum(links[:, 0], links[:, 1])
+        yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
+
+
+def _with_neighbours(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows that have another within ``radius`` in their chunk."""
+    for chunk, numbers, words, starts in _runs(batches):
+        kept = np.zeros(len(chunk), dtype=bool)
+        stops = np.r_[starts[1:], len(chunk)]
+        pairs = starts[stops - starts == 2]
+        near = pairs[np.bitwise_count(words[pairs] ^ words[pairs + 1]).sum(axis=1) <= radius]
+        kept[near] = kept[near + 1] = True
+        for start, stop in zip(starts, stops):
+            run = words[start:stop, 0]
+            for begin in range(0, len(run) if len(run) > 2 else 0, 256):
+                close = np.bitwise_count(run[begin : begin + 256, None] ^ run[None, :]) <= radius
+                kept[start + begin : start + begin + len(close)] = close.sum(axis=1) > 1
+        yield pa.RecordBatch.from_arrays([pa.array(numbers[kept]), pa.array(chunk[kept])], ["number", "chunk"])
 
 
-def near_links(prints: DataFrame, *, blocks: int, share: int, radius: int, width: int, chunk: int = CHUNK) -> DataFrame:
+def near_links(
+    prints: DataFrame, *, blocks: int, share: int, radius: int, sieve: int | None = None, chunk: int = CHUNK
+) -> DataFrame:
     """Links (a, b) that connect what pairs within ``radius`` connect, over distinct prints.
 
-    ``prints``: (number long, block_bits long, bits binary of ``width`` bytes), one row per
-    distinct fingerprint. Candidates agree in ``share`` of ``blocks`` blocks of
+    ``prints``: (number long, block_bits long, bits binary), one row per distinct fingerprint. Candidates agree in ``share`` of ``blocks`` blocks of
     ``block_bits``; with share = blocks - radius and bits equal to block_bits no pair is
     missed. Every key is worked whole: one with more than ``chunk`` members is split into
-    chunks by hash and all pairs of chunks are compared, each in its own group.
+    chunks by hash and all pairs of chunks are compared, each in its own group. With
+    ``sieve``, members that differ from all others of their chunk in more bits of
+    ``block_bits`` are dropped before the wide bits join: those met by chance alone.
     """
     members = prints.select("number", F.explode(_block_keys(blocks, share)).alias("key"))
     shared = members.groupBy("key").count().filter("count > 1")
@@ -188,12 +214,19 @@ def near_links(prints: DataFrame, *, blocks: int, share: int, radius: int, width
     spread = members.select("number", "key", own.alias("own"), other.alias("other")).select(
         "number", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("chunk")
     )
-    spread = spread.join(prints.select("number", "bits"), "number")
     spark = prints.sparkSession
     bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = spread.repartition(parts, "chunk").sortWithinPartitions("chunk", "number")
-    return dealt.mapInArrow(lambda batches: _linked_runs(batches, radius, width), "a long, b long").distinct()
+
+    def by_chunk(bits: str) -> DataFrame:
+        rows = spread.join(prints.select("number", F.col(bits).alias("bits")), "number")
+        return rows.repartition(parts, "chunk").sortWithinPartitions("chunk", "number")
+
+    if sieve is not None:
+        spread = by_chunk("block_bits").mapInArrow(
+            lambda batches: _with_neighbours(batches, sieve), "number long, chunk long"
+        )
+    return by_chunk("bits").mapInArrow(lambda batches: _linked(batches, radius), "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -204,6 +237,7 @@ def near_duplicates(
     blocks: int = 6,
     share: int = 2,
     lanes: int = 0,
+    sieve: int | None = None,
     key: str = "doc_id",
     text: str = "text",
     chunk: int = CHUNK,
@@ -215,7 +249,8 @@ def near_duplicates(
     are linked like others. Rows that repeat come out repeated. A null key is never a
     component's name unless all its members are null. Other columns are ignored, an empty
     table gives an empty result. With ``lanes`` the distance is taken on wider fingerprints
-    of five words each, while the blocks stay those of ``block_bits``.
+    of five words each, while the blocks stay those of ``block_bits``; ``sieve`` is then a
+    bound on the bits of ``block_bits`` in which texts to be linked may differ.
 
     What is shuffled are fingerprints, once per choice of blocks, never texts. Copies are
     reduced to one fingerprint by partial aggregation first; the names of components are
@@ -226,9 +261,7 @@ def near_duplicates(
     distinct = cut(
         prints.groupBy("block_bits", "bits").agg(F.min("doc_id").alias("least_id")).withColumn("number", number), "distinct"
     )
-    links = near_links(
-        distinct, blocks=blocks, share=share, radius=radius, width=8 * max(1, lanes), chunk=chunk
-    )
+    links = near_links(distinct, blocks=blocks, share=share, radius=radius, sieve=sieve, chunk=chunk)
     grouped = distinct.join(components(links).withColumnRenamed("vertex", "number"), "number", "left")
     grouped = grouped.withColumn("root", F.coalesce("root", "number"))
     names = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))

@@ -71,10 +71,10 @@ def _found(spark, rows, **options):
     )
 
 
-@pytest.mark.parametrize("chunk", [1024, 3])
-def test_components_against_all_pairs(spark, chunk):
+@pytest.mark.parametrize("chunk, sieve", [(1024, None), (3, None), (1024, 4), (3, 4)])
+def test_components_against_all_pairs(spark, chunk, sieve):
     rows = _near_copies(random.Random(5), 150) + EDGE_CASES
-    assert _found(spark, rows, chunk=chunk) == _brute(rows)
+    assert _found(spark, rows, chunk=chunk, sieve=sieve) == _brute(rows)
 
 
 def test_empty_table(spark):
@@ -93,7 +93,7 @@ def test_blocks_miss_no_pair_within_the_radius(spark):
     signed = sorted({n - (1 << 64) if n >> 63 else n for n in numbers})
     rows = [(n, n, (n % (1 << 64)).to_bytes(8, "little")) for n in signed]
     prints = spark.createDataFrame(rows, "number long, block_bits long, bits binary")
-    found = {(r.a, r.b) for r in simhash.near_links(prints, blocks=6, share=2, radius=4, width=8).collect()}
+    found = {(r.a, r.b) for r in simhash.near_links(prints, blocks=6, share=2, radius=4).collect()}
     near = {(a, b) for b in signed for a in signed if a < b and ((a ^ b) % (1 << 64)).bit_count() <= 4}
     assert found == near
 
