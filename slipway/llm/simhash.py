@@ -193,6 +193,26 @@ def _with_neighbours(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator
         yield pa.RecordBatch.from_arrays([pa.array(numbers[kept]), pa.array(chunk[kept])], ["number", "chunk"])
 
 
+def chunked(members: DataFrame, chunk: int) -> DataFrame:
+    """(number, chunk) of ``members`` (number, key) that share a key, larger keys in pairs of chunks."""
+    shared = members.groupBy("key").count().filter("count > 1")
+    members = members.join(shared, "key")
+    chunks = F.ceil(F.col("count") / F.lit(chunk)).cast("int")
+    own = F.pmod(F.xxhash64("number"), chunks).cast("int")
+    other = F.explode(F.sequence(F.lit(0), chunks - 1))
+    return members.select("number", "key", own.alias("own"), other.alias("other")).select(
+        "number", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("chunk")
+    )
+
+
+def by_chunk(spread: DataFrame, bits: DataFrame) -> DataFrame:
+    """Members of ``spread`` with their ``bits`` (number, bits), chunks whole and sorted."""
+    spark = spread.sparkSession
+    bounded_batches(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return spread.join(bits, "number").repartition(parts, "chunk").sortWithinPartitions("chunk", "number")
+
+
 def near_links(
     prints: DataFrame, *, blocks: int, share: int, radius: int, sieve: int | None = None, chunk: int = CHUNK
 ) -> DataFrame:
@@ -205,28 +225,13 @@ def near_links(
     ``sieve``, members that differ from all others of their chunk in more bits of
     ``block_bits`` are dropped before the wide bits join: those met by chance alone.
     """
-    members = prints.select("number", F.explode(_block_keys(blocks, share)).alias("key"))
-    shared = members.groupBy("key").count().filter("count > 1")
-    members = members.join(shared, "key")
-    chunks = F.ceil(F.col("count") / F.lit(chunk)).cast("int")
-    own = F.pmod(F.xxhash64("number"), chunks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), chunks - 1))
-    spread = members.select("number", "key", own.alias("own"), other.alias("other")).select(
-        "number", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("chunk")
-    )
-    spark = prints.sparkSession
-    bounded_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def by_chunk(bits: str) -> DataFrame:
-        rows = spread.join(prints.select("number", F.col(bits).alias("bits")), "number")
-        return rows.repartition(parts, "chunk").sortWithinPartitions("chunk", "number")
-
+    spread = chunked(prints.select("number", F.explode(_block_keys(blocks, share)).alias("key")), chunk)
     if sieve is not None:
-        spread = by_chunk("block_bits").mapInArrow(
+        spread = by_chunk(spread, prints.select("number", F.col("block_bits").alias("bits"))).mapInArrow(
             lambda batches: _with_neighbours(batches, sieve), "number long, chunk long"
         )
-    return by_chunk("bits").mapInArrow(lambda batches: _linked(batches, radius), "a long, b long").distinct()
+    wide = by_chunk(spread, prints.select("number", "bits"))
+    return wide.mapInArrow(lambda batches: _linked(batches, radius), "a long, b long").distinct()
 
 
 def near_duplicates(
