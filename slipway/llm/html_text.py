@@ -66,6 +66,7 @@ class Node:
     path: int
     tag: str
     aside: bool
+    named: bool
     head: bool
     main: bool
     parent: Node | None
@@ -83,14 +84,15 @@ def _node(tag: str, attributes: str, parent: Node | None) -> Node:
     return Node(
         path=xxhash.xxh64_intdigest(f"{parent.path if parent else 0}>{label}".encode("utf-8", "surrogatepass")),
         tag=tag,
-        aside=tag in ASIDE_TAGS or not main and bool(names & ASIDE_NAMES) or bool(roles & {"navigation", "banner", "contentinfo", "complementary", "search"}),
+        aside=tag in ASIDE_TAGS or bool(roles & {"navigation", "banner", "contentinfo", "complementary", "search"}),
+        named=not main and tag not in ("html", "body") and bool(names & ASIDE_NAMES),
         head=tag == "header" or bool(names & HEAD_NAMES),
         main=main,
         parent=parent,
     )
 
 
-ROOT = Node(0, "", False, False, False, None)
+ROOT = Node(0, "", False, False, False, False, None)
 
 
 def tokens(html: str) -> list[tuple[str, Node, str]]:
@@ -248,7 +250,8 @@ def main_text(html: str, classes: list[dict] | None) -> str:
     Slots inside containers that the markup calls article or main form the article; without
     any, the container whose slots hold most text does, with what little stands around it.
     Containers for menus, forms,
-    notices, adverts and comments are left out wherever they are, headings of an article's
+    notices, adverts and comments are left out wherever they are, but not those that only their
+    class or id calls so and that are wrappers; headings of an article's
     own header are not. A text of the template is left out unless it stands in the article
     itself; there, only a container that holds nothing but template is.
     """
@@ -257,10 +260,12 @@ def main_text(html: str, classes: list[dict] | None) -> str:
     is_fixed = [_token(*entry) in fixed for entry in page]
     blocks = [(kind, node, text, const) for (kind, node, text), const in zip(page, is_fixed) if kind in ("text", "heading")]
 
+    wrappers = _wrappers(page, [(kind, node, text) for kind, node, text, const in blocks if not const])
+
     def cleared(node: Node, kind: str, roof: Node | None) -> bool:
         """No container from here up to ``roof`` is set aside."""
         while node is not None and node is not roof:
-            if node.aside and not (node.head and kind == "heading" and roof is not None):
+            if (node.aside or node.named and id(node) not in wrappers) and not (node.head and kind == "heading" and roof is not None):
                 return False
             node = node.parent
         return True
@@ -312,6 +317,46 @@ def main_text(html: str, classes: list[dict] | None) -> str:
     return "\n\n".join(text for node, text in open_blocks if node.within(best.path))
 
 
+def _wrappers(page: list[tuple[str, Node, str]], slots: list[tuple[str, Node, str]]) -> set[int]:
+    """Containers with a name for what is set aside that hold what the page is about.
+
+    Outside an article that is every article, else every main part, or over half of the text in
+    slots; inside one, where comments may be longer than the rest, all its text but headings.
+    """
+    opened = [node for kind, node, _ in page if kind == "open"]
+    named = [node for node in opened if node.named]
+    if not named:
+        return set()
+
+    def clear(node: Node) -> bool:
+        return not any(other.aside for other in _up(node))
+
+    def article_of(node: Node) -> Node | None:
+        return next((other for other in _up(node.parent) if other.main and other.tag != "main"), None)
+
+    mains = [node for node in opened if node.main and clear(node)]
+    mains = [n for n in mains if n.tag != "main" and article_of(n) is None] or [n for n in mains if n.tag == "main"]
+    held: Counter[int] = Counter(id(other) for node in mains for other in _up(node.parent))
+    chars: Counter[int] = Counter()
+    texts: Counter[int] = Counter()
+    total = 0
+    for kind, node, text in slots:
+        if clear(node):
+            total += len(text)
+            for other in _up(node):
+                chars[id(other)] += len(text)
+                texts[id(other)] += kind == "text"
+    found = set()
+    for node in named:
+        article = article_of(node)
+        if article is not None:
+            if 0 < texts[id(node)] == texts[id(article)]:
+                found.add(id(node))
+        elif 2 * chars[id(node)] > total or mains and held[id(node)] == len(mains):
+            found.add(id(node))
+    return found
+
+
 def _up(node: Node | None) -> Iterator[Node]:
     while node is not None:
         yield node

@@ -111,3 +111,22 @@ def test_query_against_the_articles(spark, sf_dir):
     for row in rows:
         assert row.url == pages[row.page_id].url and row.n_chars == len(row.text)
         assert row.text == _article(pages[row.page_id].html)
+
+
+STORY = "<p>A story of some length that the page is about.</p>"
+TEXT = "A story of some length that the page is about."
+WRAPPED = [
+    f"<body class='single has-sidebar'><article>{STORY}</article></body>",
+    f"<html class='nav-open'><body id='page-search'><div>{STORY}</div></body></html>",
+    f"<div id='page' class='nav-open'><div class='sidebar'>no</div><article>{STORY}</article></div>",
+    f"<div class='content-with-sidebar'><div>{STORY}</div><div class='sidebar'>no</div></div>",
+    f"<main><div class='content-with-sidebar'><article>{STORY}</article><div class='widget'>no</div></div></main>",
+    f"<article><div class='nav-open'>{STORY}</div></article>",
+    f"<article>{STORY}</article><div class='related'><article>no</article></div>",
+    f"<article>{STORY}<div class='comments'><article>no {TEXT} {TEXT}</article></div></article>",
+]
+
+
+def test_wrappers_named_after_what_is_beside_the_article():
+    for page in WRAPPED:
+        assert html_text.main_text(page, None) == TEXT, page
