@@ -7,7 +7,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipway.llm.common import cut, read_table, text_of
+from slipway.llm.common import cut, fresh, read_table, text_of
 
 #: Characters of a text that the second step hashes.
 HEAD_CHARS = 256
@@ -82,10 +82,15 @@ def exact_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
 def without_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with all its columns and, of equal texts, the row with the largest key.
 
-    Rows without a key are left as they are, since none can be named to be dropped.
+    Rows without a key are left as they are, since none can be named to be dropped. A row is
+    named by key and text, so that others with the same key stay.
     """
-    dropped = exact_duplicates(docs, key=key, text=text).filter("not kept").select(F.col("doc_id").alias(key))
-    return docs.join(cut(dropped, "duplicates"), key, "left_anti").select(*docs.columns)
+    found = exact_duplicates(docs, key=key, text=text, digest=True).filter("not kept")
+    left_key, whole, digest = fresh(docs, "_key"), fresh(docs, "_whole"), fresh(docs, "_digest")
+    dropped = cut(found.select(F.col("doc_id").alias(left_key), F.col("text_sha256").alias(whole)), "duplicates")
+    rows = docs.withColumn(digest, F.sha2(text_of(text).cast("binary"), 256))
+    same = (F.col(key) == F.col(left_key)) & (F.col(digest) == F.col(whole))
+    return rows.join(dropped, same, "left_anti").select(*docs.columns)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
