@@ -90,6 +90,51 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a sieve: at most 16 MB, whatever the number of values it holds.
+SIEVE_BITS = 27
+
+
+def _sieve(values: DataFrame) -> DataFrame:
+    """(bucket, bits): a bit set for every value of ``values`` (value long), in pieces of 4 KB."""
+    place = F.pmod(F.col("value"), F.lit(1 << SIEVE_BITS)) + 1
+    placed = values.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+    return placed.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def sifted(rows: DataFrame, value: Column, values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose ``value`` may be among ``values`` (value long), and the rest.
+
+    The test is a bitmap of fixed size that goes to all tasks, so the rest, whole texts for the
+    most part, stays where it is. The first part holds every row whose value is there, and
+    others by chance: the more, the more values there are. A null value is never among them.
+    """
+    bucket, bits = fresh(rows, "_bucket"), fresh(rows, "_bits")
+    place = F.pmod(value, F.lit(1 << SIEVE_BITS)) + 1
+    pieces = _sieve(values).withColumnsRenamed({"bucket": bucket, "bits": bits})
+    met = rows.withColumn(bucket, F.bitmap_bucket_number(place)).join(F.broadcast(pieces), bucket, "left")
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False))
+    return met.filter(may).select(*rows.columns), met.filter(~may).select(*rows.columns)
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rows that ``dropped`` (doc_id, text_hash) names by key and xxhash64 of the text.
+
+    Rows without a key stay. Only rows that may be named are shuffled. ``docs`` is read twice,
+    so it should be a table.
+    """
+    left_key, left_hash, text_hash = (fresh(docs, name) for name in ("_key", "_hash", "_text_hash"))
+    named = cut(dropped.select(F.col("doc_id").alias(left_key), F.col("text_hash").alias(left_hash)).distinct(), "dropped")
+    hashed = docs.withColumn(text_hash, F.xxhash64(text_of(text)))
+    may, rest = sifted(
+        hashed, F.xxhash64(F.col(key), F.col(text_hash)), named.select(F.xxhash64(left_key, left_hash).alias("value"))
+    )
+    same = (F.col(key) == F.col(left_key)) & (F.col(text_hash) == F.col(left_hash))
+    left = may.join(named.hint("merge"), same, "left_anti")
+    return left.unionByName(rest).select(*docs.columns)
+
+
 def text_of(column: str = "text") -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

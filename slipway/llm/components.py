@@ -11,14 +11,14 @@ from slipway.llm.common import cut
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every vertex links its larger neighbours to the least vertex it knows."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
+    least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")), "least")
     return both.filter("b > a").join(least, "a").select(F.col("least").alias("a"), "b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every vertex links itself and its smaller neighbours to the least of these."""
     down = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("least"))
+    least = cut(down.groupBy("a").agg(F.min("b").alias("least")), "least")
     moved = down.join(least, "a").filter("b != least").select(F.col("least").alias("a"), "b")
     return moved.union(least.select(F.col("least").alias("a"), F.col("a").alias("b"))).distinct()
 
@@ -33,8 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Links may repeat, run either way and lead to themselves; a vertex with a link to itself
     only is its own root. Each round is written to the shared folder, the number of rounds
-    grows with the logarithm of the longest path. Minima are taken by partial aggregation, so
-    a vertex with very many links is joined as a skewed key and never gathered.
+    grows with the logarithm of the longest path. Minima are taken by partial aggregation and
+    written, so a vertex with very many links is joined as a skewed key and never gathered.
     """
     links = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     stars = links.filter("a != b")

@@ -2,39 +2,21 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipway.llm.common import cut, fresh, read_table, text_of
+from slipway.llm.common import cut, read_table, sifted, text_of, without_rows
 
 #: Characters of a text that the second step hashes.
 HEAD_CHARS = 256
 
-_FILTER_FROM = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
-
-
-@contextmanager
-def _filters_before_shuffles(spark: SparkSession):
-    """Let the optimizer filter the scan of the texts by the suspects whatever its size.
-
-    Only texts of surviving groups, and the filter's few false ones, are then moved.
-    """
-    before = spark.conf.get(_FILTER_FROM, None)
-    spark.conf.set(_FILTER_FROM, "0")
-    try:
-        yield
-    finally:
-        spark.conf.unset(_FILTER_FROM) if before is None else spark.conf.set(_FILTER_FROM, before)
-
 
 def _digest(column: str) -> Column:
     return F.sha2(F.col(column).cast("binary"), 256)
 
 
 def exact_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
-    """Per row: ``doc_id``, ``keep_id``, ``group_size``, ``kept``, and ``text_sha256`` on request.
+    """Per row: ``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``text_hash`` (xxhash64), and ``text_sha256`` on request.
 
     Texts that are the same code points form a group, null counting as empty; the row with
     the largest key stays. Groups of one length are split by a hash of their head, and only
@@ -44,13 +26,15 @@ def exact_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     of ``docs`` are ignored, an empty table gives an empty result.
 
     Groups are counted by partial sums and joined as (length, hash) pairs, so a group with a
-    third of all rows is never gathered. With ``digest`` the hash of every text is reported,
-    those of survivors being the ones that were compared.
+    third of all rows is never gathered. Whole texts are hashed where they are read: those that
+    a bitmap of the suspect heads lets through, a few by chance, which then are groups of one.
+    With ``digest`` the hash of every text is reported, those of survivors being the ones that
+    were compared.
     """
-    spark = docs.sparkSession
     keyed = docs.select(F.col(key).alias("doc_id"), text_of(text).alias("_text")).select(
         "doc_id",
         "_text",
+        F.xxhash64("_text").alias("text_hash"),
         F.octet_length("_text").alias("_length"),
         F.xxhash64(F.octet_length("_text"), F.substring("_text", 1, HEAD_CHARS)).alias("_head"),
     )
@@ -58,25 +42,24 @@ def exact_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     # their own, which lets adaptive execution split a common length. The hash holds the
     # length too, so that its rows are spread again for the count.
     lengths = cut(keyed.groupBy("_length").count().filter("count > 1").select("_length"), "lengths")
-    heads = keyed.drop("_text").join(lengths, "_length", "left_semi").groupBy("_head").count()
-    suspects = cut(heads.filter("count > 1").select("_head"), "suspects")
-    with _filters_before_shuffles(spark):
-        survivors = cut(
-            keyed.join(suspects, "_head", "left_semi").select(
-                "doc_id", "_length", F.unhex(_digest("_text")).alias("_whole")
-            ),
-            "survivors",
-        )
+    heads = keyed.select("_length", "_head").join(lengths, "_length", "left_semi").groupBy("_head").count()
+    suspects = cut(heads.filter("count > 1").select(F.col("_head").alias("value")), "suspects")
+    may, alone = sifted(keyed, F.col("_head"), suspects)
+    survivors = cut(may.select("doc_id", "text_hash", "_length", F.unhex(_digest("_text")).alias("_whole")), "survivors")
+    # Written, since a grouping beside the join it feeds is not split when a group is large.
     groups = survivors.groupBy("_length", "_whole").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    whole = F.lower(F.hex("_whole")).alias("text_sha256")
-    compared = survivors.join(groups, ["_length", "_whole"]).select("doc_id", "keep_id", "group_size", whole)
-    alone = keyed.withColumn("text_sha256", _digest("_text") if digest else F.lit(None).cast("string")).drop("_text")
-    alone = alone.join(suspects, "_head", "left_anti").select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256"
+    compared = survivors.join(cut(groups, "groups"), ["_length", "_whole"])
+    columns = ["doc_id", "keep_id", "group_size", "text_hash"]
+    compared = compared.select(*columns, F.lower(F.hex("_whole")).alias("text_sha256"))
+    alone = alone.select(
+        "doc_id",
+        F.col("doc_id").alias("keep_id"),
+        F.lit(1).cast("long").alias("group_size"),
+        "text_hash",
+        (_digest("_text") if digest else F.lit(None).cast("string")).alias("text_sha256"),
     )
     found = compared.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    columns = ["doc_id", "keep_id", "group_size", "kept"]
-    return found.select(*columns, *(["text_sha256"] if digest else []))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_hash", *(["text_sha256"] if digest else []))
 
 
 def without_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -85,16 +68,11 @@ def without_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     Rows without a key are left as they are, since none can be named to be dropped. A row is
     named by key and text, so that others with the same key stay.
     """
-    found = exact_duplicates(docs, key=key, text=text, digest=True).filter("not kept")
-    left_key, whole, digest = fresh(docs, "_key"), fresh(docs, "_whole"), fresh(docs, "_digest")
-    dropped = cut(found.select(F.col("doc_id").alias(left_key), F.col("text_sha256").alias(whole)), "duplicates")
-    rows = docs.withColumn(digest, F.sha2(text_of(text).cast("binary"), 256))
-    same = (F.col(key) == F.col(left_key)) & (F.col(digest) == F.col(whole))
-    return rows.join(dropped, same, "left_anti").select(*docs.columns)
+    return without_rows(docs, exact_duplicates(docs, key=key, text=text).filter("not kept"), key=key, text=text)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(read_table(spark, sf_dir, "documents"), digest=True)
+    return exact_duplicates(read_table(spark, sf_dir, "documents"), digest=True).drop("text_hash")
 
 
 OP8_SQL = """

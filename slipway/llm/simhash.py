@@ -48,35 +48,19 @@ def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     return np.array([_hash(line[a:b], SEED) for a, b in zip(starts, stops)], dtype=np.uint64)
 
 
-def majority_bits(hashes: np.ndarray, lanes: int = 1) -> bytes:
-    """The bits set in over half the hashes; lanes after the first take hashes of the hashes."""
+def majority_bits(hashes: np.ndarray) -> bytes:
+    """The bits set in over half the hashes, the lowest first."""
     if not len(hashes):
-        return bytes(8 * lanes)
-    out = []
-    for lane in range(lanes):
-        mixed = hashes if lane == 0 else _mixed(hashes + np.uint64(lane))
-        counts = np.zeros(BITS, dtype=np.int64)
-        for start in range(0, len(mixed), 1 << 14):
-            part = np.ascontiguousarray(mixed[start : start + (1 << 14)]).view(np.uint8).reshape(-1, 8)
-            counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-        out.append(np.packbits(2 * counts > len(mixed), bitorder="little").tobytes())
-    return b"".join(out)
-
-
-def _mixed(values: np.ndarray) -> np.ndarray:
-    """A fixed bijection of 64-bit numbers that leaves no bit as it was."""
-    with np.errstate(over="ignore"):
-        values = (values ^ (values >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        values = (values ^ (values >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
-        return values ^ (values >> np.uint64(32))
-
-
-def fingerprints(
-    docs: DataFrame, *, shingle: int = 4, lanes: int = 0, lane_shingle: int = 5, key: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """(doc_id, block_bits long, bits binary): ``block_bits`` is the 64-bit SimHash of shingles of
-    ``shingle`` words, ``bits`` the SimHash of 64 * ``lanes`` bits of shingles of
-    ``lane_shingle`` words, or the same 64 bits if ``lanes`` is 0.
+        return bytes(8)
+    counts = np.zeros(BITS, dtype=np.int64)
+    for start in range(0, len(hashes), 1 << 14):
+        part = np.ascontiguousarray(hashes[start : start + (1 << 14)]).view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").tobytes()
+
+
+def fingerprints(docs: DataFrame, *, shingle: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_hash, bits): xxhash64 of the text and the SimHash of its shingles, both long.
 
     Shingles count as often as they occur. Texts without words, null ones too, have no bit set.
     """
@@ -84,18 +68,16 @@ def fingerprints(
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            narrow, wide = [], []
-            for value in batch.column("text").to_pylist():
-                words = words_of(value)
-                narrow.append(majority_bits(shingle_hashes(words, shingle)))
-                wide.append(majority_bits(shingle_hashes(words, lane_shingle), lanes) if lanes else narrow[-1])
-            blocks = pa.array(np.frombuffer(b"".join(narrow), dtype="<i8"))
+            found = [majority_bits(shingle_hashes(words_of(value), shingle)) for value in batch.column("text").to_pylist()]
+            bits = pa.array(np.frombuffer(b"".join(found), dtype="<i8"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), blocks, pa.array(wide, pa.binary())], ["doc_id", "block_bits", "bits"]
+                [batch.column("doc_id"), batch.column("text_hash"), bits], ["doc_id", "text_hash", "bits"]
             )
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, block_bits long, bits binary")
+    rows = docs.select(
+        F.col(key).cast("long").alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash"), text_of(text).alias("text")
+    )
+    return rows.mapInArrow(scan, "doc_id long, text_hash long, bits long")
 
 
 def _block_keys(blocks: int, share: int):
@@ -105,7 +87,7 @@ def _block_keys(blocks: int, share: int):
     for number, choice in enumerate(combinations(range(blocks), share)):
         mask = sum(((1 << (edges[place + 1] - edges[place])) - 1) << edges[place] for place in choice)
         signed = mask - (1 << BITS) if mask >> (BITS - 1) else mask
-        keys.append(F.xxhash64(F.lit(number), F.col("block_bits").bitwiseAND(F.lit(signed).cast("long"))))
+        keys.append(F.xxhash64(F.lit(number), F.col("bits").bitwiseAND(F.lit(signed).cast("long"))))
     return F.array(*keys)
 
 
@@ -123,33 +105,25 @@ def _forest(numbers: np.ndarray, words: np.ndarray, radius: int) -> np.ndarray:
             rest = np.flatnonzero(~reached)
             if not len(rest):
                 break
-            near = rest[np.bitwise_count(words[rest] ^ words[at]).sum(axis=1) <= radius]
+            near = rest[np.bitwise_count(words[rest] ^ words[at]) <= radius]
             reached[near] = True
             links.append(np.column_stack([np.full(len(near), numbers[at]), numbers[near]]))
             queue.extend(near.tolist())
     return np.concatenate(links) if links else np.empty((0, 2), dtype=np.int64)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(chunk, number, words, starts) of whole runs of a chunk; rows come sorted by chunk.
-
-    ``words`` are the bits as 64-bit numbers, a row each. A run may span batches.
-    """
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bits, starts, stops) of whole runs of a chunk; rows come sorted by chunk. A run may span batches."""
 
-    def whole(chunk: np.ndarray, numbers: np.ndarray, words: np.ndarray):
-        starts = np.r_[0, np.flatnonzero(chunk[1:] != chunk[:-1]) + 1]
-        return chunk, numbers, words, starts
+    def whole(chunk: np.ndarray, bits: np.ndarray):
+        edges = np.flatnonzero(chunk[1:] != chunk[:-1]) + 1
+        return bits, np.r_[0, edges], np.r_[edges, len(chunk)]
 
     held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        bits = batch.column("bits")
-        if pa.types.is_binary(bits.type):
-            words = np.frombuffer(b"".join(bits.to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1)
-        else:
-            words = bits.to_numpy().view(np.uint64).reshape(-1, 1)
-        rows = batch.column("chunk").to_numpy(), batch.column("number").to_numpy(), words
+        rows = batch.column("chunk").to_numpy(), batch.column("bits").to_numpy()
         if held is not None:
             rows = tuple(np.concatenate(parts) for parts in zip(held, rows))
         earlier = np.flatnonzero(rows[0] != rows[0][-1])
@@ -163,75 +137,40 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
 
 def _linked(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Links (a, b) within each chunk."""
-    for chunk, numbers, words, starts in _runs(batches):
-        stops = np.r_[starts[1:], len(chunk)]
+    for bits, starts, stops in _runs(batches):
+        words = bits.view(np.uint64)
         # Pairs, by far the most, all at once; larger runs one by one.
         pairs = starts[stops - starts == 2]
-        near = pairs[np.bitwise_count(words[pairs] ^ words[pairs + 1]).sum(axis=1) <= radius]
-        found = [np.column_stack([numbers[near], numbers[near + 1]])]
+        near = pairs[np.bitwise_count(words[pairs] ^ words[pairs + 1]) <= radius]
+        found = [np.column_stack([bits[near], bits[near + 1]])]
         for start, stop in zip(starts, stops):
             if stop - start > 2:
-                found.append(_forest(numbers[start:stop], words[start:stop], radius))
+                found.append(_forest(bits[start:stop], words[start:stop], radius))
         links = np.concatenate(found)
         low, high = np.minimum(links[:, 0], links[:, 1]), np.maximum(links[:, 0], links[:, 1])
         yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
 
 
-def _with_neighbours(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows that have another within ``radius`` in their chunk."""
-    for chunk, numbers, words, starts in _runs(batches):
-        kept = np.zeros(len(chunk), dtype=bool)
-        stops = np.r_[starts[1:], len(chunk)]
-        pairs = starts[stops - starts == 2]
-        near = pairs[np.bitwise_count(words[pairs] ^ words[pairs + 1]).sum(axis=1) <= radius]
-        kept[near] = kept[near + 1] = True
-        for start, stop in zip(starts, stops):
-            run = words[start:stop, 0]
-            for begin in range(0, len(run) if len(run) > 2 else 0, 256):
-                close = np.bitwise_count(run[begin : begin + 256, None] ^ run[None, :]) <= radius
-                kept[start + begin : start + begin + len(close)] = close.sum(axis=1) > 1
-        yield pa.RecordBatch.from_arrays([pa.array(numbers[kept]), pa.array(chunk[kept])], ["number", "chunk"])
+def near_links(prints: DataFrame, *, blocks: int, share: int, radius: int, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) that connect what pairs within ``radius`` connect, over distinct prints (bits long).
 
-
-def chunked(members: DataFrame, chunk: int) -> DataFrame:
-    """(number, chunk) of ``members`` (number, key) that share a key, larger keys in pairs of chunks."""
-    shared = members.groupBy("key").count().filter("count > 1")
+    Candidates agree in ``share`` of ``blocks`` blocks; with share = blocks - radius no pair is
+    missed. Every key is worked whole: one with more than ``chunk`` members is split into
+    chunks by hash and all pairs of chunks are compared, each in its own group.
+    """
+    bounded_batches(prints.sparkSession)
+    members = prints.select("bits", F.explode(_block_keys(blocks, share)).alias("key"))
+    # Written, since a grouping beside the join it feeds is not split when a key is hot.
+    shared = cut(members.groupBy("key").count().filter("count > 1"), "shared")
     members = members.join(shared, "key")
     chunks = F.ceil(F.col("count") / F.lit(chunk)).cast("int")
-    own = F.pmod(F.xxhash64("number"), chunks).cast("int")
+    own = F.pmod(F.xxhash64("bits"), chunks).cast("int")
     other = F.explode(F.sequence(F.lit(0), chunks - 1))
-    return members.select("number", "key", own.alias("own"), other.alias("other")).select(
-        "number", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("chunk")
+    spread = members.select("bits", "key", own.alias("own"), other.alias("other")).select(
+        "bits", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("chunk")
     )
-
-
-def by_chunk(spread: DataFrame, bits: DataFrame) -> DataFrame:
-    """Members of ``spread`` with their ``bits`` (number, bits), chunks whole and sorted."""
-    spark = spread.sparkSession
-    bounded_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return spread.join(bits, "number").repartition(parts, "chunk").sortWithinPartitions("chunk", "number")
-
-
-def near_links(
-    prints: DataFrame, *, blocks: int, share: int, radius: int, sieve: int | None = None, chunk: int = CHUNK
-) -> DataFrame:
-    """Links (a, b) that connect what pairs within ``radius`` connect, over distinct prints.
-
-    ``prints``: (number long, block_bits long, bits binary), one row per distinct fingerprint. Candidates agree in ``share`` of ``blocks`` blocks of
-    ``block_bits``; with share = blocks - radius and bits equal to block_bits no pair is
-    missed. Every key is worked whole: one with more than ``chunk`` members is split into
-    chunks by hash and all pairs of chunks are compared, each in its own group. With
-    ``sieve``, members that differ from all others of their chunk in more bits of
-    ``block_bits`` are dropped before the wide bits join: those met by chance alone.
-    """
-    spread = chunked(prints.select("number", F.explode(_block_keys(blocks, share)).alias("key")), chunk)
-    if sieve is not None:
-        spread = by_chunk(spread, prints.select("number", F.col("block_bits").alias("bits"))).mapInArrow(
-            lambda batches: _with_neighbours(batches, sieve), "number long, chunk long"
-        )
-    wide = by_chunk(spread, prints.select("number", "bits"))
-    return wide.mapInArrow(lambda batches: _linked(batches, radius), "a long, b long").distinct()
+    sorted_ = spread.repartition("chunk").sortWithinPartitions("chunk", "bits")
+    return sorted_.mapInArrow(lambda batches: _linked(batches, radius), "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -241,39 +180,32 @@ def near_duplicates(
     radius: int = 4,
     blocks: int = 6,
     share: int = 2,
-    lanes: int = 0,
-    sieve: int | None = None,
     key: str = "doc_id",
     text: str = "text",
     chunk: int = CHUNK,
 ) -> DataFrame:
-    """Per row: ``doc_id``, ``block_bits`` (the 64-bit fingerprint) and ``component_id``.
+    """Per row: ``doc_id``, ``text_hash`` (xxhash64 of the text), ``bits`` (its fingerprint) and ``component_id``.
 
     Texts are linked if their fingerprints differ in ``radius`` bits at most; the component is
     the smallest doc_id reachable by links. Texts without words have fingerprint zero and
     are linked like others. Rows that repeat come out repeated. A null key is never a
     component's name unless all its members are null. Other columns are ignored, an empty
-    table gives an empty result. With ``lanes`` the distance is taken on wider fingerprints
-    of five words each, while the blocks stay those of ``block_bits``; ``sieve`` is then a
-    bound on the bits of ``block_bits`` in which texts to be linked may differ.
+    table gives an empty result.
 
     What is shuffled are fingerprints, once per choice of blocks, never texts. Copies are
-    reduced to one fingerprint by partial aggregation first; the names of components are
-    joined back as (fingerprint, name) rows.
+    reduced to one fingerprint by partial aggregation first. Both sides of a join on a group
+    are tables, so that adaptive execution splits a hot one.
     """
-    prints = cut(fingerprints(docs, shingle=shingle, lanes=lanes, key=key, text=text), "prints")
-    number = F.xxhash64("block_bits", "bits") if lanes else F.col("block_bits")
-    distinct = cut(
-        prints.groupBy("block_bits", "bits").agg(F.min("doc_id").alias("least_id")).withColumn("number", number), "distinct"
-    )
-    links = near_links(distinct, blocks=blocks, share=share, radius=radius, sieve=sieve, chunk=chunk)
-    grouped = distinct.join(components(links).withColumnRenamed("vertex", "number"), "number", "left")
-    grouped = grouped.withColumn("root", F.coalesce("root", "number"))
-    names = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = cut(grouped.join(names, "root").select("block_bits", "bits", "component_id"), "named")
-    return prints.join(named, ["block_bits", "bits"]).select("doc_id", "block_bits", "component_id")
+    prints = cut(fingerprints(docs, shingle=shingle, key=key, text=text), "prints")
+    distinct = cut(prints.groupBy("bits").agg(F.min("doc_id").alias("least_id")), "distinct")
+    roots = components(near_links(distinct.select("bits"), blocks=blocks, share=share, radius=radius, chunk=chunk))
+    grouped = distinct.join(roots.withColumnRenamed("vertex", "bits"), "bits", "left")
+    grouped = cut(grouped.withColumn("root", F.coalesce("root", "bits")), "grouped")
+    names = cut(grouped.groupBy("root").agg(F.min("least_id").alias("component_id")), "names")
+    named = cut(grouped.join(names, "root").select("bits", "component_id"), "named")
+    return prints.join(named, "bits").select("doc_id", "text_hash", "bits", "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("block_bits"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")

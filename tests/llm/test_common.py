@@ -38,3 +38,26 @@ def test_cut_tables_keep_schema_and_rows(spark):
 def test_fresh_names(spark):
     frame = spark.createDataFrame([(1, 2)], "A int, a_ int")
     assert common.fresh(frame, "a") == "a__" and common.fresh(frame, "b") == "b"
+
+
+def test_sifted_rows_hold_every_value_and_the_rest_stays(spark):
+    rows = spark.range(20000).selectExpr("id", "xxhash64(id) AS hash", "1 AS _bits", "2 AS _bucket")
+    values = rows.filter("id % 7 = 0").select(rows.hash.alias("value"))
+    may, rest = common.sifted(rows, rows.hash, values)
+    assert may.columns == rest.columns == rows.columns
+    held = {r.id for r in may.collect()}
+    assert {i for i in range(20000) if i % 7 == 0} <= held and len(held) < 2857 + 40
+    assert held | {r.id for r in rest.collect()} == set(range(20000)) and held.isdisjoint({r.id for r in rest.collect()})
+    may, rest = common.sifted(rows, rows.hash, values.limit(0))
+    assert may.count() == 0 and rest.count() == 20000
+    nulls = spark.createDataFrame([(None,), (0,), (-1,)], "hash long")
+    may, rest = common.sifted(nulls, nulls.hash, nulls.selectExpr("hash AS value"))
+    assert sorted(r.hash for r in may.collect()) == [-1, 0] and [r.hash for r in rest.collect()] == [None]
+
+
+def test_rows_go_by_id_and_text(spark):
+    docs = spark.createDataFrame([(1, "a", 0), (1, "b", 0), (2, None, 0), (None, "a", 0), (1, "a", 1)], "doc_id long, text string, _key int")
+    dropped = spark.createDataFrame([(1, "a"), (2, ""), (3, "c")], "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) AS text_hash")
+    left = common.without_rows(docs, dropped)
+    assert left.columns == docs.columns
+    assert sorted(map(tuple, left.collect()), key=str) == [(1, "b", 0), (None, "a", 0)]
