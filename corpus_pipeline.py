@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipway.llm import bpe, decontaminate, exact_dedup, near_copies, quality
-from slipway.llm.common import cut, fresh, read_table, text_of
+from slipway.llm import bpe, decontaminate, exact_dedup, quality, simhash
+from slipway.llm.common import cut, fresh, read_table, text_of, without_rows
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,14 +32,10 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id; those without one stay.
 
+    Texts are linked if the SimHashes of their four-word shingles differ in four bits at most.
     A row is named by id and text, so that others with the same id stay.
     """
-    found = near_copies.near_copies(docs)
-    left_key, left_hash, text_hash = (fresh(docs, name) for name in ("_key", "_hash", "_text_hash"))
-    dropped = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(left_key), F.col("text_hash").alias(left_hash))
-    rows = docs.withColumn(text_hash, F.xxhash64(text_of()))
-    same = (F.col("doc_id") == F.col(left_key)) & (F.col(text_hash) == F.col(left_hash))
-    return rows.join(cut(dropped.distinct(), "near"), same, "left_anti").select(*docs.columns)
+    return without_rows(docs, simhash.near_duplicates(docs, shingle=4, radius=4).filter("doc_id <> component_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
