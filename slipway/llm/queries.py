@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from slipway.llm import bpe, decontaminate, exact_dedup, html_text, language_id, line_dedup, quality, secrets, sharding, simhash
+from slipway.llm import (
+    bpe,
+    decontaminate,
+    exact_dedup,
+    html_text,
+    language_id,
+    line_dedup,
+    quality,
+    search,
+    secrets,
+    sharding,
+    simhash,
+    spelling,
+    substring_dedup,
+)
 from slipway.llm.common import Query
 
 QUERIES: dict[str, Query] = {
@@ -16,9 +30,14 @@ QUERIES: dict[str, Query] = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_quality": quality.op9_quality,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_search": search.op11_search,
+    "op12_substring_dedup": substring_dedup.op12_substring_dedup,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLES: dict[str, str] = {
     "op8_exact_dedup": exact_dedup.OP8_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
+    "op11_search": search.OP11_SQL,
+    "op12_substring_dedup": substring_dedup.OP12_SQL,
 }
