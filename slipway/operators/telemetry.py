@@ -146,16 +146,10 @@ def ssh_endpoints(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def pod_readiness(snapshots: DataFrame) -> DataFrame:
-    """Whether every pod of a provider became ready, failed, timed out or is still pending.
-
-    The first snapshot that is ready or failed decides, if it came within the provider's
-    wait limit after the pod was first seen. Times and counts of all snapshots are one hash
-    grouping; only snapshots that decide are read as JSON documents' states and compared.
-    """
+def pod_states(snapshots: DataFrame) -> DataFrame:
+    """Every snapshot as (pod_id, provider, observed_ts, state, endpoint): ready, failed or pending."""
     provider, document = F.col("provider"), F.col("_document")
-    pod = ["pod_id", "provider"]
-    seen = (
+    return (
         snapshots.withColumn("_document", F.try_parse_json("payload"))
         .withColumn("endpoint", L.ssh_endpoint(provider, document))
         .select(
@@ -166,6 +160,17 @@ def pod_readiness(snapshots: DataFrame) -> DataFrame:
             "endpoint",
         )
     )
+
+
+def pod_readiness(snapshots: DataFrame) -> DataFrame:
+    """Whether every pod of a provider became ready, failed, timed out or is still pending.
+
+    The first snapshot that is ready or failed decides, if it came within the provider's
+    wait limit after the pod was first seen. Times and counts of all snapshots are one hash
+    grouping; only snapshots that decide are read as JSON documents' states and compared.
+    """
+    pod = ["pod_id", "provider"]
+    seen = pod_states(snapshots)
     watched = snapshots.groupBy(*pod).agg(
         F.min("observed_ts").alias("first_ts"),
         F.max("observed_ts").alias("last_ts"),

@@ -665,6 +665,37 @@ ORACLES: dict[str, str] = {
         "(SELECT max(poll_ts) - INTERVAL 10 MINUTES FROM polls) "
         "QUALIFY row_number() OVER (PARTITION BY run_id, begin_ts ORDER BY poll_ts, verdict) = 1",
     ),
+    # Instants that the watermark, ten minutes before the last poll of these runs, has passed.
+    "spend_crossings": _with(
+        _POLLS, _RUNS, _JUDGED,
+        (
+            "limited",
+            "SELECT run_id, max_spend, elapsed, status, poll_ts, CAST(ceil(max_spend / hourly * 3600E0 * 1E6) AS BIGINT) AS after_us, "
+            "epoch_us(poll_ts) - CAST(round(elapsed * 1E6) AS BIGINT) AS start_us FROM judged WHERE hourly > 0 AND max_spend > 0",
+        ),
+        body="SELECT run_id, after_us, max_spend AS spent FROM limited GROUP BY run_id, after_us, max_spend, start_us "
+        "HAVING count(*) FILTER (status <> 'running' AND elapsed * 1E6 <= after_us) = 0 "
+        "AND ceil((start_us + after_us) / 1E3) < (SELECT epoch_ms(max(poll_ts)) - 600000 FROM limited)",
+    ),
+    # The same for pods: what the watermark has not passed is not settled.
+    "readiness_decisions": _with(
+        _SNAPSHOTS, _STATES_OF_PODS, _POD_TIMES,
+        (
+            "firsts",
+            "SELECT *, epoch_us(observed_ts) - epoch_us(t0) < wait_limit * 1000000 AS in_time FROM pod_times WHERE state <> 'pending' "
+            "QUALIFY row_number() OVER (PARTITION BY pod_id ORDER BY observed_ts, state) = 1",
+        ),
+        (
+            "settled",
+            "SELECT t.pod_id, t.provider, t.t0, CASE WHEN d.in_time THEN d.state ELSE 'timeout' END AS state, "
+            "CASE WHEN d.in_time THEN epoch_us(d.observed_ts) - epoch_us(t.t0) ELSE t.wait_limit * 1000000 END AS waited_us, "
+            "CASE WHEN d.in_time AND d.state = 'ready' THEN d.host END AS host, "
+            "CASE WHEN d.in_time AND d.state = 'ready' THEN d.port END AS port "
+            "FROM (SELECT DISTINCT pod_id, provider, t0, wait_limit FROM pod_times) t LEFT JOIN firsts d USING (pod_id)",
+        ),
+        body="SELECT pod_id, provider, state, CAST(waited_us AS BIGINT) AS waited_us, host, port FROM settled "
+        "WHERE ceil((epoch_us(t0) + waited_us) / 1E3) < (SELECT epoch_ms(max(observed_ts)) - 600000 FROM snapshots)",
+    ),
     "spend_guard": _with(
         *_ENDED_PARTS,
         body="SELECT run_id, elapsed_seconds, spent, max_spend, 'max spend reached ($' || format('{:.2f}', spent) "

@@ -12,7 +12,7 @@ from slipway.functions import text as X
 from slipway.operators import code, logs, memory, offers, planning, settings, sizing, telemetry
 from slipway.plans import bindings as B
 from slipway.session import shared_dir
-from slipway.streaming import outcomes
+from slipway.streaming import outcomes, timers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -292,15 +292,20 @@ def run_outcome(spark, sf_dir):
     return ended.select(*_OUTCOME, "pod_kept")
 
 
-def _streamed(spark, sf_dir):
-    """The polls as a stream of files, the terms of the runs, and a folder for what comes out."""
+def _event_stream(spark, sf_dir, binding):
+    """A binding of the events as a stream of files, and a folder for what comes out."""
     folder = f"{shared_dir(spark)}/outcomes-{uuid.uuid4().hex}"
     events = (
         spark.readStream.schema(B.table(spark, sf_dir, "events").schema)
         .option("pathGlobFilter", "events.parquet")
         .parquet(sf_dir)
     )
-    polls = events.select(*(F.expr(text).alias(name) for name, text in B.RUN_POLLS.columns.items()))
+    return events.select(*(F.expr(text).alias(name) for name, text in binding.columns.items())), folder
+
+
+def _streamed(spark, sf_dir):
+    """The polls as a stream, the terms of the runs, and a folder for what comes out."""
+    polls, folder = _event_stream(spark, sf_dir, B.RUN_POLLS)
     return polls, B.runs(spark, sf_dir), folder
 
 
@@ -333,6 +338,33 @@ def settled_decisions(spark, sf_dir):
     return spark.read.schema(outcomes.DECISION).parquet(f"{folder}/table").drop("poll_ts")
 
 
+def _micros(earlier, later):
+    return F.unix_micros(later) - F.unix_micros(earlier)
+
+
+def _landed(spark, settled, folder):
+    """What a stream in append mode has sent when all its input is read."""
+    _run_until_read(outcomes.write_settled(settled, f"{folder}/table", f"{folder}/state"))
+    return spark.read.schema(settled.schema).parquet(f"{folder}/table")
+
+
+@query
+def spend_crossings(spark, sf_dir):
+    """Alerts at the instant spend reaches its limit, also of runs whose polls have stopped."""
+    polls, terms, folder = _streamed(spark, sf_dir)
+    found = _landed(spark, timers.spend_crossings(polls, terms), folder)
+    return found.select("run_id", _micros("billing_start", "crossed_at").alias("after_us"), "spent")
+
+
+@query
+def readiness_decisions(spark, sf_dir):
+    """Pods that became ready, failed or timed out, also those whose snapshots have stopped."""
+    snapshots, folder = _event_stream(spark, sf_dir, B.POD_SNAPSHOTS)
+    found = _landed(spark, timers.readiness_decisions(snapshots), folder)
+    waited = _micros("first_ts", "decided_at").alias("waited_us")
+    return found.select("pod_id", "provider", "state", waited, "host", "port")
+
+
 @query
 def spend_guard(spark, sf_dir):
     return telemetry.spend_guard(B.RUN_POLLS.frame(spark, sf_dir), B.runs(spark, sf_dir))

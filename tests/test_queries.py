@@ -10,7 +10,7 @@ from slipway.plans.registry import QUERIES as REGISTERED
 QUERIES = dict(REGISTERED)
 ORACLES = dict(REGISTERED_SQL)
 # These run while they are built; what they return only reads their table.
-STREAMS = ("run_outcome_stream", "spend_alerts", "settled_decisions")
+STREAMS = ("run_outcome_stream", "spend_alerts", "settled_decisions", "spend_crossings", "readiness_decisions")
 
 
 @pytest.fixture(scope="module")
