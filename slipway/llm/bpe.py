@@ -13,23 +13,28 @@ import base64
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slipway.llm.common import Remembered, bounded_batches
 
-#: Entries of a generation of a worker's memory of words, and of its memory of pairs.
+#: Entries of a generation of a worker's memory of words, and of its memories of prefixes and of pairs.
 REMEMBERED_WORDS, REMEMBERED_PAIRS = 1 << 17, 1 << 18
 #: Longer words are encoded without being remembered.
 REMEMBERED_CHARS = 40
 
-#: Bytes up to which a piece is worked from its end.
-SHORT = 256
+#: Bytes up to which the prefixes of a piece are remembered, and up to which it is worked from its end.
+REMEMBERED_BYTES, SHORT = 64, 256
+#: Ids are kept as bytes, four each.
+ID = np.dtype("<i4")
+#: Fixed value: the pattern of the public ranks. None of its matches joins a space to what stands
+#: before it if that is no white space, and a space with letters after it is one match.
+SPACED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Where a node of the tree of tokens, read from their ends, keeps the token that ends there.
 HERE = -1
 
@@ -65,6 +70,13 @@ class Vocabulary:
                     node = node.setdefault(byte, {})
                 node[HERE] = rank
         self.pairs: dict[int, bool] = {}
+        self.packed = {token: _packed([rank]) for token, rank in self.ranks.items() if rank in self.parts}
+        self.prefixes: dict[bytes, bytes] = {}
+        self.borders: dict[bytes, bool] = {}
+
+    def forget(self) -> None:
+        for memory in (self.pairs, self.prefixes, self.borders):
+            memory.clear()
 
     def _find_parts(self, token: bytes) -> None:
         """A token whose own bytes are not merged to it never occurs and gets no entry."""
@@ -192,62 +204,104 @@ def token_ending(vocabulary: Vocabulary, data: bytes, end: int, last: list[int |
     raise ValueError(f"no token for byte {data[end - 1]}")
 
 
-def encode_piece(vocabulary: Vocabulary, data: bytes) -> list[int]:
-    """Ids of one piece. Short ones fill only the entries they need, long ones all in order."""
-    whole = vocabulary.ranks.get(data)
-    if whole is not None and whole in vocabulary.parts:
-        return [whole]
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, dtype=ID).tobytes()
+
+
+def _prefix_ids(vocabulary: Vocabulary, data: bytes) -> bytes:
+    """Ids of a prefix: those of what its last token follows, which is a shorter prefix, and the token.
+
+    Prefixes are shared: what one word worked out holds for all words that begin alike.
+    """
+    found = vocabulary.prefixes.get(data)
+    if found is not None:
+        return found
+    for start in range(len(data)):
+        token = vocabulary.packed.get(data[start:])
+        if token is None:
+            continue
+        if not start:
+            found = token
+            break
+        before = _prefix_ids(vocabulary, data[:start])
+        border = before[-ID.itemsize :] + token
+        holds = vocabulary.borders.get(border)
+        if holds is None:
+            holds = vocabulary.borders[border] = vocabulary.border_holds(*np.frombuffer(border, ID).tolist())
+        if holds:
+            found = before + token
+            break
+    if found is None:
+        raise ValueError(f"no token for byte {data[-1]}")
+    vocabulary.prefixes[data] = found
+    return found
+
+
+def pack_piece(vocabulary: Vocabulary, data: bytes) -> bytes:
+    """Ids of one piece, four bytes each. Short ones fill only the entries they need, long ones all in order."""
+    whole = vocabulary.packed.get(data)
+    if whole is not None:
+        return whole
+    if max(len(vocabulary.pairs), len(vocabulary.prefixes), len(vocabulary.borders)) > REMEMBERED_PAIRS:
+        vocabulary.forget()
     size = len(data)
+    if 0 < size <= REMEMBERED_BYTES:
+        return _prefix_ids(vocabulary, data)
     last: list[int | None] = [None] * (size + 1)
     for end in range(1 if size > SHORT else max(1, size), size + 1):
         token_ending(vocabulary, data, end, last)
-    if len(vocabulary.pairs) > REMEMBERED_PAIRS:
-        vocabulary.pairs.clear()
-    return _walk_back(vocabulary, last, size)
+    return _packed(_walk_back(vocabulary, last, size))
+
+
+def encode_piece(vocabulary: Vocabulary, data: bytes) -> list[int]:
+    return np.frombuffer(pack_piece(vocabulary, data), ID).tolist()
 
 
 class Encoder:
     """Texts to ids.
 
-    The pattern never joins a space to what stands before it if that is no white space, so
-    a text falls apart at every single space between other characters. The ids of short
-    words, with the space before them, are remembered; what is new is cut by the pattern.
+    With ``SPACED_PATTERN`` a text falls apart at every single space between other
+    characters. The ids of short words, with the space before them, are remembered; what is
+    new is cut by the pattern. Any other pattern cuts the whole text.
     """
 
     def __init__(self, rank_file: bytes, pattern: str):
         self.vocabulary = Vocabulary(rank_file)
         self.pieces = regex.compile(pattern).findall
+        self.spaced = pattern == SPACED_PATTERN
         self.words = Remembered(self._word, REMEMBERED_WORDS)
 
-    def _by_pattern(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for piece in self.pieces(text):
-            ids += encode_piece(self.vocabulary, piece.encode("utf-8", "surrogatepass"))
-        return ids
+    def _by_pattern(self, text: str) -> bytes:
+        vocabulary = self.vocabulary
+        return b"".join([pack_piece(vocabulary, piece.encode("utf-8", "surrogatepass")) for piece in self.pieces(text)])
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        return tuple(self._by_pattern(" " + word))
+    def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return pack_piece(self.vocabulary, b" " + word.encode())
+        return self._by_pattern(" " + word)
 
-    def _other(self, word: str) -> tuple[int, ...]:
+    def _other(self, word: str) -> bytes:
         return self.words.other(word) if len(word) <= REMEMBERED_CHARS else self._word(word)
 
     def forget(self) -> None:
         """Empty the memories: a worker is kept for tasks of other operators."""
         self.words.clear()
-        self.vocabulary.pairs.clear()
+        self.vocabulary.forget()
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """The ids of ``text``, four bytes each."""
+        if not self.spaced:
+            return self._by_pattern(text)
         words = text.split(" ")
         if "" in words or list(map(str.strip, words)) != words:
             words = _SINGLE_SPACE.split(text)
-        known = self.words.young
-        ids = self._by_pattern(words[0])
-        ids.extend(
-            chain.from_iterable(
-                [found if (found := known.get(word)) is not None else self._other(word) for word in words[1:]]
-            )
-        )
-        return ids
+        known, other = self.words.young.get, self._other
+        ids = [self._by_pattern(words[0])]
+        ids += [known(word) or other(word) for word in words[1:]]
+        return b"".join(ids)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), ID).tolist()
 
 
 @lru_cache(maxsize=2)
@@ -274,10 +328,10 @@ def _per_text(docs: DataFrame, rank_file: bytes, texts: Column, pattern: str, ou
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(shared.value, pattern)
         for batch in batches:
-            lists = [np.array(encoder.encode(value.as_py()), dtype=np.int32) for value in batch]
+            lists = [encoder.packed(value.as_py()) for value in batch]
             offsets = np.zeros(len(lists) + 1, dtype=np.int32)
-            np.cumsum([len(ids) for ids in lists], out=offsets[1:])
-            values = np.concatenate([*lists, np.empty(0, dtype=np.int32)])
+            np.cumsum([len(ids) // ID.itemsize for ids in lists], out=offsets[1:])
+            values = np.frombuffer(b"".join(lists), ID)
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
         encoder.forget()
 
@@ -294,24 +348,22 @@ def decode(tokens: DataFrame, rank_file: bytes, *, ids: str = "ids", out: str =
 
     @F.arrow_udf("binary")
     def bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        token_bytes = _token_bytes(shared.value)
+        tokens_of = _token_array(shared.value)
         for batch in batches:
-            yield pa.array([b"".join(map(token_bytes.__getitem__, value or ())) for value in _lists(batch)], pa.binary())
+            pieces = tokens_of.take(batch.values)
+            if pieces.null_count:
+                raise ValueError("an id outside the vocabulary")
+            yield pc.binary_join(pa.ListArray.from_arrays(batch.offsets, pieces), b"")
 
     return tokens.withColumn(out, bytes_of(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
 
 
-def _lists(batch: pa.Array) -> Iterator[list[int]]:
-    offsets = batch.offsets.to_numpy()
-    values = batch.values.to_numpy(zero_copy_only=False)
-    for start, end in zip(offsets[:-1], offsets[1:]):
-        yield values[start:end].tolist()
-
-
 @lru_cache(maxsize=2)
-def _token_bytes(rank_file: bytes) -> dict[int, bytes]:
+def _token_array(rank_file: bytes) -> pa.Array:
+    """The bytes of every id, at its place; null where no token has that id."""
     lines = (line.split() for line in rank_file.splitlines() if line.strip())
-    return {int(rank): base64.b64decode(token) for token, rank in lines}
+    token_bytes = {int(rank): base64.b64decode(token) for token, rank in lines}
+    return pa.array([token_bytes.get(rank) for rank in range(max(token_bytes, default=-1) + 1)], pa.binary())
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,22 @@ def test_ids_are_those_of_the_library(encoder, library):
         assert encoder.encode(text) == library.encode_ordinary(text)
 
 
+def test_other_patterns_cut_the_whole_text(library):
+    pattern = r"\w+ \w+|\s+|\w+|[^\w\s]+"
+    own = bpe.Encoder(RANKS, pattern)
+    theirs = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=library._mergeable_ranks, special_tokens={})
+    for text in [*_random_texts(500, 3), "two words and more, of the thing"]:
+        assert own.encode(text) == theirs.encode_ordinary(text)
+
+
+def test_ids_outside_the_vocabulary_are_an_error(spark):
+    wrong = spark.createDataFrame([([1, 10_000_000],)], "ids array<int>")
+    with pytest.raises(Exception):
+        bpe.decode(wrong, RANKS).collect()
+    none = spark.createDataFrame([(None,), ([],)], "ids array<int>")
+    assert [bytes(row.decoded) for row in bpe.decode(none, RANKS).collect()] == [b"", b""]
+
+
 def test_appending_and_editing_keep_the_table_exact(encoder):
     vocabulary, pick = encoder.vocabulary, random.Random(2)
     words = "the and thing ation erest über cion que la straße 漢字".split()
