@@ -125,7 +125,8 @@ def without_rows(docs: DataFrame, dropped: DataFrame, *, key: str = "doc_id", te
     so it should be a table.
     """
     left_key, left_hash, text_hash = (fresh(docs, name) for name in ("_key", "_hash", "_text_hash"))
-    named = cut(dropped.select(F.col("doc_id").alias(left_key), F.col("text_hash").alias(left_hash)).distinct(), "dropped")
+    kind = docs.schema[key].dataType
+    named = cut(dropped.select(F.col("doc_id").cast(kind).alias(left_key), F.col("text_hash").alias(left_hash)).distinct(), "dropped")
     hashed = docs.withColumn(text_hash, F.xxhash64(text_of(text)))
     may, rest = sifted(
         hashed, F.xxhash64(F.col(key), F.col(text_hash)), named.select(F.xxhash64(left_key, left_hash).alias("value"))

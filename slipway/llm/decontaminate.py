@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipway.llm.common import Remembered, bounded_batches, cut, fresh, read_table, text_of
+from slipway.llm.common import Remembered, bounded_batches, read_table, text_of, without_rows
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -230,11 +230,17 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_
     The benchmark is a query set against all documents, in blocks: each block is a broadcast
     of bounded size and one more scan of the documents, which are never shuffled.
     """
+    return _matches(docs, benchmark, key, text).drop("text_hash")
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str) -> DataFrame:
+    """The matches with ``text_hash``, xxhash64 of the document's text."""
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
+    texts = texts.withColumn("text_hash", F.xxhash64("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").dropna()
-    schema = "doc_id long, item_id long, similarity double, first_word long"
+    schema = "doc_id long, item_id long, similarity double, first_word long, text_hash long"
     found = spark.createDataFrame([], schema)
     for block in _passes(items):
         shared = spark.sparkContext.broadcast(block)
@@ -243,15 +249,15 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_
             index = _index(shared.value)
             for batch in batches:
                 rows = [
-                    (doc_id, item_id, similarity, place)
-                    for doc_id, value in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
+                    (doc_id, item_id, similarity, place, text_hash)
+                    for doc_id, value, text_hash in zip(*(column.to_pylist() for column in batch.columns))
                     for item_id, (similarity, place) in index.matches(value).items()
                 ]
-                columns = list(zip(*rows)) or [[]] * 4
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+                columns = list(zip(*rows)) or [[]] * 5
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(column, kind) for column, kind in zip(columns, kinds)],
-                    ["doc_id", "item_id", "similarity", "first_word"],
+                    ["doc_id", "item_id", "similarity", "first_word", "text_hash"],
                 )
             _known.clear()  # the worker is kept for tasks of other operators
 
@@ -260,10 +266,12 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with all its columns, without documents that match an item; null keys stay."""
-    name = fresh(docs, "_matched")
-    matched = benchmark_matches(docs, benchmark, key=key, text=text).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(cut(matched, "matched"), F.col(key) == F.col(name), "left_anti")
+    """``docs`` with all its columns, without documents that match an item; null keys stay.
+
+    A document is named by key and text, so that others with the same key stay. ``docs`` is read
+    more than once and should be a table; only rows that may be named are shuffled.
+    """
+    return without_rows(docs, _matches(docs, benchmark, key, text), key=key, text=text)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,15 +191,16 @@ def sample_chunks(data: bytes) -> list[bytes]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, *, label: str = "quality") -> DataFrame:
-    """(doc_id, label) of rows to learn from; a document labelled twice counts as often."""
+    """(doc_id, label) to learn from, each once; a document that has both labels counts for either."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1))
-    return known.filter(learns_from()).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    return known.filter(learns_from()).distinct().join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", per_label: int = SAMPLE_PER_LABEL) -> dict:
     """Fit the network on a bounded sample; shares of labels are counted over all rows.
 
-    What reaches the driver is at most 2 * per_label documents of SAMPLE_CHUNKS chunks each.
+    What reaches the driver is at most 2 * per_label documents of SAMPLE_CHUNKS chunks each: of
+    rows that share an id the one whose text has the least hash is taken.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -218,6 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", per_lab
             )
 
     texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), "doc_id")
+    texts = texts.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = texts.mapInArrow(chunked, "doc_id long, label int, chunks array<binary>").collect()
     rows.sort(key=lambda row: (row["doc_id"], row["label"], row["chunks"]))
     share = counts.get(1, 0) / max(1, sum(counts.values()))

@@ -77,6 +77,17 @@ def test_filter_keeps_clean_rows_and_columns(spark):
     assert D.benchmark_matches(frame, benchmark.limit(0)).collect() == []
 
 
+def test_a_clean_document_does_not_go_with_its_namesake(spark):
+    passage = " ".join(random.Random(5).choices(VOCABULARY, k=30))
+    rows = [(5, passage), (5, "other words here"), (6, passage), (6, passage), (7, None), (None, passage)]
+    benchmark = spark.createDataFrame([(1, passage), (1, passage)], "item_id long, text string")
+    for kind in ("int", "long"):
+        docs = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+        kept = D.without_benchmark(docs, benchmark)
+        assert kept.dtypes == docs.dtypes
+        assert Counter(map(tuple, kept.collect())) == Counter([rows[1], rows[4], rows[5]])
+
+
 def test_blocks_meet_every_item_within_the_radius():
     pick = random.Random(4)
     index = D.Index([(n, " ".join(pick.choices(VOCABULARY, k=30))) for n in range(60)])

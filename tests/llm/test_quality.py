@@ -88,6 +88,17 @@ def test_learning_uses_only_its_rows(spark):
     assert quality.score_bytes(none, b"x") > 0.9
 
 
+def test_repeated_ids_and_labels_keep_the_bound(spark, monkeypatch):
+    texts = [(i, t) for i, t, _ in _texts(60, 6)]
+    docs = spark.createDataFrame(texts + [(2, f"copy {n % 40}") for n in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in _texts(60, 6)] + [(2, 1)] * 200, "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda chunks, labels, share: seen.append((len(chunks), sorted(labels), share)))
+    quality.train(docs, labels, per_label=10)
+    known = {(i, q) for i, _, q in _texts(60, 6) if zlib.crc32(str(i).encode()) % 5} | {(2, 1)}
+    assert seen == [(20, [0] * 10 + [1] * 10, sum(q for _, q in known) / len(known))]
+
+
 def test_query(spark, sf_dir):
     found = quality.op9_quality(spark, sf_dir)
     assert found.columns == ["doc_id", "held_out", "score", "predicted"]
