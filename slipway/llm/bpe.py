@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from slipway.llm.common import Remembered, bounded_batches
 
 #: Entries of a generation of a worker's memory of words, and of its memories of prefixes and of pairs.
-REMEMBERED_WORDS, REMEMBERED_PAIRS = 1 << 17, 1 << 18
+REMEMBERED_WORDS, REMEMBERED_PAIRS = 1 << 16, 1 << 16
 #: Longer words are encoded without being remembered.
 REMEMBERED_CHARS = 40
 
@@ -35,8 +35,6 @@ ID = np.dtype("<i4")
 #: Fixed value: the pattern of the public ranks. None of its matches joins a space to what stands
 #: before it if that is no white space, and a space with letters after it is one match.
 SPACED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Where a node of the tree of tokens, read from their ends, keeps the token that ends there.
-HERE = -1
 
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -62,15 +60,11 @@ class Vocabulary:
         self.parts: dict[int, tuple[int, int] | None] = {}
         for token in sorted(self.ranks, key=self.ranks.__getitem__):
             self._find_parts(token)
-        self.tree: dict = {}
-        for token, rank in self.ranks.items():
-            if rank in self.parts:
-                node = self.tree
-                for byte in reversed(token):
-                    node = node.setdefault(byte, {})
-                node[HERE] = rank
         self.pairs: dict[int, bool] = {}
         self.packed = {token: _packed([rank]) for token, rank in self.ranks.items() if rank in self.parts}
+        self.reach: dict[bytes, int] = {}
+        for token in self.packed:
+            self.reach[token[-2:]] = max(len(token), self.reach.get(token[-2:], 1))
         self.prefixes: dict[bytes, bytes] = {}
         self.borders: dict[bytes, bool] = {}
 
@@ -177,18 +171,11 @@ def token_ending(vocabulary: Vocabulary, data: bytes, end: int, last: list[int |
 
     Entries of shorter prefixes are filled when a token needs to know what it would follow.
     """
-    node, place, ending = vocabulary.tree, end, []
-    while place:
-        node = node.get(data[place - 1])
-        if node is None:
-            break
-        place -= 1
-        token = node.get(HERE)
-        if token is not None:
-            ending.append((place, token))
-    pairs = vocabulary.pairs
-    while ending:
-        start, token = ending.pop()
+    pairs, ranks = vocabulary.pairs, vocabulary.ranks
+    for start in range(max(0, end - vocabulary.reach.get(data[max(0, end - 2) : end], 1)), end):
+        token = ranks.get(data[start:end])
+        if token not in vocabulary.parts:
+            continue
         if start:
             before = last[start]
             if before is None:
@@ -216,7 +203,7 @@ def _prefix_ids(vocabulary: Vocabulary, data: bytes) -> bytes:
     found = vocabulary.prefixes.get(data)
     if found is not None:
         return found
-    for start in range(len(data)):
+    for start in range(max(0, len(data) - vocabulary.reach.get(data[-2:], 1)), len(data)):
         token = vocabulary.packed.get(data[start:])
         if token is None:
             continue
@@ -242,8 +229,9 @@ def pack_piece(vocabulary: Vocabulary, data: bytes) -> bytes:
     whole = vocabulary.packed.get(data)
     if whole is not None:
         return whole
-    if max(len(vocabulary.pairs), len(vocabulary.prefixes), len(vocabulary.borders)) > REMEMBERED_PAIRS:
-        vocabulary.forget()
+    for memory in (vocabulary.pairs, vocabulary.prefixes, vocabulary.borders):
+        if len(memory) > REMEMBERED_PAIRS:
+            memory.clear()
     size = len(data)
     if 0 < size <= REMEMBERED_BYTES:
         return _prefix_ids(vocabulary, data)
