@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from slipway.llm.common import Remembered, bounded_batches
 
 #: Entries of a generation of a worker's memory of words, and of its memories of prefixes and of pairs.
-REMEMBERED_WORDS, REMEMBERED_PAIRS = 1 << 16, 1 << 16
+REMEMBERED_WORDS, REMEMBERED_PAIRS = 1 << 17, 1 << 16
 #: Longer words are encoded without being remembered.
 REMEMBERED_CHARS = 40
 
