@@ -4,14 +4,17 @@ A pod that falls silent still runs into its wait limit, and a run whose polls st
 reaches its spend limit, since spend grows with time alone. Either has a timer in the state
 of its key, and the watermark sets it off. Ahead of the state every task cuts a batch of
 rows to the few of each key that can matter, so a pod or run with a third of all rows comes
-to its state as a few rows per batch.
+to its state as a few rows per batch. Pods are many and short-lived: those of one part share
+a state, a table of theirs, and are merged and settled as columns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -24,6 +27,8 @@ from slipway.operators.telemetry import pod_states, with_terms
 NEVER = (1 << 63) - 1
 #: How long a settled key is remembered after its last row, in seconds.
 FORGET_SECONDS = 86_400
+#: Parts the pods are put into by hash; it has to stay the same as long as a checkpoint lives.
+PARTS = 256
 
 
 def _keeper(merge: Callable, due_of: Callable, result: Callable, columns: list[str], forget: int) -> Callable:
@@ -52,8 +57,56 @@ def _keeper(merge: Callable, due_of: Callable, result: Callable, columns: list[s
     return keep
 
 
+_POD = ["pod_id", "provider"]
+_ORDER = ["at", "state", "host", "port"]
+#: What is held of a pod: its first snapshot, the first that decides, and until when it is
+#: remembered in milliseconds, which is ``NEVER`` as long as it is open.
+_HELD = pa.schema(
+    [("pod_id", pa.string()), ("provider", pa.string()), ("first", pa.int64()), ("at", pa.int64()), ("state", pa.string())]
+    + [("host", pa.string()), ("port", pa.int64()), ("until", pa.int64())]
+)
+
+
+def _packed(held: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _HELD) as writer:
+        writer.write_table(pa.Table.from_pandas(held[_HELD.names], _HELD, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(state: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(state).read_pandas()
+
+
+def _with_snapshots(held: pd.DataFrame | None, frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """The pods held with new snapshots taken in; ``met`` marks those that have some."""
+    parts = [] if held is None else [held.assign(met=False)]
+    for frame in frames:
+        pending = (frame["state"] == "pending").to_numpy()
+        # The first of all counts whatever its state; only a deciding one has a time to decide at.
+        parts.append(
+            pd.DataFrame(
+                {
+                    **{name: frame[name].to_numpy() for name in (*_POD, "state")},
+                    "first": frame["at"].to_numpy(),
+                    "at": np.where(pending, NEVER, frame["at"].to_numpy()),
+                    "host": np.where(pending, "", frame["host"].to_numpy()),
+                    "port": np.where(pending, -1, frame["port"].to_numpy()),
+                    "until": NEVER,
+                    "met": True,
+                }
+            )
+        )
+    rows = pd.concat(parts, ignore_index=True).sort_values(_ORDER)
+    pods = rows.groupby(_POD, sort=False)
+    found = rows[~rows.duplicated(_POD)].copy()
+    for name, how in (("first", "min"), ("until", "min"), ("met", "max")):
+        found[name] = pods[name].transform(how)[found.index]
+    return found
+
+
 def readiness_decisions(
-    snapshots: DataFrame, *, lateness: str = "10 minutes", forget_seconds: int = FORGET_SECONDS
+    snapshots: DataFrame, *, lateness: str = "10 minutes", forget_seconds: int = FORGET_SECONDS, parts: int = PARTS
 ) -> DataFrame:
     """Streaming, append mode: (pod_id, provider, state, first_ts, decided_at, host, port), once per pod.
 
@@ -63,12 +116,16 @@ def readiness_decisions(
     snapshots arrive does not matter; later ones than ``lateness`` are ignored, and repeats
     change nothing. Snapshots without pod, provider or time are left out. A settled pod is
     remembered until ``forget_seconds`` after its last snapshot; then its state is dropped.
+
+    The pods of each of ``parts`` parts are one state, whose timer is the earliest of theirs. It
+    is written again when one of them has a snapshot or falls due, so many open pods and small
+    batches call for more parts.
     """
     limits = {provider: seconds * 1_000_000 for provider, seconds in C.READY_TIMEOUT_SECONDS.items()}
     other = limits[C.PROVIDERS[1]]
-    key, order = ["pod_id", "provider"], ["at", "state", "host", "port"]
-    seen = pod_states(snapshots.dropna(subset=[*key, "observed_ts"])).select(
-        *key,
+    seen = pod_states(snapshots.dropna(subset=[*_POD, "observed_ts"])).select(
+        F.pmod(F.xxhash64(*_POD), F.lit(parts)).cast("int").alias("part"),
+        *_POD,
         "observed_ts",
         F.unix_micros("observed_ts").alias("at"),
         "state",
@@ -78,44 +135,58 @@ def readiness_decisions(
 
     def reduced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            frame = frame.sort_values(order)
-            decided = frame[frame["state"] != "pending"].groupby(key, sort=False).head(1)
-            kept = pd.concat([frame.groupby(key, sort=False).head(1), decided, frame.groupby(key, sort=False).tail(1)])
-            yield kept[~kept.index.duplicated()]
-
-    def merge(held, frames):
-        first, *best = held or (NEVER, NEVER, "pending", "", -1)
-        for frame in frames:
-            for row in frame[order].itertuples(index=False, name=None):
-                first = min(first, int(row[0]))
-                if row[1] != "pending":
-                    best = min(list(best), [int(row[0]), *row[1:3], int(row[3])])
-        return [first, *best]
-
-    def due_of(pod, held):
-        return min(held[0] + limits.get(pod[1], other), held[1])
+            frame = frame.sort_values(_ORDER)
+            decided = frame[frame["state"] != "pending"]
+            first, last = ~frame.duplicated(_POD), ~frame.duplicated(_POD, keep="last")
+            kept = first | last
+            kept[decided.index[~decided.duplicated(_POD)]] = True
+            yield frame[kept]
 
-    def result(pod, held):
-        first, at, state, host, port = held
-        limit = first + limits.get(pod[1], other)
-        return (*pod, state, first, at, host, port) if at < limit else (*pod, "timeout", first, limit, "", -1)
+    def keep(part: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs()
+        held = _unpacked(state.get[0]) if state.exists else None
+        held = held.assign(met=False) if state.hasTimedOut else _with_snapshots(held, frames)
+        limit = held["first"] + held["provider"].map(limits).fillna(other).astype("int64")
+        due = -(-np.minimum(limit, held["at"]) // 1000)
+        settles = (held["until"] == NEVER) & (due < now)
+        if settles.any():
+            row, limit_of = held[settles], limit[settles]
+            by_state = row["at"] < limit_of
+            yield pd.DataFrame(
+                {
+                    **{name: row[name] for name in _POD},
+                    "state": row["state"].where(by_state, "timeout"),
+                    "first_us": row["first"],
+                    "decided_us": row["at"].where(by_state, limit_of),
+                    "host": row["host"].where(by_state, ""),
+                    "port": row["port"].where(by_state, -1),
+                }
+            )
+        again = settles | (held["met"] & (held["until"] != NEVER))
+        held["until"] = held["until"].mask(again, now + forget_seconds * 1000)
+        timer = held["until"].where(held["until"] != NEVER, due)
+        remembered = timer >= now
+        if not remembered.any():
+            state.remove()
+            return
+        state.update((_packed(held[remembered]),))
+        state.setTimeoutTimestamp(int(timer[remembered].min()))
 
-    names = [*key, "state", "first_us", "decided_us", "host", "port"]
     settled = (
         seen.mapInPandas(reduced, seen.schema)
         .withWatermark("observed_ts", lateness)
-        .groupBy(*key)
+        .groupBy("part")
         .applyInPandasWithState(
-            _keeper(merge, due_of, result, names, forget_seconds),
+            keep,
             "pod_id string, provider string, state string, first_us long, decided_us long, host string, port long",
-            "first long, at long, state string, host string, port long, settled boolean",
+            "held binary",
             "append",
             GroupStateTimeout.EventTimeTimeout,
         )
     )
     ready = F.col("state") == "ready"
     return settled.select(
-        *key,
+        *_POD,
         "state",
         F.timestamp_micros("first_us").alias("first_ts"),
         F.timestamp_micros("decided_us").alias("decided_at"),

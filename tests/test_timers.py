@@ -101,3 +101,31 @@ def test_no_rows(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "0.json").write_text("")
     assert _settled(spark, tmp_path, timers.readiness_decisions(_read(spark, tmp_path / "in", S.POD_SNAPSHOTS))) == []
+
+
+def test_many_pods_share_few_states_that_are_dropped_in_the_end(spark, tmp_path):
+    def snapshots(begin, pods):
+        return [
+            {"observed_ts": (T0 + timedelta(seconds=at)).isoformat() + "Z", "pod_id": pod, "provider": "runpod", "payload": json.dumps(payload)}
+            for at, pod, payload in pods(begin)
+        ]
+
+    def many(begin):
+        for number in range(2000):
+            yield begin + number % 50, f"p{number}", (READY if number % 2 else PENDING)["runpod"]
+
+    # The pods again after they are settled, as repeats, and a clock that lets all of them be forgotten.
+    rows = snapshots(0, many), snapshots(4000, lambda at: [(at, "clock", PENDING["runpod"])]), snapshots(3900, many)
+    rows += snapshots(20_000, lambda at: [(at, "clock", PENDING["runpod"])]), snapshots(40_000, lambda at: [(at, "last", PENDING["runpod"])])
+    (tmp_path / "in").mkdir()
+    for number, part in enumerate(rows):
+        (tmp_path / "in" / f"{number}.json").write_text("\n".join(json.dumps(row) for row in part))
+    stream = timers.readiness_decisions(_read(spark, tmp_path / "in", S.POD_SNAPSHOTS), forget_seconds=3600)
+    query = outcomes.write_settled(stream, str(tmp_path / "out"), str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect()
+    waited = {r.pod_id: (r.state, (r.decided_at - r.first_ts).total_seconds()) for r in found}
+    assert len(found) == len(waited) == 2001
+    assert waited == {"clock": ("timeout", 1200)} | {f"p{n}": ("ready", 0) if n % 2 else ("timeout", 1200) for n in range(2000)}
+    held = [progress.stateOperators[0].numRowsTotal for progress in query.recentProgress]
+    assert 0 < max(held) <= timers.PARTS and held[-1] <= 2
