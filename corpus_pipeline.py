@@ -44,11 +44,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their token ids, and whether these decode to the text again."""
+    """All documents with their token ids, and whether these decode to the text again.
+
+    The ids are written before they are decoded, so that a task has one Python worker at a time.
+    """
     import public_tokenizers
 
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    decoded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    decoded = bpe.decode(cut(bpe.encode(docs, ranks, public_tokenizers.PATTERN), "encoded"), ranks)
     return decoded.select(
         *docs.columns,
         "ids",

@@ -108,3 +108,11 @@ def test_whole_run_on_the_given_tables(spark, sf_dir):
     assert set(found) == {i for i, t in rows.items() if not index.matches(t)}
     encoder = bpe.Encoder(bpe.read_ranks(__import__("public_tokenizers").path("byte_bpe_multi_50k.tiktoken")), __import__("public_tokenizers").PATTERN)
     assert all(list(r.ids) == encoder.encode(r.text or "") for r in found.values())
+
+
+def test_tokens_take_one_python_worker_a_task(spark, sf_dir):
+    docs = spark.createDataFrame([(1, "the cat", "en", "web", 7), (2, None, "en", "web", 0)], DOCUMENTS)
+    found = corpus_pipeline.byte_bpe(spark, docs, sf_dir)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert [(r.doc_id, r.n_tokens == len(r.ids), r.round_trip) for r in found.sort("doc_id").collect()] == [(1, True, True), (2, True, True)]
