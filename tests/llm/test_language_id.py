@@ -115,3 +115,18 @@ def test_query(spark, sf_dir):
     assert sorted(r.doc_id for r in rows) == sorted(docs)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     assert np.mean([r.lang_pred == docs[r.doc_id].lang for r in rows if r.held_out and docs[r.doc_id].lang]) > 0.9
+
+
+def test_results_do_not_depend_on_what_tasks_hold(spark):
+    rows = [(i, t, g) for i, t, g in _texts(150, 5)] + [(900, "漢字 the ung", None), (901, None, "aa"), (902, "12", None), (903, "the", None), (903, "os", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = L.train(docs)
+    assert whole["sieve"] is None
+    plain = sorted(L.identify(docs, whole).collect(), key=lambda r: (r.doc_id, r.score))
+    for bound in (0, 300):
+        model = L.train(docs, bound=bound)
+        assert sum(len(table["logs"]) + len(table["left"]) for table in model["tables"]) <= bound // 3
+        found = sorted(L.identify(docs, model).collect(), key=lambda r: (r.doc_id, r.score))
+        assert [(r.doc_id, r.lang_pred) for r in found] == [(r.doc_id, r.lang_pred) for r in plain]
+        assert [r.score for r in found] == pytest.approx([r.score for r in plain], abs=1e-4)
+        assert [r.cross_entropy or 0 for r in found] == pytest.approx([r.cross_entropy or 0 for r in plain], rel=1e-5)
